@@ -130,3 +130,23 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def key_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under names that no other column can clash with."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+#: A group with over one in HOT of all rows is hot; there are fewer than HOT of those.
+HOT = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left-joined to one row per key of groups, where groups[size] says how many rows have the key.
+
+    The fewer than HOT hot groups are broadcast and their rows stay where they are; other keys are shuffled, each with at most one in HOT of
+    the rows. Rows without a group skip the shuffle only if their key is null. `rows` is read three times: give a written() table.
+    """
+    groups = groups.withColumnRenamed(key, "_key")
+    extra = [c for c in groups.columns if c != "_key"]
+    hot = F.broadcast(groups.where(F.col(size) * HOT > total))
+    cold = groups.where(F.col(size) * HOT <= total)
+    first = rows.join(hot, rows[key] == hot["_key"], "left")
+    done = first.where("_key is not null or " + f"{key} is null").drop("_key")
+    rest = first.where(f"_key is null and {key} is not null").drop("_key", *extra)
+    return done.unionByName(rest.join(cold, rest[key] == cold["_key"], "left").drop("_key"))

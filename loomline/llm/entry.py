@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, exact_dedup, quality, token_counts
+from . import bpe, exact_dedup, fingerprint, language_id, packing, quality, token_counts, warc
 
 
 def _multi() -> tuple[str, str]:
@@ -39,10 +39,39 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_probe(table(spark, sf_dir, "documents"))
+
+
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = bpe.lengths(table(spark, sf_dir, "documents"), *_multi())
     return token_counts.suffix_sums(token_counts.histogram(lengths))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op5_exact_dedup, op8_token_counts)}
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op3_fingerprints, op4_curve_packing, op5_exact_dedup, op6_language_id, op7_warc, op8_token_counts)}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
