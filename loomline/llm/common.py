@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,11 +39,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation. by: a column of few values that readers select on."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -127,6 +129,39 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
+#: Bytes of a text whose words are listed at once.
+SEGMENT = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_segments(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a segment at a time: memory follows the segment, not the text."""
+    start = 0
+    while len(data) - start > SEGMENT and (found := _SPACE.search(data, start + SEGMENT)):
+        yield data[start : found.start()].split()
+        start = found.start()
+    yield data[start:].split()
+
+
+def word_hashes(data: bytes, known: WordHashes) -> np.ndarray:
+    """64-bit hash of each word of a text."""
+    parts = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in word_segments(data)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def spans(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each run of equal keys, and the run that each place is in."""
+    first = np.empty(len(sorted_keys), bool)
+    first[:1] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=first[1:])
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def buckets(spark: SparkSession) -> int:
+    """Parts that hashes are dealt into: as many as the session's shuffles have, so they follow the size of the data as those do."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def key_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the key and the text, under names that no other column can clash with."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
