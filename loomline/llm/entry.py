@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, exact_dedup, fingerprint, language_id, packing, quality, substring_dedup, token_counts, warc
+from . import bpe, exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, substring_dedup, token_counts, warc
 
 
 def _multi() -> tuple[str, str]:
@@ -77,5 +77,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op3_fingerprints, op4_curve_packing, op5_exact_dedup, op6_language_id, op7_warc, op8_token_counts, op9_substring_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op3_fingerprints, op4_curve_packing, op5_exact_dedup, op6_language_id, op7_warc, op8_token_counts, op9_substring_dedup, op10_jaccard_join)}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
