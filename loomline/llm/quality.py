@@ -30,8 +30,8 @@ SAMPLE = 12_000
 #: Hashed feature space, and the features with weights: those that tell grades apart best.
 SPACE = 1 << 20
 FEATURES = 4096
-#: Rated rows that a feature is in, at least.
-SUPPORT = 5
+#: Rated rows that a feature is in, at least, and its least chi-square over the grades: chance hardly gets there.
+SUPPORT, EVIDENCE = 4, 25.0
 GRADES = 3
 #: Least tail probability P(grade >= 2) of a selected document.
 THRESHOLD = 0.5
@@ -103,7 +103,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
     seen, share = by_grade.sum(0), np.bincount(grades, minlength=GRADES) / len(grades)
     expected = share[:, None] * seen
     gain = np.where(seen >= SUPPORT, ((by_grade - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0), -1)
-    best = np.sort(np.argsort(-gain, kind="stable")[: min(FEATURES, int((seen >= SUPPORT).sum()))])
+    best = np.sort(np.argsort(-gain, kind="stable")[: min(FEATURES, int((gain >= EVIDENCE).sum()))])
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     used = place[column] >= 0
