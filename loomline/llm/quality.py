@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Grades are ordered, 0 (junk) < 1 (toxic) < 2 (sound). One weight per hashed text feature is shared by all grades;
+A document's grade is how many of its two ratings are good: 0 (junk and toxic) < 1 (one of them) < 2 (sound). One weight per hashed text feature is shared by all grades;
 ordered thresholds t0 < t1 cut the score: P(grade <= k) = logistic(t_k - w.x). So the score gives an expected grade
 and the tail probability P(grade >= 2), by which documents are selected.
 
@@ -18,10 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import CACHE_ENTRIES, batch, key_columns
 
@@ -92,7 +94,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.08, ridge: float = 2e-4) -> Model:
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 5e-5) -> Model:
     """Maximum likelihood of the cumulative-link model by full-batch Adam steps; deterministic."""
     if not len(rows) or len(np.unique(grades)) < 2:
         return Model(np.empty(0, np.uint32), np.empty(0), np.array([-40.0, -40.0]), False)
@@ -129,8 +131,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: floa
 
 
 def grade(labels: DataFrame) -> DataFrame:
-    """doc_id, grade from the ratings: junk 0, toxic 1, sound 2; null ratings give no row."""
-    value = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    """doc_id, grade: how many ratings are good (quality 1, toxic 0); a null rating gives no row."""
+    value = (F.col("quality") == 1).cast("int") + (F.col("toxic") == 0).cast("int")
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("grade")).where("grade is not null and doc_id is not null")
 
 
@@ -155,7 +157,7 @@ SCORED = "doc_id long, score double, expected_grade double, p_junk double, p_sou
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: score, expected grade, P(grade = 0), P(grade >= 2) and whether that reaches the threshold."""
+    """Per row: score, expected grade, P(grade = 0), P(grade = 2) and whether that reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = _Words(), np.zeros(SPACE)
@@ -183,9 +185,6 @@ def select(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
 
 def _selector(model: Model, threshold: float):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     held: dict = {}
 
     def sound(texts: pd.Series) -> pd.Series:
