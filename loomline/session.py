@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +48,23 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if conf:
+        return conf.rstrip("/")
+    held = spark.sparkContext.environment.get("LOOMLINE_SHARED")
+    if not held:
+        held = tempfile.mkdtemp(prefix="loomline-")
+        atexit.register(shutil.rmtree, held, True)
+        spark.sparkContext.environment["LOOMLINE_SHARED"] = held
+    return f"file://{held}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Catalyst prunes columns and pushes filters down to it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
