@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, batch, new_path, written
+from ..session import new_path
+from .common import attach, batch, written
 
 #: Payloads shorter than this are always stored.
 LEAST_BYTES = 100
