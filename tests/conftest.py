@@ -4,6 +4,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -34,7 +35,7 @@ def duck():
 
 
 def _plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if hasattr(value, "to_pydatetime"):
         return value.to_pydatetime().replace(tzinfo=None)
