@@ -100,25 +100,32 @@ def parse_reason(text: Column) -> Column:
 def parse_verdict(text: Column, labeled: Column, valid=valid_name) -> Column:
     """struct(verdict, speaker, reason): disagreement only by its literal element, and a suggestion only if it is a valid name."""
     disagree = text.contains("<verdict>disagree</verdict>")
-    suggestion = F.coalesce(valid(tag(text, "speaker")), labeled)
+    suggestion = F.coalesce(valid(tag(text, "suggested_speaker")), labeled)
     return F.struct(F.when(disagree, "disagree").otherwise("confirm").alias("verdict"), F.when(disagree, suggestion).otherwise(labeled).alias("speaker"), parse_reason(text).alias("reason"))
 
 
-RESULT_SCHEMA = "found boolean, character string, status string, evidence string, line bigint"
+RESULT_SCHEMA = "found boolean, character string, aliases array<string>, introduction_line bigint, status string, evidence array<struct<text:string,line:bigint,type:string>>"
 
 
 def parse_result(text: Column) -> Column:
-    """The widest JSON object in free text; missing keys have defaults, and text that is no object is a result not found."""
+    """The widest JSON object in free text; missing keys have defaults (introduction_line: null), and text that is no object is a result not found."""
     value = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), RESULT_SCHEMA)
     return F.struct(
         F.coalesce(value["found"], F.lit(False)).alias("found"),
         F.coalesce(value["character"], F.lit("")).alias("character"),
+        F.coalesce(value["aliases"], F.array().cast("array<string>")).alias("aliases"),
+        value["introduction_line"].alias("introduction_line"),
         F.coalesce(value["status"], F.lit("candidate")).alias("status"),
-        F.coalesce(value["evidence"], F.lit("")).alias("evidence"),
-        F.coalesce(value["line"], F.lit(0).cast("bigint")).alias("line"),
+        F.coalesce(value["evidence"], F.array().cast("array<struct<text:string,line:bigint,type:string>>")).alias("evidence"),
     )
 
 
+def arguments(value: Column, schema: str) -> Column:
+    """Arguments of a call given as a JSON object or as a JSON string that holds one."""
+    inner = F.get_json_object(F.concat(F.lit('{"x":'), value, F.lit("}")), "$.x")
+    return F.from_json(F.when(F.ltrim(value).startswith('"'), inner).otherwise(value), schema)
+
+
 def parse_tool_call(text: Column) -> Column:
     """A call written as text, read_novel_lines(a, b) before search_novel('k'[, n]): struct(function, start, count, keyword, context); null without one."""
     read, find = r"read_novel_lines\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", r"search_novel\s*\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*(\d+))?\s*\)"
@@ -132,9 +139,9 @@ def parse_tool_call(text: Column) -> Column:
 def parse_commands(text: Column) -> Column:
     """array(struct(kind, name, field, value)) of the lines in <state_update>; lines of no known form are left out."""
     forms = (
-        ("update", r"^\s*UPDATE character:\s*([^.]+)\.(\w+)\s*=\s*(.+?)\s*$", (1, 2, 3)),
-        ("alias", r"^\s*UPDATE alias:\s*(.+?)\s*->\s*(.+?)\s*$", (1, None, 2)),
-        ("new", r"^\s*NEW character:\s*(.+?)\s*$", (1, None, None)),
+        ("update", r"^\s*UPDATE\s+character:\s+(\S+)\.(\S+)\s*=\s*(.+?)\s*$", (1, 2, 3)),
+        ("alias", r"^\s*UPDATE\s+alias:\s+(.+?)\s*->\s*(.+?)\s*$", (1, None, 2)),
+        ("new", r"^\s*NEW\s+character:\s+(.+?)\s*$", (1, None, None)),
     )
 
     def one(line: Column) -> Column:
@@ -187,3 +194,21 @@ def message_length(messages: Column) -> Column:
 
 def over_budget(estimate: Column, output: int = 2048, context: int = 40_000) -> Column:
     return estimate + F.lit(output) > context
+
+
+def markers(text: Column, required: Iterable[str] = (), forbidden: Iterable[str] = ()) -> Column:
+    """array of what is wrong with a whole text: "missing x", "forbidden y"."""
+    wrong = [F.when(~text.contains(x), F.lit(f"missing {x}")) for x in required] + [F.when(text.contains(x), F.lit(f"forbidden {x}")) for x in forbidden]
+    return F.filter(F.array(*wrong), lambda x: x.isNotNull())
+
+
+def pair_name(seen: Column, frame: int = 8) -> Column:
+    """The two voices of the last rows as text; "?" with fewer than four rows."""
+    voices = F.array_distinct(F.slice(seen, F.greatest(F.size(seen) - frame + 1, F.lit(1)), frame))
+    named = F.when(F.size(voices) >= 2, F.concat(F.get(voices, F.lit(0)), F.lit(" ↔ "), F.get(voices, F.lit(1)), F.lit(" alternation"))).otherwise("alternation")
+    return F.when(F.size(seen) < 4, "?").otherwise(named)
+
+
+def progress(elapsed: Column, done: Column, total: Column) -> Column:
+    """Seconds left at the pace so far."""
+    return F.try_divide(elapsed, done) * (total - done)

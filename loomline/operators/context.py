@@ -155,3 +155,25 @@ def leaks(rows: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     t = terms.select("term", head.alias("_head")).distinct()
     tokens = rows.select(key, "line_no", "line", F.explode(F.array_distinct(F.split("line", " "))).alias("_head"))
     return tokens.join(t, "_head").where("contains(line, term)").select(key, "line_no", "term")
+
+
+def block_map(rows: DataFrame, targets: DataFrame, reach: int = 40, mark: str = OPEN_QUOTE, span: str = "「([^」]+)」", quotes: tuple[str, str] = ("「", "」"), cut: int = 40, key: str = "doc_id") -> DataFrame:
+    """key, target, text: the lines around each target as a map, runs of narrative as one line, dialogue by its first span."""
+    wide = targets.select(key, F.col("line_no").alias("target")).join(rows, key).where(f"line_no between target - {reach} and target + {reach}")
+    w = Window.partitionBy(key, "target").orderBy("line_no")
+    tagged = wide.withColumn("kind", line_kind(F.col("line"), mark))
+    begins = ((F.col("kind") == "D") | (F.lag("kind", 1, "D").over(w) == "D")).cast("int")
+    numbered = tagged.withColumn("_begins", begins).withColumn("_block", F.sum("_begins").over(w))
+    runs = numbered.groupBy(key, "target", "_block", "kind").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last"), F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    said = F.regexp_extract("line", span, 1)
+    shown = F.concat(F.left(said, F.lit(cut)), F.when(F.length(said) > cut, F.lit("...")).otherwise(F.lit("")))
+    dialogue = F.concat(F.lit("  "), F.when(F.col("line_no") == F.col("target"), "->").otherwise("  "), F.format_string("L%d [D] ", F.col("line_no")), F.lit(quotes[0]), shown, F.lit(quotes[1]))
+    narrative = F.format_string("     L%d-L%d [N] (%d lines)", F.col("line_no"), F.col("last"), F.col("n"))
+    return joined_lines(runs, [key, "target"], F.when(F.col("kind") == "D", dialogue).otherwise(narrative))
+
+
+def resume_range(spans: DataFrame, done: DataFrame, start: int = 0, count: int | None = None, key: str = "doc_id", order: str = "span_idx") -> DataFrame:
+    """The spans a run works on: from `start` if it is over 0, else from the number of labels already there; `count` of them."""
+    held = spans.join(done.select(key, "labeled"), key, "left").withColumn("_from", F.lit(start) if start > 0 else F.coalesce("labeled", F.lit(0)))
+    rows = held.where(F.col(order) >= F.col("_from"))
+    return (rows if count is None else rows.where(F.col(order) < F.col("_from") + count)).drop("labeled", "_from")

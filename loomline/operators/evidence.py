@@ -84,3 +84,12 @@ def merge_characters(states: DataFrame, reveals: DataFrame, keep: int = RECENT_L
     size = F.least(F.lit(keep), F.size("recent"))
     merged = named.groupBy(F.col("_to").alias("name")).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), recent.alias("recent"))
     return merged.withColumn("recent", F.when(F.size("recent") > 0, F.slice("recent", -size, keep)).otherwise(F.col("recent")))
+
+
+def render(vault: DataFrame, current: int, within: int = ACTIVE_LINES, shown: int = 2, length: int = 60) -> DataFrame:
+    """name, text of the active characters of (name, aliases, status, evidence array(struct(text, line)), last_seen_line)."""
+    known = F.when(F.size("aliases") > 0, F.concat(F.lit(" (aka: "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
+    head = F.concat(F.lit("  ["), F.upper("status"), F.lit("] "), F.col("name"), known)
+    facts = F.transform(F.slice("evidence", 1, shown), lambda e: F.concat(F.lit("     L"), e["line"].cast("string"), F.lit(": "), F.left(e["text"], F.lit(length))))
+    last = F.concat(F.lit("     last seen: ~L"), F.col("last_seen_line").cast("string"))
+    return vault.where(active(F.lit(current), F.col("last_seen_line"), within)).select("name", F.array_join(F.concat(F.array(head), facts, F.array(last)), "\n").alias("text"))

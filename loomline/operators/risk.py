@@ -17,7 +17,7 @@ REASONS = (
     "short or fragmentary line inside a rapid exchange",
     "low evidence depth for a short or fragmentary line",
 )
-QUOTE_TYPES = ("dialogue", "thought", "narration", "quotation", "sound", "unknown")
+QUOTE_TYPES = ("direct_speech", "quote_or_letter", "password_or_signal", "sound_effect", "thought_not_spoken", "unclear")
 
 
 def risk_reasons(speaker: Column, text: Column, tool_rounds: Column, expected: Column, rapid: Column) -> Column:

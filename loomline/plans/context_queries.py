@@ -186,3 +186,24 @@ SELECT doc_id, count(*) AS violations, string_agg(DISTINCT term, '; ' ORDER BY t
 def leaks_by_document(spark, sf_dir):
     found = leak_scan(spark, sf_dir)
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("violations"), F.array_join(F.array_sort(F.collect_set("term")), "; ").alias("terms"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no AS target FROM lines WHERE line_no % 15 = 4),
+w AS (SELECT l.doc_id, target, l.line_no, line, CASE WHEN contains(line, ',') THEN 'D' ELSE 'N' END AS kind FROM lines l JOIN t ON l.doc_id = t.doc_id AND l.line_no BETWEEN target - 40 AND target + 40),
+b AS (SELECT *, CASE WHEN kind = 'D' OR coalesce(lag(kind) OVER o, 'D') = 'D' THEN 1 ELSE 0 END AS begins FROM w WINDOW o AS (PARTITION BY doc_id, target ORDER BY line_no)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, target ORDER BY line_no) AS block FROM b),
+g AS (SELECT doc_id, target, block, kind, min(line_no) AS line_no, max(line_no) AS last, count(*) AS n, min(line) AS line FROM n GROUP BY ALL),
+m AS (SELECT *, regexp_extract(line, ',([^,]+)', 1) AS said FROM g)
+SELECT doc_id, target, string_agg(CASE WHEN kind = 'D' THEN '  ' || CASE WHEN line_no = target THEN '->' ELSE '  ' END || 'L' || line_no || ' [D] <' || left(said, 40) || CASE WHEN length(said) > 40 THEN '...' ELSE '' END || '>'
+  ELSE '     L' || line_no || '-L' || last || ' [N] (' || n || ' lines)' END, chr(10) ORDER BY line_no) AS text FROM m GROUP BY doc_id, target""")
+def block_map(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    return context.block_map(rows, rows.where("line_no % 15 = 4"), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
+
+
+@query("""WITH s AS (SELECT page_id, CAST(i - 1 AS BIGINT) AS span_idx, a[i] AS text
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS a FROM pages), unnest(generate_series(1, len(a))) AS t(i))
+SELECT * FROM s WHERE span_idx >= page_id % 3 AND span_idx < page_id % 3 + 2""")
+def resume_range(spark, sf_dir):
+    done = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).alias("labeled"))
+    return context.resume_range(span_extract(spark, sf_dir), done, count=2, key="page_id")

@@ -212,7 +212,7 @@ def tag_parse(spark, sf_dir):
     body = F.left(F.regexp_replace("text", r"(?U)\s+", " "), F.lit(300))
     third = F.col("doc_id") % 3
     said = F.when(third == 2, F.concat(F.lit("no tag "), body)).otherwise(
-        F.concat(F.lit("<answer> "), "lang", F.when(third == 0, F.lit(" (a b)")).otherwise(F.lit("")), F.lit("\n</answer><reason>"), body, F.lit("</reason>"), F.when(third == 1, F.concat(F.lit("<verdict>disagree</verdict><speaker>"), "lang", F.lit("</speaker>"))).otherwise(F.lit("")))
+        F.concat(F.lit("<answer> "), "lang", F.when(third == 0, F.lit(" (a b)")).otherwise(F.lit("")), F.lit("\n</answer><reason>"), body, F.lit("</reason>"), F.when(third == 1, F.concat(F.lit("<verdict>disagree</verdict><suggested_speaker>"), "lang", F.lit("</suggested_speaker>"))).otherwise(F.lit("")))
     )
     rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
     verdict = fn.parse_verdict(F.col("said"), F.lit("before"))
@@ -220,12 +220,43 @@ def tag_parse(spark, sf_dir):
 
 
 @query("""SELECT event_id, event_id % 2 = 0 AS found, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS character, CASE WHEN event_id % 4 = 0 THEN 'verified' ELSE 'candidate' END AS status,
-  CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END AS line FROM events""")
+  CASE WHEN event_id % 2 = 0 THEN 'a|b' ELSE '' END AS aliases, CASE WHEN event_id % 2 = 0 THEN user_id ELSE -1 END AS line FROM events""")
 def result_parse(spark, sf_dir):
     even, four = F.col("event_id") % 2 == 0, F.col("event_id") % 4 == 0
     status = F.when(four, F.lit(', "status": "verified"')).otherwise(F.lit(""))
-    said = F.when(even, F.concat(F.lit('I think: {"found": true, "character": "'), "event_type", F.lit('"'), status, F.lit(', "line": '), F.col("user_id").cast("string"), F.lit("} done"))).otherwise(F.lit("nothing here"))
-    return table(spark, sf_dir, "events").select("event_id", fn.parse_result(said).alias("r")).select("event_id", "r.found", "r.character", "r.status", "r.line")
+    said = F.when(even, F.concat(F.lit('I think: {"found": true, "aliases": ["a", "b"], "character": "'), "event_type", F.lit('"'), status, F.lit(', "introduction_line": '), F.col("user_id").cast("string"), F.lit("} done"))).otherwise(F.lit("nothing here"))
+    rows = table(spark, sf_dir, "events").select("event_id", fn.parse_result(said).alias("r"))
+    return rows.select("event_id", "r.found", "r.character", "r.status", F.array_join("r.aliases", "|").alias("aliases"), F.coalesce("r.introduction_line", F.lit(-1)).alias("line"))
+
+
+@query("""SELECT event_id, user_id AS start, event_id % 50 AS count FROM events""")
+def argument_parse(spark, sf_dir):
+    """The same arguments as a JSON object and as a JSON string."""
+    plain = F.to_json(F.struct(F.col("user_id").alias("start"), (F.col("event_id") % 50).alias("count")))
+    given = F.when(F.col("event_id") % 2 == 0, plain).otherwise(F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    return table(spark, sf_dir, "events").select("event_id", fn.arguments(given, "start bigint, count bigint").alias("a")).select("event_id", "a.start", "a.count")
+
+
+@query("""SELECT doc_id, concat_ws('; ', CASE WHEN NOT contains(text, 'the') THEN 'missing the' END, CASE WHEN contains(text, 'with') THEN 'forbidden with' END) AS wrong FROM documents""")
+def marker_check(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(fn.markers(F.col("text"), ("the",), ("with",)), "; ").alias("wrong"))
+
+
+@query(f"""WITH {_EVENTS}, {_EXPECT} SELECT k AS user_id, o AS event_id, CASE WHEN len(seen) < 4 THEN '?' WHEN b IS NOT NULL THEN a || ' ↔ ' || b || ' alternation' ELSE 'alternation' END AS pair FROM e""")
+def pair_name(spark, sf_dir):
+    seen = memory.history("user_id", "event_id", F.col("voice"))
+    return _voices(spark, sf_dir).withColumn("seen", seen).select("user_id", "event_id", fn.pair_name(F.col("seen")).alias("pair"))
+
+
+@query("""WITH c AS (SELECT user_id, max(event_id) AS last, list({'t': event_type, 'l': event_id} ORDER BY event_id) AS e FROM events GROUP BY user_id)
+SELECT 'u' || user_id AS name, '  [CANDIDATE] u' || user_id || CASE WHEN user_id % 2 = 0 THEN ' (aka: x, y)' ELSE '' END || chr(10) || '     L' || e[1].l || ': ' || e[1].t || chr(10) ||
+  CASE WHEN len(e) > 1 THEN '     L' || e[2].l || ': ' || e[2].t || chr(10) ELSE '' END || '     last seen: ~L' || last AS text FROM c WHERE last <> 0 AND 9950 - last < 80""")
+def vault_text(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    facts = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.struct(x["event_type"].alias("text"), x["event_id"].alias("line")))
+    vault = events.groupBy("user_id").agg(F.max("event_id").alias("last_seen_line"), facts.alias("evidence"))
+    aliases = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    return evidence.render(vault.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), aliases.alias("aliases"), F.lit("candidate").alias("status"), "evidence", "last_seen_line"), 9950)
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'read_novel_lines' WHEN 1 THEN 'search_novel' END AS function, CASE WHEN event_id % 3 = 0 THEN user_id END AS start,
