@@ -77,9 +77,37 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 49], ' ')) AS h FROM w, unnest(generate_series(1, len(a) - 49)) AS t(i)),
+m AS (SELECT h, min(doc_id) AS first_id FROM s GROUP BY h HAVING count(*) > 1),
+b AS (SELECT doc_id, i FROM s JOIN m USING (h) WHERE first_id < doc_id),
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM b, generate_series(0, 49) AS r(k)),
+l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT w.doc_id, p, a[p] AS word FROM w JOIN l USING (doc_id), unnest(generate_series(1, len(a))) AS t(p)),
+n AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM k ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(a) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(CASE WHEN l.doc_id IS NULL THEN array_to_string(a, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM w LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i:i + 4], ' ')) AS h FROM w, unnest(generate_series(1, greatest(len(a) - 4, least(len(a), 1)))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op3_fingerprints, op4_curve_packing, op5_exact_dedup, op6_language_id, op7_warc, op8_token_counts, op9_substring_dedup, op10_jaccard_join)}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}
