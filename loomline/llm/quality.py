@@ -14,6 +14,7 @@ is known against a document and every one is selected. Repeated rows give repeat
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,10 @@ FEATURES = 4096
 #: Rated rows that a feature is in, at least, and its least chi-square over the grades: chance hardly gets there.
 SUPPORT, EVIDENCE = 4, 25.0
 GRADES = 3
+#: First letters by which words are grouped.
+BEGINNING = 5
 #: Least tail probability P(grade >= 2) of a selected document.
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 
 _UPPER = bytes(range(65, 91))
 _SIGNS = b"!#$%&*+<=>@^_|~{}[]\\"
@@ -54,6 +57,24 @@ class _Words(dict):
         return value
 
 
+class _Beginnings(dict):
+    """Word as it stands in the text -> index of its first letters; 0 for short words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 2 * CACHE_ENTRIES:
+            self.clear()
+        clean = _TRIM.sub("", word).lower()
+        value = self[word] = _index("b", clean[:BEGINNING]) if len(clean) > BEGINNING else 0
+        return value
+
+
+class _Known:
+    """The caches of one worker."""
+
+    def __init__(self):
+        self.words, self.beginnings = _Words(), _Beginnings()
+
+
 def _index(kind: str, value: object) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}={value}") % SPACE
 
@@ -75,10 +96,14 @@ def _shapes(text: str, words: list[str]) -> list[int]:
     return [*found, _index("size", min(12, len(words).bit_length())), _index("length", min(15, n // count))]
 
 
-def features(text: str, words: _Words) -> np.ndarray:
-    """Distinct hashed features of a text, ascending."""
+def features(text: str, known: _Known) -> np.ndarray:
+    """Distinct hashed features of a text, ascending: words, how many different words share their first letters, shapes."""
     parts = text.split()
-    return np.unique(np.fromiter({*map(words.__getitem__, parts), *_shapes(text, parts)}, np.uint32))
+    distinct = set(parts)
+    shared = Counter(map(known.beginnings.__getitem__, distinct))
+    del shared[0]
+    steps = {(b * 31 + min(n, 4)) % SPACE for b, n in shared.items() if n > 1}
+    return np.unique(np.fromiter({*map(known.words.__getitem__, distinct), *steps, *_shapes(text, parts)}, np.uint32))
 
 
 @dataclass
@@ -144,7 +169,7 @@ def train(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "
     chosen = graded.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = _Known()
         for rows in batches:
             yield batch(LISTS, doc_id=rows.column(0), grade=rows.column(2), found=[features(x.as_py(), words).tobytes() for x in rows.column(1)])
 
@@ -160,7 +185,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """Per row: score, expected grade, P(grade = 0), P(grade = 2) and whether that reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = _Words(), np.zeros(SPACE)
+        words, weights = _Known(), np.zeros(SPACE)
         weights[model.indices] = model.weights
         for rows in batches:
             scores = np.array([weights[features(x.as_py(), words)].sum() for x in rows.column(1)])
@@ -189,7 +214,7 @@ def _selector(model: Model, threshold: float):
 
     def sound(texts: pd.Series) -> pd.Series:
         if not held:
-            held["words"], held["weights"] = _Words(), np.zeros(SPACE)
+            held["words"], held["weights"] = _Known(), np.zeros(SPACE)
             held["weights"][model.indices] = model.weights
         scores = np.array([held["weights"][features(x, held["words"])].sum() for x in texts])
         if not model.fitted or not len(scores):
