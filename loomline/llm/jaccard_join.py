@@ -45,6 +45,8 @@ COARSE = 256
 LEAF = 128
 #: A group with more than 2 ** HOT_LEVEL occurrences is dealt to several buckets.
 HOT_LEVEL = 14
+#: Marks the place of an entry whose box is spread over buckets.
+SALTED = np.uint32(1 << 31)
 #: Hashes that a task holds before it deals them out.
 HELD = 1 << 20
 #: Bits of the filter of documents to verify; its size does not depend on the data.
@@ -125,7 +127,7 @@ def frequency_levels(rows: DataFrame):
     return rows.sparkSession.sparkContext.broadcast(levels.tobytes())
 
 
-SETS = "kind int, bucket int, doc_id long, ident long, n long, sid binary, point binary, data binary"
+SETS = "kind int, bucket int, doc_id long, ident long, mark long, n long, sid binary, point binary, data binary"
 FOUND = "kind int, a binary, b binary, gid long, leaf int, data binary"
 
 
@@ -144,11 +146,12 @@ class _Boxes:
         self.places.append(np.arange(len(hashes), dtype=np.uint32))
         self.n += len(hashes)
 
-    def dealt(self, n_buckets: int) -> pa.RecordBatch:
+    def dealt(self, n_buckets: int, hot: int) -> pa.RecordBatch:
         hashes, owner, places, levels = map(np.concatenate, (self.hashes, self.owner, self.places, self.levels))
         sizes, sids = np.array(self.sizes, np.uint32), np.frombuffer(b"".join(self.sids), np.uint8).reshape(-1, 16)
         self.__init__()
-        salts = np.uint64(1) << np.maximum(levels.astype(np.int64) - HOT_LEVEL, 0).astype(np.uint64)
+        salts = np.uint64(1) << np.maximum(levels.astype(np.int64) - hot, 0).astype(np.uint64)
+        places |= np.where(salts > np.uint64(1), SALTED, np.uint32(0))
         salt = sids[owner, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
         bucket = (((hashes >> np.uint64(48)) + salt % salts) % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((owner, bucket))
@@ -161,7 +164,7 @@ class _Boxes:
             low = np.ascontiguousarray(hashes[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
             data.append(b"".join([struct.pack("<II", len(who), j - i), sids[who].tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), low, places[i:j].astype("<u4").tobytes()]))
         n, none = len(data), [None] * len(data)
-        return batch(SETS, kind=[1] * n, bucket=bucket[begins].astype(np.int32), doc_id=none, ident=none, n=none, sid=none, point=none, data=data)
+        return batch(SETS, kind=[1] * n, bucket=bucket[begins].astype(np.int32), doc_id=none, ident=none, mark=none, n=none, sid=none, point=none, data=data)
 
 
 def _pairs(gid: list, leaf: list, data: list, a: np.ndarray, b: np.ndarray, sids: np.ndarray) -> pa.Table:
@@ -176,8 +179,8 @@ def _pairs(gid: list, leaf: list, data: list, a: np.ndarray, b: np.ndarray, sids
     return pa.Table.from_batches([batch(FOUND, kind=[0] * n + [1] * k, a=pick(a) + [None] * k, b=pick(b) + [None] * k, gid=[None] * n + gid, leaf=[None] * n + leaf, data=[None] * n + data)])
 
 
-def _boxes(table: pa.Table) -> pa.Table:
-    """Of one bucket: a first partner for each member of a box, and the leaves of boxes with more than two members."""
+def _boxes(table: pa.Table, most: int) -> pa.Table:
+    """Of one bucket: a first partner for each member of a box, and the leaves (of `most` members) of boxes with more than two."""
     parts: list[list[np.ndarray]] = [[] for _ in range(5)]
     base = 0
     for value in table.column("data"):
@@ -198,89 +201,112 @@ def _boxes(table: pa.Table) -> pa.Table:
     keys, firsts, same = np.unique(np.ascontiguousarray(rows).view("V16").ravel(), return_index=True, return_inverse=True)
     sids, sizes, owner = rows[firsts], sizes[firsts].astype(np.int64), same[owner]
     order = np.lexsort((owner, hashes))
-    hashes, owner, places = hashes[order], owner[order], places[order].astype(np.int64)
+    hashes, owner, places = hashes[order], owner[order], places[order]
+    spread, places = (places & SALTED) > 0, (places & ~SALTED).astype(np.int64)
     once = np.ones(len(hashes), bool)
     once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner, places = hashes[once], owner[once], places[once]
+    hashes, owner, places, spread = hashes[once], owner[once], places[once], spread[once]
     begins, run = spans(hashes)
     counts = np.bincount(run, minlength=len(begins))
     two = begins[counts == 2]
     ok = may_link(sizes[owner[two]], places[two], sizes[owner[two + 1]], places[two + 1])
     a, b = [owner[two[ok]]], [owner[two[ok] + 1]]
-    gid, leaf, data, seen = [], [], [], set()
-    for at, k in zip(begins[counts > 2].tolist(), counts[counts > 2].tolist()):
+    gid, leaf, data, seen = [], [], [], {}
+    home = table.column("bucket")[0].as_py() % (1 << 15) << 16
+    wanted = (counts > 2) | spread[begins]
+    for at, k in zip(begins[wanted].tolist(), counts[wanted].tolist()):
         who, place = owner[at : at + k], places[at : at + k]
         size = sizes[who]
         by_size = np.argsort(size, kind="stable")
         who, place, size = who[by_size], place[by_size], size[by_size]
-        partner = _first_partners(size, place)
+        partner = _partners(size, place, who)
         live = partner >= 0
-        if not live.any():
+        if not live.any() and not spread[at]:
             continue
         a.append(who[live])
         b.append(who[partner[live]])
-        # A member that is another's partner is alive as well.
+        # A member that is another's partner is alive as well; of a box that is spread over buckets all are, as their partners may be elsewhere.
         live[partner[live]] = True
+        live |= spread[at]
         who, place, size = who[live], place[live], size[live]
-        if len(who) < 3:
+        if len(who) < 3 and not spread[at]:
             continue
-        key = xxhash.xxh3_128_digest(who.tobytes() + place.tobytes())
-        if key in seen:
+        name = int(hashes[at])
+        parts = [slice(i, i + most) for i in range(0, len(who), most)]
+        leaves = [sids[who[x]].tobytes() + size[x].astype("<u4").tobytes() + place[x].astype("<u4").tobytes() for x in parts]
+        # Of boxes with the same members only the first in their order is kept, as a pair is judged at its first box. The order is the same for all members.
+        key = name if spread[at] else xxhash.xxh3_128_digest(who.tobytes())
+        first, begin = seen.get(key, (None, len(gid)))
+        if first is None:
+            gid += [name] * len(parts)
+            leaf += [home + i for i in range(len(parts))]
+            data += leaves
+        elif place[0] < first:
+            gid[begin : begin + len(parts)], data[begin : begin + len(parts)] = [name] * len(parts), leaves
+        else:
             continue
-        seen.add(key)
-        for i in range(0, len(who), LEAF):
-            some = slice(i, i + LEAF)
-            gid.append(int(np.int64(hashes[at].astype(np.int64))))
-            leaf.append(i // LEAF)
-            data.append(sids[who[some]].tobytes() + size[some].astype("<u4").tobytes() + place[some].astype("<u4").tobytes())
+        seen[key] = place[0], begin
     return _pairs(gid, leaf, data, np.concatenate(a), np.concatenate(b), sids)
 
 
-def _first_partners(size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each member, in order of size, the first earlier or later one that it may link with; -1: none. A few rows of the table of pairs at a time."""
+def _partners(size: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each member, in order of size, the one of the others that it may link with whose set id is smallest; -1: none. Boxes of the same family thus
+    choose the same few partners. A few rows of the table of pairs at a time."""
     n = len(size)
-    out = np.full(n, -1, np.int64)
+    out, best = np.full(n, -1, np.int64), np.full(n, np.iinfo(np.int64).max)
     for at in range(0, n, 512):
         rows = np.arange(at, min(n, at + 512))
         low = np.searchsorted(size, NUMERATOR * size[rows[0]] // DENOMINATOR, "left")
         high = np.searchsorted(size, DENOMINATOR * size[rows[-1]] // NUMERATOR + 1, "right")
         for start in range(low, high, 4096):
-            open_rows = rows[out[rows] < 0]
-            if not len(open_rows):
-                break
             columns = np.arange(start, min(high, start + 4096))
-            fits = may_link(size[open_rows, None], place[open_rows, None], size[None, columns], place[None, columns])
-            fits &= open_rows[:, None] != columns[None, :]
-            some = fits.any(1)
-            out[open_rows[some]] = columns[fits[some].argmax(1)]
+            fits = may_link(size[rows, None], place[rows, None], size[None, columns], place[None, columns])
+            fits &= rows[:, None] != columns[None, :]
+            ranks = np.where(fits, rank[None, columns], np.iinfo(np.int64).max)
+            first = ranks.argmin(1)
+            found = ranks[np.arange(len(rows)), first]
+            better = found < best[rows]
+            best[rows[better]], out[rows[better]] = found[better], columns[first[better]]
     return out
 
 
 PAIRS = "a binary, b binary"
 
 
-def _meet(left: tuple, right: tuple, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Members of two leaves that may link and are in different components: sizes and places, corners, then points."""
-    (m, p, c, x), (n, q, d, y) = left, right
-    if not same and np.minimum(x.max(0), y.max(0)).sum() < needed(int(m.min()), int(n.min())):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def _leaf(held: list[dict]) -> tuple:
+    """Sizes, places, labels, each member's boxes in its order, and their places by box."""
+    boxes = [[x["gid"] for x in m["boxes"]] for m in held]
+    return np.array([m["n"] for m in held], np.int64), np.array([m["place"] for m in held], np.int64), np.array([m["label"] for m in held], object), boxes, [set(b) for b in boxes]
+
+
+def _corner(held: list[dict]) -> np.ndarray:
+    return np.array([counts_of(m["point"]) for m in held])
+
+
+def _meet(gid: int, left: list[dict], right: list[dict], same: bool, points: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs of members of two leaves that may link, are in different components and meet here first. points: leaves have corners, which are compared first, then the members' points."""
+    (m, p, c, boxes, _), (n, q, d, _, known) = _leaf(left), _leaf(right)
+    if points:
+        x, y = _corner(left), _corner(right)
+        if not same and np.minimum(x.max(0), y.max(0)).sum() < needed(int(m.min()), int(n.min())):
+            return []
     fits = may_link(m[:, None], p[:, None], n[None, :], q[None, :]) & (c[:, None] != d[None, :])
     if same:
         fits &= np.arange(len(m))[:, None] < np.arange(len(n))[None, :]
     i, j = np.nonzero(fits)
-    if len(i):
+    if points and len(i):
         ok = np.concatenate([np.minimum(x[i[k : k + 4096]], y[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)]) >= needed(m[i], n[j])
         i, j = i[ok], j[ok]
-    return i, j
-
-
-def _leaf(value: dict) -> tuple:
-    size = np.array([x["n"] for x in value], np.int64)
-    return size, np.array([x["place"] for x in value], np.int64), np.array([x["label"] for x in value], object), np.array([counts_of(x["point"]) for x in value])
+    found = []
+    for u, v in zip(i.tolist(), j.tolist()):
+        if next(g for g in boxes[u] if g in known[v]) == gid:
+            a, b = left[u]["sid"], right[v]["sid"]
+            found.append((a, b) if a < b else (b, a))
+    return found
 
 
 def _different(found: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of box members in different components that the bounds let pass; leaf against leaf of the same box."""
+    """Pairs of box members in different components that sizes and places (and in large boxes corners and points) let pass, each in the first box that both are in."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -292,23 +318,35 @@ def _different(found: DataFrame, labels: DataFrame, points: DataFrame) -> DataFr
     members = found.where("kind = 1").select("gid", "leaf", "data").mapInArrow(unpack, "gid long, leaf int, sid binary, n long, place long")
     known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     known = written(known, "members")
-    mixed_boxes = known.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    rows = known.join(mixed_boxes, "gid", "left_semi").join(points.select("sid", "point"), "sid")
+    mixed_boxes = known.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("leaf").alias("i"), F.max("leaf").alias("j")).where("x <> y").select("gid", (F.col("i") < F.col("j")).alias("large"))
+    rows = written(known.join(mixed_boxes, "gid"), "mixed")
+    # A member's boxes in its own order, which is the common order of all groups.
+    orders = rows.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "gid"))).alias("boxes"))
+    rows = rows.join(orders, "sid")
+    member = ("sid", "n", "place", "label", "boxes")
+    small = rows.where("not large").groupBy("gid").agg(F.collect_list(F.struct(*member)).alias("held"))
+
+    def meet_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for gid, held in zip(some.column(0).to_pylist(), some.column(1)):
+                own = held.as_py()
+                ends = _meet(gid, own, own, True, False)
+                if ends:
+                    yield batch(PAIRS, a=[e[0] for e in ends], b=[e[1] for e in ends])
+
     # Boxes of one hash may come from several buckets: their leaves get numbers of their own.
-    leaves = rows.groupBy("gid", "leaf").agg(F.collect_list(F.struct("sid", "n", "place", "label", "point")).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"))
+    leaves = rows.where("large").join(points.select("sid", "point"), "sid").groupBy("gid", "leaf").agg(F.collect_list(F.struct(*member, "point")).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"))
     leaves = written(leaves.withColumn("number", F.monotonically_increasing_id()), "leaves")
-    left, right = leaves.select("gid", F.col("number").alias("i"), F.col("held").alias("x"), F.col("low").alias("l1"), F.col("high").alias("h1")), leaves.select("gid", F.col("number").alias("j"), F.col("held").alias("y"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    met = left.join(right, "gid").where(f"i <= j and {NUMERATOR} * l1 <= {DENOMINATOR} * h2 and {NUMERATOR} * l2 <= {DENOMINATOR} * h1").select("i", "j", "x", "y")
+    side = lambda k, held: leaves.select("gid", F.col("number").alias(k), F.col("held").alias(held), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
+    met = side("i", "x").join(side("j", "y"), "gid").where(f"i <= j and {NUMERATOR} * low_i <= {DENOMINATOR} * high_j and {NUMERATOR} * low_j <= {DENOMINATOR} * high_i").select("gid", "i", "j", "x", "y")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
-            for i, j, x, y in zip(*(c for c in some.columns)):
-                x, y = x.as_py(), y.as_py()
-                at, to = _meet(_leaf(x), _leaf(y), i.as_py() == j.as_py())
-                ends = [sorted((x[u]["sid"], y[v]["sid"])) for u, v in zip(at.tolist(), to.tolist())]
+            for gid, i, j, x, y in zip(*(some.column(k).to_pylist() for k in range(3)), some.column(3), some.column(4)):
+                ends = _meet(gid, x.as_py(), y.as_py(), i == j, True)
                 yield batch(PAIRS, a=[e[0] for e in ends], b=[e[1] for e in ends])
 
-    return met.mapInArrow(meet, PAIRS).distinct()
+    return small.mapInArrow(meet_small, PAIRS).unionByName(met.mapInArrow(meet_large, PAIRS)).distinct()
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -371,9 +409,14 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame) -> DataFra
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    return classes(docs, key, text).drop("mark")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf: int = LEAF, hot: int = HOT_LEVEL) -> DataFrame:
+    """near_duplicates() with `mark`, a hash of the text that tells rows of one id apart."""
     n_buckets = buckets(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("ident"), body.alias("text"), F.col(key).cast("long").alias("doc_id"))
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("ident"), body.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"))
     levels = frequency_levels(source.select("ident", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,35 +438,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 first = np.argsort((own.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
                 held.add(sid, n, found[first], own[first])
                 if held.n >= HELD:
-                    yield held.dealt(n_buckets)
+                    yield held.dealt(n_buckets, hot)
                     done.clear()
             k = len(out)
             if k:
-                yield batch(SETS, kind=[0] * k, bucket=[None] * k, doc_id=some.column(2), ident=some.column(0), n=[x[0] for x in out], sid=[x[1] for x in out], point=[x[2] for x in out], data=[None] * k)
+                yield batch(SETS, kind=[0] * k, bucket=[None] * k, doc_id=some.column(2), ident=some.column(0), mark=some.column(3), n=[x[0] for x in out], sid=[x[1] for x in out], point=[x[2] for x in out], data=[None] * k)
         if held.n:
-            yield held.dealt(n_buckets)
+            yield held.dealt(n_buckets, hot)
 
-    table = written(source.select("ident", "text", "doc_id").mapInArrow(run, SETS), "boxes", "kind")
-    rows = table.where("kind = 0").select("doc_id", "ident", "n", "sid")
+    table = written(source.select("ident", "text", "doc_id", "mark").mapInArrow(run, SETS), "boxes", "kind")
+    rows = table.where("kind = 0").select("doc_id", "mark", "n", "sid")
     points = written(table.where("kind = 0 and sid is not null").groupBy("sid").agg(F.min("ident").alias("ident"), F.max("n").alias("n"), F.max("point").alias("point"), F.count(F.lit(1)).alias("same")), "points")
-    found = written(table.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(_boxes, FOUND), "found", "kind")
+    found = written(table.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: _boxes(t, leaf), FOUND), "found", "kind")
     first = _verified(_bounded(found.where("kind = 0").select("a", "b").distinct(), points), points, source)
     labels = components(first)
-    second = _verified(_different(found, labels, points), points, source)
+    second = _verified(_bounded(_different(found, labels, points), points), points, source)
     labels = components(first.unionByName(second)) if second.limit(1).count() else labels
 
     sets = points.select("sid", "ident", "same").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     sets = written(sets, "classes")
     smallest = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("ident").alias("component_id"))
     total = rows.count()
-    classes = attach(sets, smallest, "label", "size", total).select("sid", "same", "component_id")
-    out = attach(rows, classes, "sid", "same", total)
+    of_set = attach(sets, smallest, "label", "size", total).select("sid", "same", "component_id")
+    out = attach(rows, of_set, "sid", "same", total)
     dropped(found)
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(_NULL)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component, with all their columns."""
-    gone = near_duplicates(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of docs that are the smallest id of their component, with all their columns. Rows that repeat both id and text stay together; exact dedup is for those."""
+    gone = classes(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.join(gone, (F.col(key).cast("long") == F.col("_gone")) & (F.xxhash64(body) == F.col("_mark")), "left_anti")
