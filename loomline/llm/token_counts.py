@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Lengths in one block of the two-level sums.
 BLOCK = 1024
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """length, n_docs. Partial sums before the shuffle: at most one row per length and task is sent."""
-    return lengths.groupBy(F.col(column).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """length, n_docs. Partial sums before the shuffle: at most one row per length and task is sent. The result is written, so that its several readers do not encode
+    the documents again."""
+    return written(lengths.groupBy(F.col(column).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
 
 
 def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
