@@ -97,12 +97,12 @@ class WordEncoder:
         plain, lacking = {}, set()
         for word in words:
             text = word.decode()
-            if PLAIN.fullmatch(text):
-                plain[word] = parts = PIECE.findall(text)
-                lacking.update(x for x in parts if x not in self.pieces)
+            if text.isprintable() if text.isascii() else PLAIN.fullmatch(text):
+                plain[word] = parts = [text] if text.isalpha() else PIECE.findall(text)
+                lacking.update(parts)
             else:
                 self.words[word] = self._whole(text)
-        todo = sorted(lacking)
+        todo = sorted(lacking.difference(self.pieces))
         for at in range(0, len(todo), CALL):
             self._bulk(todo[at : at + CALL])
         for word, parts in plain.items():
