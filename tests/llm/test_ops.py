@@ -318,6 +318,19 @@ def test_jaccard_join_against_brute_force(spark, seed):
     assert got == helpers.jaccard(rows)
 
 
+def test_jaccard_join_with_small_leaves_and_spread_boxes(spark):
+    rows = helpers.corpus(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame(spark, rows, 5), leaf=4, hot=5).collect()}
+    assert got == helpers.jaccard(rows)
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base + " x"), (5, "quite another text with words of its own"), (None, base + " y")]
+    kept = jaccard_join.one_of_each(frame(spark, rows)).collect()
+    assert sorted(r.text for r in kept if r.doc_id is not None) == sorted([base, "quite another text with words of its own"])
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 1)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -350,3 +363,15 @@ def test_pipeline_against_brute_force(spark):
     packed = p.STAGES[4][1](spark, three, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts)
     assert p.run(spark, SMALL).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30), spark.read.parquet(f"{SMALL}/labels.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, None, None, None, None), (5, "a b", "en", "s", 3), (5, "a b", "en", "s", 3)], docs.schema)
+    for name, part in (("odd", docs.unionByName(odd).withColumn("kind", F.lit(1))), ("none", docs.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert p.run(spark, f"{tmp_path}/odd").count() > 20
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
