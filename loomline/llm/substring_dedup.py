@@ -36,8 +36,6 @@ ANCHOR = WIDTH - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Hashes that a task holds before it deals them out.
 HELD = 1 << 20
-#: Rows in one batch that a bucket returns.
-ROWS = 2048
 _NULL = (1 << 63) - 1
 
 
@@ -97,17 +95,45 @@ class _Held:
         return out
 
 
-def _told(owner: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, list[bytes]]:
-    """Owners, and the values of each as bytes."""
-    order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    begins, _ = spans(owner)
-    edges = [*begins.tolist(), len(owner)]
-    return owner[begins], [_narrow(values[a:b], size) for a, b in zip(edges, edges[1:])]
+DEALT = "kind int, bucket int, data binary"
+TOLD = "shard int, data binary"
+FOUND = "ident long, mark long, found binary"
 
 
-DEALT = "kind int, bucket int, ident long, mark long, data binary"
-TOLD = "ident long, mark long, data binary"
+def _told(n_shards: int, idents: np.ndarray, marks: np.ndarray, owner: np.ndarray, values: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
+    """Answers for documents, a row for each shard of documents: how many documents and values, idents, marks, counts, values."""
+    shard = (mixed(idents.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)[owner]
+    order = np.lexsort((owner, shard))
+    shard, owner, values = shard[order], owner[order], values[order]
+    begins, _ = spans(shard)
+    edges, data = [*begins.tolist(), len(shard)], []
+    for a, b in zip(edges, edges[1:]):
+        firsts, _ = spans(owner[a:b])
+        who, counts = owner[a:b][firsts], np.diff([*firsts.tolist(), b - a]).astype("<u4")
+        data.append(b"".join([struct.pack("<II", len(who), b - a), idents[who].astype("<i8").tobytes(), marks[who].astype("<i8").tobytes(), counts.tobytes(), _narrow(values[a:b], size)]))
+    return shard[begins].tolist(), data
+
+
+def _merged(size: int) -> Callable[[pa.Table], pa.Table]:
+    """All answers of a shard, one row per document."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for value in rows.column("data"):
+            data = value.as_py()
+            n, m = struct.unpack_from("<II", data)
+            idents, marks = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
+            counts = np.frombuffer(data, "<u4", n, 8 + 16 * n)
+            for held, x in zip(parts, (np.repeat(idents, counts), np.repeat(marks, counts), _wide(data[8 + 20 * n :], size))):
+                held.append(x)
+        idents, marks, values = map(np.concatenate, parts)
+        order = np.lexsort((marks, idents))
+        idents, marks, values = idents[order], marks[order], values[order]
+        begins, _ = _runs(idents, marks)
+        edges = [*begins.tolist(), len(idents)]
+        return pa.Table.from_batches([batch(FOUND, ident=idents[begins], mark=marks[begins], found=[_narrow(values[a:b], size) for a, b in zip(edges, edges[1:])])])
+
+    return merge
 
 
 def _dealt(kind: int, n_buckets: int, idents, marks, hashes, extra, owner, size: int) -> pa.RecordBatch:
@@ -125,7 +151,7 @@ def _dealt(kind: int, n_buckets: int, idents, marks, hashes, extra, owner, size:
         parts = [struct.pack("<II", len(who), b - a), np.where(silent, 0, idents[who]).astype("<i8").tobytes(), np.where(silent, 0, marks[who]).astype("<i8").tobytes(), silent.astype(np.uint8).tobytes(), counts.tobytes(), _narrow(hashes[a:b], size)]
         data.append(b"".join([*parts, extra[a:b].astype("<u2").tobytes()] if size == 8 else parts))
     n = len(data)
-    return batch(DEALT, kind=[kind] * n, bucket=bucket[begins].astype(np.int32), ident=[None] * n, mark=[None] * n, data=data)
+    return batch(DEALT, kind=[kind] * n, bucket=bucket[begins].astype(np.int32), data=data)
 
 
 def _gathered(rows: pa.Table, size: int):
@@ -149,33 +175,39 @@ def _gathered(rows: pa.Table, size: int):
     return [np.concatenate(x) for x in columns]
 
 
-def _answers(idents, marks, owner, values, size: int) -> pa.Table:
-    if not len(owner):
-        return pa.Table.from_batches([batch(TOLD, ident=[], mark=[], data=[])])
-    who, data = _told(owner, values, size)
-    return pa.Table.from_batches([batch(TOLD, ident=idents[who], mark=marks[who], data=data)])
+def _answers(n_shards: int, idents, marks, owner, values, size: int) -> pa.Table:
+    shards, data = _told(n_shards, idents, marks, owner, values, size) if len(owner) else ([], [])
+    return pa.Table.from_batches([batch(TOLD, shard=shards, data=data)])
 
 
-def _shared_anchors(rows: pa.Table) -> pa.Table:
+def _shared_anchors(n_shards: int) -> Callable[[pa.Table], pa.Table]:
     """Anchors of a bucket that several tasks sent, for the documents that have them."""
-    idents, marks, silent, owner, hashes, _ = _gathered(rows, 6)
-    order = np.argsort(hashes, kind="stable")
-    begins, run = spans(hashes[order])
-    again = np.bincount(run, minlength=len(begins))[run] > 1
-    owner, hashes = owner[order][again], hashes[order][again]
-    asked = ~silent[owner]
-    return _answers(idents, marks, owner[asked], hashes[asked], 6)
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        idents, marks, silent, owner, hashes, _ = _gathered(rows, 6)
+        order = np.argsort(hashes, kind="stable")
+        begins, run = spans(hashes[order])
+        again = np.bincount(run, minlength=len(begins))[run] > 1
+        owner, hashes = owner[order][again], hashes[order][again]
+        asked = ~silent[owner]
+        return _answers(n_shards, idents, marks, owner[asked], hashes[asked], 6)
+
+    return reduce
 
 
-def _later_windows(rows: pa.Table) -> pa.Table:
+def _later_windows(n_shards: int) -> Callable[[pa.Table], pa.Table]:
     """Windows of a bucket that a document with a smaller id has too, for the others that have them."""
-    idents, marks, _, owner, hashes, extra = _gathered(rows, 8)
-    order = np.lexsort((extra, hashes))
-    hashes, extra, owner = hashes[order], extra[order], owner[order]
-    begins, run = _runs(hashes, extra)
-    least = np.minimum.reduceat(idents[owner], begins)[run]
-    later = idents[owner] > least
-    return _answers(idents, marks, owner[later], hashes[later], 8)
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        idents, marks, _, owner, hashes, extra = _gathered(rows, 8)
+        order = np.lexsort((extra, hashes))
+        hashes, extra, owner = hashes[order], extra[order], owner[order]
+        begins, run = _runs(hashes, extra)
+        least = np.minimum.reduceat(idents[owner], begins)[run]
+        later = idents[owner] > least
+        return _answers(n_shards, idents, marks, owner[later], hashes[later], 8)
+
+    return reduce
 
 
 def _runs(hashes: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +225,8 @@ def _flush_anchors(held: _Held, n_buckets: int) -> Iterator[pa.RecordBatch]:
     several = np.minimum.reduceat(ids, begins) < np.maximum.reduceat(ids, begins)
     here = several[run]
     if here.any():
-        who, data = _told(owner[here], hashes[here] & _LOW, 6)
-        n = len(data)
-        yield batch(DEALT, kind=[0] * n, bucket=[None] * n, ident=idents[who], mark=marks[who], data=data)
+        shards, data = _told(n_buckets, idents, marks, owner[here], hashes[here] & _LOW, 6)
+        yield batch(DEALT, kind=[0] * len(data), bucket=shards, data=data)
     yield _dealt(1, n_buckets, idents, marks, hashes[begins], extra[begins], np.where(several, -1, owner[begins]), 6)
 
 
@@ -207,19 +238,19 @@ def _flush_windows(held: _Held, n_buckets: int) -> Iterator[pa.RecordBatch]:
     ids = idents[owner]
     later = ids > np.minimum.reduceat(ids, begins)[run]
     if later.any():
-        who, data = _told(owner[later], hashes[later], 8)
-        n = len(data)
-        yield batch(DEALT, kind=[0] * n, bucket=[None] * n, ident=idents[who], mark=marks[who], data=data)
+        shards, data = _told(n_buckets, idents, marks, owner[later], hashes[later], 8)
+        yield batch(DEALT, kind=[0] * len(data), bucket=shards, data=data)
     once = ~later
     once[1:] &= (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
     yield _dealt(1, n_buckets, idents, marks, hashes[once], extra[once], owner[once], 8)
 
 
-def _all_told(dealt: DataFrame, reduce: Callable[[pa.Table], pa.Table], name: str) -> DataFrame:
-    """ident, mark, found: what documents were told by their own tasks and by the buckets."""
-    near = dealt.where("kind = 0").select("ident", "mark", "data")
+def _all_told(dealt: DataFrame, reduce: Callable[[pa.Table], pa.Table], size: int) -> DataFrame:
+    """ident, mark, found: what documents were told by their own tasks and by the buckets, one row per document. Answers travel by shards of documents, as many as there
+    are buckets, so their rows do not multiply."""
+    near = dealt.where("kind = 0").select(F.col("bucket").alias("shard"), "data")
     far = dealt.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(reduce, TOLD)
-    return near.unionByName(far).groupBy("ident", "mark").agg(F.collect_list("data").alias("found"))
+    return near.unionByName(far).groupBy("shard").applyInArrow(_merged(size), FOUND)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -234,7 +265,7 @@ RESULT = "doc_id long, ident long, mark long, n_words long, n_removed long, kept
 def _mixed(part: pa.RecordBatch) -> pa.RecordBatch:
     """DEALT rows among the others."""
     n = part.num_rows
-    return batch(MIXED, **{name: part.column(i) for i, name in enumerate(("kind", "bucket", "ident", "mark", "data"))}, **{k: [None] * n for k in ("doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept")})
+    return batch(MIXED, **{name: part.column(i) for i, name in enumerate(("kind", "bucket", "data"))}, **{k: [None] * n for k in ("ident", "mark", "doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept")})
 
 
 def _plain_digest(data: bytes) -> tuple[int, str]:
@@ -265,7 +296,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
             yield from _flush_anchors(held, n_buckets)
 
     dealt = written(rows.select("ident", "mark", "text").mapInArrow(first, DEALT), "anchors", "kind")
-    joined = rows.join(_all_told(dealt, _shared_anchors, "anchors"), ["ident", "mark"], "left").select("ident", "mark", "doc_id", "text", "found")
+    joined = rows.join(_all_told(dealt, _shared_anchors(n_buckets), 6), ["ident", "mark"], "left").select("ident", "mark", "doc_id", "text", "found")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = WordHashes(), _Held()
@@ -276,7 +307,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
                 if found.is_valid:
                     words = word_hashes(data, known)
                     at, hashes = anchors(words)
-                    marked = at[np.isin(hashes & _LOW, _wide(b"".join(found.as_py()), 6))]
+                    marked = at[np.isin(hashes & _LOW, _wide(found.as_py(), 6))]
                     begins = candidates(marked, len(words))
                 if len(begins):
                     held.add(ident, mark, window_hashes(words, WIDTH)[begins], _second(words)[begins])
@@ -296,7 +327,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
 
     table = written(joined.mapInArrow(second, MIXED), "windows", "kind")
     doubtful = table.where("kind = 3").select("ident", "mark", "doc_id", "text")
-    judged = doubtful.join(_all_told(table, _later_windows, "windows"), ["ident", "mark"], "left").select("ident", "mark", "doc_id", "text", "found")
+    judged = doubtful.join(_all_told(table, _later_windows(n_buckets), 8), ["ident", "mark"], "left").select("ident", "mark", "doc_id", "text", "found")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -309,7 +340,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
                     out.append((doc_id, ident, mark, n, 0, digest, None))
                     continue
                 hashes = word_hashes(data, known)
-                gone = covered(np.flatnonzero(np.isin(window_hashes(hashes, WIDTH), np.frombuffer(b"".join(found.as_py()), "<u8"))), len(hashes))
+                gone = covered(np.flatnonzero(np.isin(window_hashes(hashes, WIDTH), np.frombuffer(found.as_py(), "<u8"))), len(hashes))
                 kept = _left(data, gone)
                 out.append((doc_id, ident, mark, len(hashes), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
             if out:
