@@ -5,12 +5,16 @@ Rows are (key, line_no, line); windows are per key, so documents are independent
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import INTRODUCTIONS, OPEN_QUOTE, any_of, clamp, reveal_after, strip
+from .roster import WIDTHS, Roster, head_width, window_codes
 
 NAVIGATION_RANGE, NAVIGATION_LENGTH = 25, 120
 NARRATIVE_LINES = 5
@@ -18,6 +22,8 @@ MATCHES, MATCH_CHARACTERS = 8, 12_000
 REFERENCES = 10
 IDENTITY_FORWARD, IDENTITY_BACKWARD, IDENTITY_NEAR, IDENTITY_NAMES = 200, 100, 50, 15
 BATCH_GAP = 10
+#: Bytes of terms that are broadcast at most.
+ROSTER_BYTES = 64 << 20
 
 
 def _order(key: str):
@@ -149,12 +155,44 @@ def next_batch(spans: DataFrame, done: DataFrame, key: str, order: str, position
     return gap_batches(open_spans, key, order, position, gap, size).where("batch = 0").drop("batch")
 
 
-def leaks(rows: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, term of lines that contain a term. Each term's first word is looked up among the line's words, then the whole term is compared."""
-    head = F.split(F.col("term"), " ")[0]
-    t = terms.select("term", head.alias("_head")).distinct()
-    tokens = rows.select(key, "line_no", "line", F.explode(F.array_distinct(F.split("line", " "))).alias("_head"))
-    return tokens.join(t, "_head").where("contains(line, term)").select(key, "line_no", "term")
+def leaks(rows: DataFrame, terms: DataFrame, key: str = "doc_id", bound: int = ROSTER_BYTES) -> DataFrame:
+    """key, line_no, term of lines that contain a term, at any offset. A roster of up to `bound` bytes is broadcast as an index (Roster); of a larger one only
+    the heads' hashes meet those of the lines' windows, by a shuffle. Whole terms are compared in both. An empty term is in every line, a null in none."""
+    t = terms.select(F.col("term").cast("string").alias("term")).where("term is not null").distinct()
+    held = t.agg(F.sum(F.octet_length("term")).alias("n")).first().n or 0
+    lines = rows.select(key, "line_no", "line").where("line is not null")
+    out = StructType([lines.schema[key], lines.schema["line_no"], StructField("term", StringType())])
+    if held <= bound:
+        sent = rows.sparkSession.sparkContext.broadcast(sorted(r.term.encode() for r in t.collect()))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            roster = Roster(sent.value)
+            for part in batches:
+                line, term = roster.found(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(line), part.column(1).take(line), term], names=out.names)
+
+        return lines.mapInArrow(search, out)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            values = [x.as_py().encode() for x in part.column(0)]
+            widths = list(map(head_width, values))
+            hashes = [int(window_codes(np.frombuffer(v, np.uint8, w), w)[0]) if w else 0 for v, w in zip(values, widths)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(widths, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["term", "_width", "_code"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for i, value in enumerate(part.column(2)):
+                data = np.frombuffer(value.as_py().encode(), np.uint8)
+                codes = [np.zeros(1, np.uint64), *(np.unique(window_codes(data, w)) for w in WIDTHS)]
+                at, n = pa.array([i] * sum(map(len, codes)), pa.int64()), np.repeat([0, *WIDTHS], [len(c) for c in codes])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(n, pa.int32()), pa.array(np.concatenate(codes).view(np.int64))], names=[*out.names[:2], "_width", "_code"])
+
+    coded = t.mapInArrow(heads, "term string, _width int, _code long")
+    seen = lines.mapInArrow(windows, StructType([*out.fields[:2], StructField("_width", IntegerType()), StructField("_code", LongType())]))
+    near = seen.join(coded, ["_width", "_code"]).select(F.col(key).alias("_key"), F.col("line_no").alias("_line_no"), "term").distinct()
+    both = F.col(key).eqNullSafe(F.col("_key")) & F.col("line_no").eqNullSafe(F.col("_line_no"))
+    return lines.join(near, both).where("contains(line, term)").select(key, "line_no", "term")
 
 
 def block_map(rows: DataFrame, targets: DataFrame, reach: int = 40, mark: str = OPEN_QUOTE, span: str = "「([^」]+)」", quotes: tuple[str, str] = ("「", "」"), cut: int = 40, key: str = "doc_id") -> DataFrame:

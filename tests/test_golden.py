@@ -207,3 +207,31 @@ def test_library_does_not_need_the_training_data_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "llm" not in path.read_text(), path
+
+
+def test_leaks_stand_anywhere(spark):
+    lines = ["他说「王小明来了」，李雷不在。", '"alpha beta" (gamma)', "pre-alpha\tbeta", "xalpha betax", "", "plain", "e" * 40 + "王小明" + "李雷" * 9, None]
+    terms = ["王小明", "李雷", "alpha beta", "gamma", "alpha", "李雷" * 9, "e" * 33, "明李", "absent", "a"]
+    rows = novel(spark, *lines)
+    roster = spark.createDataFrame([(t,) for t in [*terms, None, "alpha"]], "term string")
+    want = sorted((n + 1, t) for n, x in enumerate(lines) for t in terms if x is not None and t in x)
+    for bound in (context.ROSTER_BYTES, 0):
+        assert sorted((r.line_no, r.term) for r in context.leaks(rows, roster, bound=bound).collect()) == want
+    every = context.leaks(rows, spark.createDataFrame([("",)], "term string"))
+    assert sorted(r.line_no for r in every.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert context.leaks(rows, roster.limit(0)).count() == 0
+
+
+def test_leaks_across_segments(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from loomline.operators import roster
+
+    monkeypatch.setattr(roster, "SEGMENT", 7)
+    r = random.Random(1)
+    lines = ["".join(r.choice("ab王") for _ in range(r.randint(0, 60))) for _ in range(60)]
+    terms = sorted({x[i : i + r.randint(1, 40)] for x in lines for i in range(0, len(x), 9)})
+    line, term = roster.Roster([t.encode() for t in terms]).found(pa.array(lines).slice(3))
+    assert list(zip(line.to_pylist(), term.to_pylist())) == sorted(((i, t) for i, x in enumerate(lines[3:]) for t in terms if t in x), key=lambda p: (p[0], p[1].encode()))
