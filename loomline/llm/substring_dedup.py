@@ -221,8 +221,10 @@ def _flush_anchors(held: _Held, n_buckets: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
     begins, run = spans(hashes)
-    ids = idents[owner]
-    several = np.minimum.reduceat(ids, begins) < np.maximum.reduceat(ids, begins)
+    # Documents of one id but several texts are told here too: the bucket answers one document per hash.
+    several = np.zeros(len(begins), bool)
+    for values in (idents[owner], marks[owner]):
+        several |= np.minimum.reduceat(values, begins) < np.maximum.reduceat(values, begins)
     here = several[run]
     if here.any():
         shards, data = _told(n_buckets, idents, marks, owner[here], hashes[here] & _LOW, 6)

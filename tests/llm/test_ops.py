@@ -303,6 +303,19 @@ def test_substring_dedup_keeps_columns(spark):
             assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][2] and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("repeated", [None, 7])
+def test_substring_dedup_of_rows_of_one_id_in_one_task(spark, repeated):
+    passage = " ".join(f"p{i}" for i in range(60))
+    first = [(3, f"a {passage} b"), *((k, "short") for k in (4, 5, 6))]
+    later = [(repeated, f"c{k} {passage} d{k}") for k in range(4)]
+    in_two = lambda rows: spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), DDL)
+    df = in_two(first + later)
+    assert [len(x) for x in df.rdd.glom().collect()] == [4, 4]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).where("n_words > 1").collect())
+    assert got == sorted([(3, 62, 0)] + [(repeated or 0, 62, 60)] * 4)
+    assert {r.n_removed for r in substring_dedup.remove_repeats(in_two(later)).collect()} == {0}
+
+
 def test_cover_has_every_difference():
     cover, period = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
