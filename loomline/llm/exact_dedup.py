@@ -84,7 +84,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. One of equal rows stays where a key is repeated with its text."""
     labels = exact_groups(docs, key, text)
-    gone = labels.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    gone = labels.where("not kept").select(F.col("doc_id").alias("_gone"))
     # A key that is repeated needs the digest to tell its rows apart; keys are unique as a rule.
     repeated = bool(labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
     if not repeated:
@@ -93,8 +93,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sha = F.sha2(normalised(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"), 256)
     n = F.char_length(F.coalesce(F.col(text).cast("string"), F.lit("")))
     keyed = docs.withColumns({"_sha": sha, "_size": n})
-    alive = labels.where("kept").select(F.col("doc_id").alias("_alive"), F.coalesce(F.col("text_sha256"), F.lit("")).alias("_alive_sha")).distinct()
-    match = F.col(key).cast("long").eqNullSafe(F.col("_alive")) & ((F.col("_sha") == F.col("_alive_sha")) | (F.col("_alive_sha") == ""))
+    alive = exact_groups(docs, key, text, digests=True).where("kept").select(F.col("doc_id").alias("_alive"), F.col("text_sha256").alias("_alive_sha")).distinct()
+    match = F.col(key).cast("long").eqNullSafe(F.col("_alive")) & (F.col("_sha") == F.col("_alive_sha"))
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy(key, "_sha").orderBy(F.desc("_size")))

@@ -228,6 +228,12 @@ def test_exact_dedup_of_repeated_keys(spark):
     assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == [(1, "a b"), (2, "c")]
 
 
+def test_exact_dedup_beside_a_unique_text_of_the_same_key(spark):
+    rows = [(5, "a text of its own"), (5, "b c"), (3, "b c"), (None, "another of its own"), (None, "bc"), (None, "only here")]
+    want = [(3, "b c"), (5, "a text of its own"), (None, "another of its own"), (None, "only here")]
+    assert sorted((r.doc_id or 99, r.text) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == sorted((k or 99, t) for k, t in want)
+
+
 # 6
 
 
