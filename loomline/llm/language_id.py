@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, HOT, attach, batch, key_columns, written
+from .common import CACHE_ENTRIES, attach, batch, key_columns, written
 
 #: Labelled texts in the fit, and trigram rows kept, at most.
 SAMPLE, GRAMS = 8_000, 60_000
@@ -157,12 +157,9 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     shares = [((everything[f] or 0.0) + 1.0) / (total + len(fields)) for f in fields]
     hosts = by_host.drop("domain").join(by_host.select("host", "domain").join(by_domain, "domain").drop("domain"), "host")
     rows = attach(facts, hosts, "host", "host_n", total)
-    # Values of fewer than one page in HOT are pooled, so fewer than HOT rows are broadcast.
     for name in ("declared", "suffix"):
         found = written(sums(facts, [name], name), name)
-        common = F.col(f"{name}_n") * HOT > total
-        pooled = found.where(~common).agg(*(F.sum(f"{name}_{f}").alias(f) for f in fields)).collect()[0]
-        rows = rows.join(F.broadcast(found.where(common)), name, "left").withColumns({f"{name}_{f}": F.coalesce(f"{name}_{f}", F.lit(pooled[f] or 0.0)) for f in fields})
+        rows = attach(written(rows, f"pages-{name}"), found, name, f"{name}_n", total)
 
     scores = []
     for i, f in enumerate(fields):

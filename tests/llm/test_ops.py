@@ -247,6 +247,18 @@ def test_language_of_pages(spark):
     assert (got[1].host, got[1].suffix, got[1].declared) == ("a.b.example.org", "org", "de") and got[2].host == ""
 
 
+def test_rare_declarations_and_suffixes_have_their_own_evidence(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    known = {lang: docs.where(F.col("lang") == lang).orderBy(F.desc("n_chars")).first().text[:2000] for lang in ("en", "de", "fr")}
+    page = lambda k, said, end, text: (k, f"https://h{k}.d{k}.{end}/", f'<html lang="{said}"><p>{text}</p></html>')
+    rows = [page(k, "en", "com", known["en"]) for k in range(5000)]
+    rows += [page(5000 + k, said, end, known[lang]) for k, (said, end, lang) in enumerate([("xa", "xa", "de")] * 4 + [("xb", "xb", "fr")] * 4)]
+    rows += [page(6000, "xa", "xa", ""), page(6001, "xb", "xb", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language_id.identify(pages, docs).collect()}
+    assert len(got) == len(rows) and (got[6000].language, got[6001].language) == ("de", "fr")
+
+
 def test_text_model_on_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = language_id.TextModel(language_id.gram_counts(docs.where("doc_id % 2 = 0")))
