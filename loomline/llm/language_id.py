@@ -5,7 +5,8 @@ markup, by how often pages whose text is in l declare it; the address suffix, li
 its domain's and that towards all pages' (each level counts as `strength` pages of the level above). All counts are sums of the text's
 posteriors over all pages by grouped aggregation; a page's own contribution is taken out of its host's counts.
 
-The trigram model is fitted on a bounded sample of texts with known language (SAMPLE, in hash order of the key) and has GRAMS rows at most.
+The trigram model is fitted on a bounded sample of texts with known language (SAMPLE, in hash order of the key) and has GRAMS rows at most, of
+which each language has an equal share if it needs it: every language of the sample is told apart. Runs of letters are taken whole.
 
 A null or empty page has no text: its other evidence decides. A null address has the host "". An undeclared language is a value of its own.
 Without any labelled text, or with one language only, every page gets what is known: null, or that language. Repeated rows count each.
@@ -20,15 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, attach, batch, key_columns, written
 
 #: Labelled texts in the fit, and trigram rows kept, at most.
 SAMPLE, GRAMS = 8_000, 60_000
-#: Languages told apart, at most: the most frequent ones.
-LANGUAGES = 64
+#: Letters of the words that are cached; longer runs, as in scripts without spaces, are computed each time.
+CACHED = 32
 #: Pages that a level's parent counts for.
 STRENGTH = 5.0
 #: Words whose likelihood counts in full; more words are scaled down to these, as words of one text are not independent.
@@ -74,14 +75,20 @@ def gram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
             for name, value in zip(part.column(0).to_pylist(), part.column(1)):
                 words = Counter(_LETTERS.findall(value.as_py().lower()))
                 for word, n in words.items():
-                    padded = f" {word[:32]} "
+                    padded = f" {word} "
                     for i in range(len(padded) - 2):
                         found[name, padded[i : i + 3]] += n
         keys = list(found)
         yield batch(GRAM_ROWS, lang=[k[0] for k in keys], gram=[k[1] for k in keys], n=[found[k] for k in keys])
 
     counts = some.mapInArrow(run, GRAM_ROWS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).collect()
+    found = counts.orderBy(F.desc("n"), "lang", "gram").limit(GRAMS + 1).collect()
+    if len(found) <= GRAMS:
+        return found
+    # Each language keeps its share of the rows, so that none is lost to the frequent ones; what others leave is filled by count.
+    share = max(1, GRAMS // counts.select("lang").distinct().count())
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    return ranked.orderBy(F.col("rank") > share, F.desc("n"), "lang", "gram").limit(GRAMS).drop("rank").collect()
 
 
 class TextModel:
@@ -91,16 +98,15 @@ class TextModel:
         totals: Counter = Counter()
         for r in rows:
             totals[r.lang] += r.n
-        self.languages = sorted(x for x, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:LANGUAGES])
+        self.languages = sorted(totals)
         place = {x: i for i, x in enumerate(self.languages)}
         self.grams: dict[str, np.ndarray] = {}
         kinds = {r.gram for r in rows}
         base = np.array([totals[x] + 0.5 * len(kinds) for x in self.languages], float)
         for r in rows:
-            if r.lang in place:
-                if r.gram not in self.grams:
-                    self.grams[r.gram] = np.full(len(self.languages), 0.5)
-                self.grams[r.gram][place[r.lang]] += r.n
+            if r.gram not in self.grams:
+                self.grams[r.gram] = np.full(len(self.languages), 0.5)
+            self.grams[r.gram][place[r.lang]] += r.n
         self.grams = {k: np.log(v / base) for k, v in self.grams.items()}
         self.unknown = np.log(0.5 / base) if len(base) else base
         self.words: dict[str, np.ndarray] = {}
@@ -108,10 +114,12 @@ class TextModel:
     def word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is None:
-            if len(self.words) >= CACHE_ENTRIES // 2:
-                self.words.clear()
-            padded = f" {word[:32]} "
-            known = self.words[word] = sum((self.grams.get(padded[i : i + 3], self.unknown) for i in range(len(padded) - 2)), np.zeros(len(self.languages)))
+            padded = f" {word} "
+            known = sum((self.grams.get(padded[i : i + 3], self.unknown) for i in range(len(padded) - 2)), np.zeros(len(self.languages)))
+            if len(word) <= CACHED:
+                if len(self.words) >= CACHE_ENTRIES // 2:
+                    self.words.clear()
+                self.words[word] = known
         return known
 
     def posterior(self, text: str) -> np.ndarray:

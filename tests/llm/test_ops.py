@@ -259,6 +259,28 @@ def test_rare_declarations_and_suffixes_have_their_own_evidence(spark):
     assert len(got) == len(rows) and (got[6000].language, got[6001].language) == ("de", "fr")
 
 
+def test_whole_runs_of_letters_are_scored(spark):
+    docs = spark.createDataFrame([(1, "漢字" * 20 + "仮名" * 40, "xa"), (2, "漢字" * 20 + "文章" * 40, "xb")], "doc_id long, text string, lang string")
+    model = language_id.TextModel(language_id.gram_counts(docs))
+    for name, tail in (("xa", "仮名"), ("xb", "文章")):
+        p = model.posterior("漢字" * 20 + tail * 40)
+        assert model.languages[int(np.argmax(p))] == name and p.max() > 0.9
+
+
+def test_every_language_of_the_sample_is_kept(spark, monkeypatch):
+    word = lambda k: "".join(chr(97 + k // d % 26) for d in (1, 26)) * 3
+    rows = [(k, f"{word(k)} " * (100 - k), f"l{k:02}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for grams in (60_000, 200):
+        monkeypatch.setattr(language_id, "GRAMS", grams)
+        found = language_id.gram_counts(docs)
+        model = language_id.TextModel(found)
+        assert len(found) <= grams and model.languages == [lang for _, _, lang in rows]
+    monkeypatch.setattr(language_id, "GRAMS", 60_000)
+    model = language_id.TextModel(language_id.gram_counts(docs))
+    assert all(model.languages[int(np.argmax(model.posterior(text)))] == lang for _, text, lang in rows)
+
+
 def test_text_model_on_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = language_id.TextModel(language_id.gram_counts(docs.where("doc_id % 2 = 0")))
