@@ -207,3 +207,46 @@ SELECT * FROM s WHERE span_idx >= page_id % 3 AND span_idx < page_id % 3 + 2""")
 def resume_range(spark, sf_dir):
     done = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).alias("labeled"))
     return context.resume_range(span_extract(spark, sf_dir), done, count=2, key="page_id")
+
+
+def _whole(name: str, **changes: str) -> str:
+    """The SQL of a query over a slice of the targets, over all of them: old and new text of each change."""
+    sql = REGISTERED.oracles[name]
+    for change in changes.values():
+        old, new = change.split(" => ")
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _dialogue(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("line").contains(MARK))
+
+
+@query(_whole("navigation", targets="t.line_no % 10 = 3 => contains(t.line, ',')"))
+def navigation_all(spark, sf_dir):
+    """navigation around every dialogue line."""
+    rows = _lines(spark, sf_dir)
+    return context.navigation(rows, _dialogue(rows), mark=MARK, quotes=("<", ">"))
+
+
+@query(_whole("reveal_for_descriptor", targets="t.line_no % 5 = 1 => contains(t.line, ',')"))
+def reveal_for_descriptor_all(spark, sf_dir):
+    """reveal_for_descriptor for every dialogue line."""
+    rows = _lines(spark, sf_dir)
+    return context.reveal_for(rows, _dialogue(rows).withColumn("descriptor", F.lit("the")), _revealed())
+
+
+@query(_whole("block_map", targets="line_no % 15 = 4 => contains(line, ',')"))
+def block_map_all(spark, sf_dir):
+    """block_map around every dialogue line."""
+    rows = _lines(spark, sf_dir)
+    return context.block_map(rows, _dialogue(rows), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
+
+
+@query(_whole("deep_search", targets="line_no % 20 = 10 => contains(line, ',')"))
+def deep_search_all(spark, sf_dir):
+    """deep_search around every dialogue line, with the windows of deep_search()."""
+    rows = _lines(spark, sf_dir)
+    targets = _dialogue(rows).select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
+    return context.deep_search(rows, targets, ("on the", "the"), forward=8, backward=5, near=3, names=4)

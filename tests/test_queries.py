@@ -4,6 +4,8 @@ import pytest
 
 from loomline.plans import registry
 
+from .conftest import SMALL
+
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(name, same):
@@ -19,3 +21,15 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["navigation_all", "reveal_for_descriptor_all", "block_map_all", "deep_search_all"])
+def test_every_dialogue_line_is_a_target(spark, name):
+    from pyspark.sql import functions as F
+
+    target = {"reveal_for_descriptor_all": "line_no", "deep_search_all": "around"}.get(name, "target")
+    lines = registry.QUERIES["line_scan"](spark, SMALL).where("contains(line, ',')")
+    if name == "deep_search_all":
+        lines = lines.where("contains(line, 'the')")
+    got = registry.QUERIES[name](spark, SMALL).select("doc_id", F.col(target).alias("line_no")).distinct()
+    assert lines.select("doc_id", "line_no").exceptAll(got).count() == 0
