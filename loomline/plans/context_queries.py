@@ -244,9 +244,17 @@ def block_map_all(spark, sf_dir):
     return context.block_map(rows, _dialogue(rows), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
 
 
-@query(_whole("deep_search", targets="line_no % 20 = 10 => contains(line, ',')"))
+@query(
+    _whole(
+        "deep_search",
+        targets="line_no % 20 = 10 => contains(line, ',')",
+        reach=f"BETWEEN around - 5 AND around + 7 => BETWEEN around - {context.IDENTITY_BACKWARD} AND around + {context.IDENTITY_FORWARD - 1}",
+        near=f"< 3 AS near => < {context.IDENTITY_NEAR} AS near",
+        names=f"k <= 4 => k <= {context.IDENTITY_NAMES}",
+    )
+)
 def deep_search_all(spark, sf_dir):
     """deep_search around every dialogue line, with the windows of deep_search()."""
     rows = _lines(spark, sf_dir)
     targets = _dialogue(rows).select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
-    return context.deep_search(rows, targets, ("on the", "the"), forward=8, backward=5, near=3, names=4)
+    return context.deep_search(rows, targets, ("on the", "the"))

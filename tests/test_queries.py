@@ -33,3 +33,9 @@ def test_every_dialogue_line_is_a_target(spark, name):
         lines = lines.where("contains(line, 'the')")
     got = registry.QUERIES[name](spark, SMALL).select("doc_id", F.col(target).alias("line_no")).distinct()
     assert lines.select("doc_id", "line_no").exceptAll(got).count() == 0
+
+
+def test_deep_search_reaches_as_far_as_the_operator(spark):
+    rows = registry.QUERIES["deep_search_all"](spark, SMALL)
+    assert rows.where("line_no >= around + 8").count() and rows.where("line_no < around - 5").count()
+    assert rows.where("kind = 'name'").groupBy("doc_id", "around").count().where("count > 4").count()
