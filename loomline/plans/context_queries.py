@@ -258,3 +258,15 @@ def deep_search_all(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     targets = _dialogue(rows).select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
     return context.deep_search(rows, targets, ("on the", "the"))
+
+
+@query("""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+t AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS term FROM w, unnest(generate_series(1, greatest(1, len(w) - 5))) AS s(i))
+SELECT doc_id, term FROM documents JOIN t ON contains(replace(text, chr(10), ' '), term)""")
+def leak_windows(spark, sf_dir):
+    """Every six-word window of every passage over whole texts, across line ends."""
+    words = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+    begins = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5))).alias("i")
+    terms = words.select("w", begins).select(F.array_join(F.slice("w", F.col("i"), F.lit(6)), " ").alias("term"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("line_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
+    return context.leaks(texts, terms).drop("line_no")

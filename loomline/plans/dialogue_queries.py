@@ -193,6 +193,23 @@ def risk_flags(spark, sf_dir):
     return rows.select("doc_id", "speaker", F.array_join(reasons, "; ").alias("reasons"))
 
 
+_RISK_LINES = f"""r AS (SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN '女孩' WHEN 1 THEN 'non-human' ELSE lang END AS speaker, {stripped("lines.line")} AS line, doc_id % 3 AS rounds,
+  CASE WHEN doc_id % 5 < 3 THEN 'en' END AS expected, doc_id % 2 = 0 AS rapid FROM lines JOIN documents USING (doc_id))"""
+
+
+@query(f"""WITH {LINES}, {_RISK_LINES} SELECT doc_id, line_no, speaker, concat_ws('; ',
+  CASE WHEN speaker = '女孩' THEN '{risk.REASONS[0]}' END, CASE WHEN speaker = 'non-human' THEN '{risk.REASONS[1]}' END,
+  CASE WHEN expected <> speaker THEN '{risk.REASONS[2]}' END, CASE WHEN rapid AND {_SHORT} THEN '{risk.REASONS[3]}' END,
+  CASE WHEN rounds <= 1 AND {_SHORT} THEN '{risk.REASONS[4]}' END) AS reasons FROM r""")
+def risk_flags_by_line(spark, sf_dir):
+    """risk_flags for every line."""
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("doc"), "text")
+    doc_id = F.col("doc.doc_id")
+    speaker = F.when(doc_id % 4 == 0, "女孩").when(doc_id % 4 == 1, "non-human").otherwise(F.col("doc.lang"))
+    reasons = risk.risk_reasons(speaker, F.col("line"), doc_id % 3, F.when(doc_id % 5 < 3, "en"), doc_id % 2 == 0)
+    return readers.lines(docs, "doc").select(doc_id.alias("doc_id"), "line_no", speaker.alias("speaker"), F.array_join(reasons, "; ").alias("reasons"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS speaker, doc_id % 3 = 0 AS corrected FROM documents""")
 def reviewed(spark, sf_dir):
     """Only flagged rows go through the review; the others pass beside it."""

@@ -39,3 +39,19 @@ def test_deep_search_reaches_as_far_as_the_operator(spark):
     rows = registry.QUERIES["deep_search_all"](spark, SMALL)
     assert rows.where("line_no >= around + 8").count() and rows.where("line_no < around - 5").count()
     assert rows.where("kind = 'name'").groupBy("doc_id", "around").count().where("count > 4").count()
+
+
+def test_leaks_of_whole_passages_over_whole_texts(spark, tmp_path):
+    passage = [f"w{i}" for i in range(20)]
+    spark.createDataFrame([(1, " ".join(passage)), (2, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(passage[9:]), "w10 w11 w12\nw13 w14 w15", "none", "x one\ntwo", "w3 w4 w5 w6 w7"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["leak_windows"](spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {0: 6, 1: 1, 3: 1}
+
+
+def test_risks_of_every_line(spark):
+    lines = registry.QUERIES["line_scan"](spark, SMALL).select("doc_id", "line_no")
+    got = registry.QUERIES["risk_flags_by_line"](spark, SMALL)
+    assert got.select("doc_id", "line_no").exceptAll(lines).count() == 0 and got.count() == lines.count()
+    assert got.where("line_no > 1 and contains(reasons, 'short or fragmentary')").count()
