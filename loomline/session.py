@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,21 +39,35 @@ def local_session(app: str = "loomline", cpus: int | None = None, **conf: str) -
     return ship_package(spark)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One JVM and one machine. A "local-cluster" has executors of its own."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parent.parent)
+    """Let Python workers import this package: from the driver's folder on one machine, else from an archive that every executor fetches."""
     env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    if "LOOMLINE_SHIPPED" in env:
+        return spark
+    root = Path(__file__).resolve().parent.parent
+    if is_local(spark):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH", "")) if x)
+    else:
+        folder = tempfile.mkdtemp(prefix="loomline-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/loomline", "zip", root, "loomline"))
+    env["LOOMLINE_SHIPPED"] = "1"
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if there is one machine only, else an error, as executors would not see
+    each other's files."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     held = spark.sparkContext.environment.get("LOOMLINE_SHARED")
     if not held:
         held = tempfile.mkdtemp(prefix="loomline-")

@@ -55,3 +55,28 @@ def test_risks_of_every_line(spark):
     got = registry.QUERIES["risk_flags_by_line"](spark, SMALL)
     assert got.select("doc_id", "line_no").exceptAll(lines).count() == 0 and got.count() == lines.count()
     assert got.where("line_no > 1 and contains(reasons, 'short or fragmentary')").count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from loomline import session
+
+    spark = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, environment={"LOOMLINE_SHARED": "/x"}, getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        session.shared_dir(spark("local-cluster[2,1,1024]"))
+    assert session.shared_dir(spark("yarn", **{"spark.checkpoint.dir": "hdfs://n/a/"})) == "hdfs://n/a"
+    assert session.shared_dir(spark("local[4]")) == "file:///x"
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "loomline", tmp_path / "loomline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert int(run.stdout) == len(registry.QUERIES), run.stderr
