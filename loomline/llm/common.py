@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +21,89 @@ SPACES = " \t\n\x0b\x0c\r"
 CACHE_ENTRIES = 250_000
 
 
+#: Tables written since the innermost scoped() call began.
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation. by: a column of few values that readers select on."""
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation. by: a column of few values that readers select on.
+    In a scoped() operator the table is deleted when the operator's result does not read it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a written() table that nothing will read again."""
-    spark = df.sparkSession
+def _folders(df: DataFrame) -> set[str]:
+    """Folders that the plan of df reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found |= {paths.apply(k).toString() for k in range(paths.size())}
+    return found
+
+
+def _name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a written() table that nothing will read again."""
+    _delete(df.sparkSession, _folders(df))
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nobody holds any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose written() tables live only as long as they are needed: those that its result does not read are deleted when it returns, and so are the shuffle files
+    of its finished steps. What the result reads stays, for the caller's scope if there is one."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _scratch.append([])
+        try:
+            out = operator(*args, **kwargs)
+        except BaseException:
+            _scratch.pop()
+            raise
+        own = _scratch.pop()
+        read = set(map(_name, _folders(out)))
+        if _scratch:
+            _scratch[-1].extend(path for path in own if _name(path) in read)
+        _delete(out.sparkSession, [path for path in own if _name(path) not in read])
+        released(out.sparkSession)
+        return out
+
+    return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -137,9 +204,20 @@ def spans(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def buckets(spark: SparkSession) -> int:
-    """Parts that hashes are dealt into: as many as the session's shuffles have, so they follow the size of the data as those do."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input files for which one more bucket is made; what an operator sends of a text is no more than the text.
+BUCKET_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, of all their columns; 0 where that is not known."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def buckets(df: DataFrame) -> int:
+    """Parts that hashes of df's texts are dealt into: they follow the size of its files, so a part fits a task at any size; at least as many as the session's shuffles have."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // BUCKET_BYTES))
 
 
 def key_columns(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, dropped, written
+from .common import attach, dropped, scoped, written
 
 
+@scoped
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the smallest node of its component) of every node that has a link. Null ends and loops are left out.
 

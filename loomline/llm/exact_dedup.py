@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, dropped, written
+from .common import SPACES, dropped, fresh, scoped, written
 
 #: Characters of the normalised text in the prefix hash.
 PREFIX = 128
@@ -36,6 +36,7 @@ def normalised(text: Column) -> Column:
     return text
 
 
+@scoped
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bool = False, prefix: int = PREFIX, buckets: int = BUCKETS) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -81,6 +82,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", diges
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("full")).alias("text_sha256"))
 
 
+@scoped
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. One of equal rows stays where a key is repeated with its text."""
     labels = exact_groups(docs, key, text)

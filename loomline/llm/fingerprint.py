@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, batch, key_columns, mixed, powers, written
+from .common import MULTIPLIER, batch, key_columns, mixed, powers, scoped, written
 
 WINDOW = 7
 #: Smallest block size, as a power of two, and chunks that a text has at most on average.
@@ -225,6 +225,7 @@ def _carried(kind: int, part: int, doc_id, text: str) -> pa.RecordBatch:
     return batch(EDITED, kind=[kind], part=[part], doc_id=[doc_id], text=[text], **{k: [None] for k in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")})
 
 
+@scoped
 def edit_probe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next document's.
 

@@ -1,21 +1,24 @@
-"""N-gram Jaccard join over a count-vector R-tree, and the components of its links.
+"""N-gram Jaccard join over count vectors, and the components of its links.
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups; a set is the point of its group counts, and the overlap of two sets is at
 most the sum, over the groups, of the smaller of their two counts. Two sets of sizes m and n reach the threshold t if they share at least
 t / (1 + t) * (m + n) shingles.
 
-The tree. Its top level uses the finest groups, one per shingle hash, most of them empty: a node is the box of points that have a given group occupied. Groups are ordered
+Boxes. The index is over the finest groups, one per shingle hash: a box holds the points that have a given group occupied. Groups are ordered
 from rare to frequent (by counts over all documents in LEVELS coarse groups; any order gives the same result), and a set enters only the boxes of its first
-n - ceil(t n) + 1 groups: if two sets share none of these, the summed minima over the rest stay below the bound. In a box, two
-members can only link if the minima over the groups from here on suffice, which their sizes and the place of the group in their orders bound. Larger boxes are split into leaves of LEAF
-members, sorted by size, with a bounding box of their count vectors in COARSE groups; leaves meet only if the summed minima of their upper corners reach
-the bound, members only if those of their points do. Survivors are verified on the sets themselves, made anew from the texts.
+n - ceil(t n) + 1 groups: if two sets share none of these, the summed minima over the rest stay below the bound. In a box, the member at place p of its order can link with
+sets of at most reach = (4 n - 7 p) / 3 shingles, as the minima over the groups from here on must suffice; two members may link only if each is within the other's reach. Members
+that reach nobody leave. Pairs that are left are bounded by the summed minima of their counts in COARSE groups, and those that pass are verified on the sets themselves, made anew
+from the texts. README has figures on a tree over coarse groups alone, which would open nearly all of its nodes.
 
-Two rounds keep large groups of near copies from becoming all their pairs. The first verifies one partner for each member of a box. Its links give components; the
-second takes the pairs of members that are still in different components, all of them, so no link between components is lost.
+Rounds keep large groups of near copies from becoming all their pairs. In the first, each set proposes one partner: the member with the furthest reach that it may link with, over all its boxes.
+The links give components, and only boxes with several components go on; there the members outside the box's largest component look for partners. Where that is much work
+(HEAVY), each proposes one partner of another component, drawn anew in each round, for as long as links are found; then all pairs that are left are judged, in blocks of BLOCK members, so no
+link between components is lost and no group is gathered in one task.
 
 Equal sets share one node. A null or empty text has no shingles, links with nothing and is its own component; a text with fewer words than a shingle is one shingle. A null id
-counts as larger than all others; such rows' component may be null. Rows that repeat an id are nodes by their sets. An empty table gives no rows.
+counts as larger than all others; such rows' component may be null. Rows that repeat an id are nodes by their sets. An empty table gives no rows. Texts of any length are read in
+segments. No column of the input can clash with those made here: only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, attach, batch, buckets, dropped, spans, window_hashes, word_hashes, written
+from .common import WordHashes, attach, batch, buckets, dropped, fresh, scoped, spans, window_hashes, word_hashes, written
 from .components import components
 
 WORDS = 5
@@ -41,16 +44,20 @@ NUMERATOR, DENOMINATOR = 3, 4
 LEVELS, SLICES = 22, 16
 #: Groups of a count vector.
 COARSE = 256
-#: Members of a leaf.
-LEAF = 128
+#: Members of a box that are compared in one task.
+BLOCK = 2048
+#: Pairs to judge per member of the boxes that are left, above which another round of single partners comes first.
+HEAVY = 1024
 #: A group with more than 2 ** HOT_LEVEL occurrences is dealt to several buckets.
 HOT_LEVEL = 14
-#: Marks the place of an entry whose box is spread over buckets.
-SALTED = np.uint32(1 << 31)
 #: Hashes that a task holds before it deals them out.
 HELD = 1 << 20
+#: Pairs of one set that stay together when they meet its points or shingles.
+TOGETHER = 1024
 #: Bits of the filter of documents to verify; its size does not depend on the data.
 FILTER = 1 << 22
+#: Bytes of a set's name.
+NAME = 12
 _NULL = (1 << 63) - 1
 
 
@@ -61,7 +68,7 @@ def shingles(text: str, known: WordHashes, width: int = WORDS) -> np.ndarray:
 
 
 def set_id(found: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(found.tobytes())
+    return xxhash.xxh3_128_digest(found.tobytes())[:NAME]
 
 
 def needed(m, n):
@@ -70,10 +77,10 @@ def needed(m, n):
     return (NUMERATOR * (m + n) + both - 1) // both
 
 
-def may_link(m, p, n, q):
-    """Whether sets of sizes m and n may link if the first group they share is at place p of one and q of the other."""
-    least = needed(m, n)
-    return (m - p >= least) & (n - q >= least) & (NUMERATOR * np.maximum(m, n) <= DENOMINATOR * np.minimum(m, n))
+def reach(n, place):
+    """The largest set that one of n shingles may link with if the first group they share is at this place of its order: n - place >= needed(n, other). Two sets
+    may link only if each is within the other's reach, which implies that their sizes differ by a factor of 4 / 3 at most."""
+    return (DENOMINATOR * n - (NUMERATOR + DENOMINATOR) * place) // NUMERATOR
 
 
 def point(found: np.ndarray) -> bytes:
@@ -87,30 +94,41 @@ def counts_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", COARSE, 1).astype(np.int64)
 
 
+SETS = "kind int, doc_id long, ident long, mark long, n long, sid binary, point binary, slice int, data binary"
 SLICE = "slice int, part int, data binary"
 
 
-def frequency_levels(rows: DataFrame):
-    """log2 of how often each coarse group occurs, as bytes; a broadcast of 2 ** LEVELS bytes. Counts of all documents, summed in a tree."""
+def _sets(source: DataFrame) -> DataFrame:
+    """Kind 0: each row with its set's size, name and point; kind 1: how often each coarse group occurs, a slice of the counts a row, one of each slice a task."""
     size, step = 1 << LEVELS, (1 << LEVELS) // SLICES
 
-    def sent(part: int, counts: np.ndarray) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return batch(SLICE, slice=list(range(SLICES)), part=[part % 64] * SLICES, data=[pack(counts[i * step : (i + 1) * step].astype("<u4").tobytes()) for i in range(SLICES)])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, held, n = WordHashes(), np.zeros(size, np.uint32), [], 0
         for some in batches:
+            out = []
             for value in some.column(1):
-                words = word_hashes(value.as_py().encode("utf-8", "replace").lower(), known)
-                held.append((window_hashes(words, min(WORDS, len(words))) if len(words) else np.empty(0, np.uint64)) & np.uint64(size - 1))
-                n += len(held[-1])
+                found = shingles(value.as_py(), known)
+                out.append((len(found), set_id(found), point(found)) if len(found) else (0, None, None))
+                held.append(found & np.uint64(size - 1))
+                n += len(found)
                 if n >= HELD:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
                     held, n = [], 0
+            if k := len(out):
+                none = [None] * k
+                yield batch(SETS, kind=[0] * k, doc_id=some.column(2), ident=some.column(0), mark=some.column(3), n=[x[0] for x in out], sid=[x[1] for x in out], point=[x[2] for x in out], slice=none, data=none)
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
-        yield sent(TaskContext.get().partitionId(), counts)
+        pack, none = zstandard.ZstdCompressor(level=1).compress, [None] * SLICES
+        data = [pack(counts[i * step : (i + 1) * step].astype("<u4").tobytes()) for i in range(SLICES)]
+        yield batch(SETS, kind=[1] * SLICES, doc_id=[TaskContext.get().partitionId()] * SLICES, ident=none, mark=none, n=none, sid=none, point=none, slice=list(range(SLICES)), data=data)
+
+    return source.select("ident", "text", "doc_id", "mark").mapInArrow(run, SETS)
+
+
+def _levels(slices: DataFrame):
+    """log2 of how often each coarse group occurs, as bytes: a broadcast of 2 ** LEVELS bytes. Counts of all tasks, summed in a tree."""
+    step = (1 << LEVELS) // SLICES
 
     def total(table: pa.Table) -> pa.Table:
         unpack, out = zstandard.ZstdDecompressor().decompress, np.zeros(step, np.uint64)
@@ -119,241 +137,283 @@ def frequency_levels(rows: DataFrame):
         data = zstandard.ZstdCompressor(level=1).compress(np.minimum(out, 2**32 - 1).astype("<u4").tobytes())
         return pa.Table.from_batches([batch(SLICE, slice=[table.column("slice")[0].as_py()], part=[0], data=[data])])
 
-    summed = rows.mapInArrow(count, SLICE).groupBy("slice", "part").applyInArrow(total, SLICE).groupBy("slice").applyInArrow(total, SLICE)
-    levels = np.zeros(size, np.uint8)
+    parts = slices.select("slice", F.pmod("doc_id", F.lit(64)).cast("int").alias("part"), "data")
+    summed = parts.groupBy("slice", "part").applyInArrow(total, SLICE).groupBy("slice").applyInArrow(total, SLICE)
+    levels = np.zeros(1 << LEVELS, np.uint8)
     for r in summed.collect():
         counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u4")
         levels[r.slice * step : (r.slice + 1) * step] = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(levels.tobytes())
+    return slices.sparkSession.sparkContext.broadcast(levels.tobytes())
+
 
+ENTRIES = "bucket int, data binary"
+#: Bytes of an entry: the hash's low 40 bits, the set's name and size, the place in its order (65,535 stands for all later ones: a member is then given more reach than it has), whether the box is spread.
+HASH, SIZE, PLACE = 5, 4, 2
 
-SETS = "kind int, bucket int, doc_id long, ident long, mark long, n long, sid binary, point binary, data binary"
-FOUND = "kind int, a binary, b binary, gid long, leaf int, data binary"
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of each value, all first bytes before all second ones: mostly equal bytes come together and compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-class _Boxes:
+
+def _from_planes(data: bytes, m: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, width * m, at).reshape(width, m).T
+    return out.view("<u8").ravel()
+
+
+class _Entries:
     """Box entries of several sets, until they are dealt out."""
 
     def __init__(self):
-        self.sids, self.sizes, self.hashes, self.levels, self.owner, self.places, self.n = [], [], [], [], [], [], 0
+        self.sids, self.sizes, self.hashes, self.levels, self.n = [], [], [], [], 0
 
     def add(self, sid: bytes, size: int, hashes: np.ndarray, levels: np.ndarray) -> None:
-        self.owner.append(np.full(len(hashes), len(self.sids), np.int32))
         self.sids.append(sid)
         self.sizes.append(size)
         self.hashes.append(hashes)
         self.levels.append(levels)
-        self.places.append(np.arange(len(hashes), dtype=np.uint32))
         self.n += len(hashes)
 
     def dealt(self, n_buckets: int, hot: int) -> pa.RecordBatch:
-        hashes, owner, places, levels = map(np.concatenate, (self.hashes, self.owner, self.places, self.levels))
-        sizes, sids = np.array(self.sizes, np.uint32), np.frombuffer(b"".join(self.sids), np.uint8).reshape(-1, 16)
+        lengths = np.array([len(x) for x in self.hashes])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        places = np.minimum(np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths), 65535).astype(np.uint64)
+        hashes, levels = np.concatenate(self.hashes), np.concatenate(self.levels)
+        sizes, sids = np.array(self.sizes, np.uint64), np.frombuffer(b"".join(self.sids), np.uint8).reshape(-1, NAME)
         self.__init__()
         salts = np.uint64(1) << np.maximum(levels.astype(np.int64) - hot, 0).astype(np.uint64)
-        places |= np.where(salts > np.uint64(1), SALTED, np.uint32(0))
         salt = sids[owner, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
         bucket = (((hashes >> np.uint64(48)) + salt % salts) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        bucket, owner, hashes, places = bucket[order], owner[order], hashes[order], places[order]
+        low = hashes & np.uint64((1 << 8 * HASH) - 1)
+        order = np.lexsort((low, bucket))
+        bucket, owner, low, places, spread = bucket[order], owner[order], low[order], places[order], (salts > np.uint64(1))[order]
         begins, _ = spans(bucket)
-        edges, data = [*begins.tolist(), len(bucket)], []
-        for i, j in zip(edges, edges[1:]):
-            firsts, _ = spans(owner[i:j])
-            who, counts = owner[i:j][firsts], np.diff([*firsts.tolist(), j - i]).astype("<u4")
-            low = np.ascontiguousarray(hashes[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            data.append(b"".join([struct.pack("<II", len(who), j - i), sids[who].tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), low, places[i:j].astype("<u4").tobytes()]))
-        n, none = len(data), [None] * len(data)
-        return batch(SETS, kind=[1] * n, bucket=bucket[begins].astype(np.int32), doc_id=none, ident=none, mark=none, n=none, sid=none, point=none, data=data)
-
-
-def _pairs(gid: list, leaf: list, data: list, a: np.ndarray, b: np.ndarray, sids: np.ndarray) -> pa.Table:
-    """Kind 0: pairs of sets, each once; kind 1: leaves."""
-    if len(a):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(low.astype(np.int64) * len(sids) + high)
-        a, b = both // len(sids), both % len(sids)
-    n, k = len(a), len(gid)
-    raw = sids.tobytes()
-    pick = lambda at: [raw[16 * i : 16 * i + 16] for i in at.tolist()]
-    return pa.Table.from_batches([batch(FOUND, kind=[0] * n + [1] * k, a=pick(a) + [None] * k, b=pick(b) + [None] * k, gid=[None] * n + gid, leaf=[None] * n + leaf, data=[None] * n + data)])
-
-
-def _boxes(table: pa.Table, most: int) -> pa.Table:
-    """Of one bucket: a first partner for each member of a box, and the leaves (of `most` members) of boxes with more than two."""
+        data = []
+        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]):
+            who = owner[i:j]
+            data.append(b"".join([struct.pack("<I", j - i), _planes(low[i:j], HASH), _planes(sizes[who], SIZE), _planes(places[i:j], PLACE), spread[i:j].tobytes(), sids[who].tobytes()]))
+        return batch(ENTRIES, bucket=bucket[begins].astype(np.int32), data=data)
+
+
+def _entries(source: DataFrame, levels, n_buckets: int, hot: int) -> DataFrame:
+    """Entries of all sets, one row per bucket each time a task deals out; a set is dealt out once each time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, done = WordHashes(), _Entries(), set()
+        level = np.frombuffer(levels.value, np.uint8)
+        for some in batches:
+            for value in some.column(0):
+                found = shingles(value.as_py(), known)
+                n = len(found)
+                if not n or (sid := set_id(found)) in done:
+                    continue
+                done.add(sid)
+                own = level[(found & np.uint64((1 << LEVELS) - 1)).astype(np.int64)]
+                first = np.argsort((own.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
+                held.add(sid, n, found[first], own[first])
+                if held.n >= HELD:
+                    yield held.dealt(n_buckets, hot)
+                    done.clear()
+        if held.n:
+            yield held.dealt(n_buckets, hot)
+
+    return source.select("text").mapInArrow(run, ENTRIES)
+
+
+#: Kind 0: a set's best partner in a bucket. Kind 1: a member of a box that reaches another member.
+FOUND = "kind int, gid long, a binary, b binary, n long, reach long"
+
+
+def _boxes(table: pa.Table) -> pa.Table:
+    """Of one bucket: one partner for each set, and the members of its boxes that may link with another one. Of a box that is spread over buckets all members stay, as their
+    partners may be elsewhere."""
     parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-    base = 0
     for value in table.column("data"):
         data = value.as_py()
-        n, m = struct.unpack_from("<II", data)
-        at = 8
-        parts[0].append(np.frombuffer(data, np.uint8, 16 * n, at).reshape(-1, 16))
-        parts[1].append(np.frombuffer(data, "<u4", n, at := at + 16 * n))
-        counts = np.frombuffer(data, "<u4", n, at := at + 4 * n)
-        parts[2].append(np.repeat(np.arange(base, base + n), counts))
-        low = np.zeros((m, 8), np.uint8)
-        low[:, :6] = np.frombuffer(data, np.uint8, 6 * m, at := at + 4 * n).reshape(-1, 6)
-        parts[3].append(low.view("<u8").ravel())
-        parts[4].append(np.frombuffer(data, "<u4", m, at + 6 * m))
-        base += n
-    rows, sizes, owner, hashes, places = map(np.concatenate, parts)
+        (m,), at = struct.unpack_from("<I", data), 4
+        for part, width in zip(parts, (HASH, SIZE, PLACE)):
+            part.append(_from_planes(data, m, width, at))
+            at += width * m
+        parts[3].append(np.frombuffer(data, bool, m, at))
+        parts[4].append(np.frombuffer(data, np.uint8, NAME * m, at + m).reshape(-1, NAME))
+    low, size, place, spread, sids = map(np.concatenate, parts)
+    bucket = table.column("bucket")[0].as_py()
+    box = low.astype(np.int64) << 1 | spread
+    order = np.argsort(box, kind="stable")
+    begins, run = spans(box[order])
+    order = order[(np.bincount(run) > 1)[run] | spread[order]]
     # Equal sets of several tasks are one.
-    keys, firsts, same = np.unique(np.ascontiguousarray(rows).view("V16").ravel(), return_index=True, return_inverse=True)
-    sids, sizes, owner = rows[firsts], sizes[firsts].astype(np.int64), same[owner]
-    order = np.lexsort((owner, hashes))
-    hashes, owner, places = hashes[order], owner[order], places[order]
-    spread, places = (places & SALTED) > 0, (places & ~SALTED).astype(np.int64)
-    once = np.ones(len(hashes), bool)
-    once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner, places, spread = hashes[once], owner[once], places[once], spread[once]
-    begins, run = spans(hashes)
-    counts = np.bincount(run, minlength=len(begins))
-    two = begins[counts == 2]
-    ok = may_link(sizes[owner[two]], places[two], sizes[owner[two + 1]], places[two + 1])
-    a, b = [owner[two[ok]]], [owner[two[ok] + 1]]
-    gid, leaf, data, seen = [], [], [], {}
-    home = table.column("bucket")[0].as_py() % (1 << 15) << 16
-    wanted = (counts > 2) | spread[begins]
-    for at, k in zip(begins[wanted].tolist(), counts[wanted].tolist()):
-        who, place = owner[at : at + k], places[at : at + k]
-        size = sizes[who]
-        by_size = np.argsort(size, kind="stable")
-        who, place, size = who[by_size], place[by_size], size[by_size]
-        partner = _partners(size, place, who)
-        live = partner >= 0
-        if not live.any() and not spread[at]:
-            continue
-        a.append(who[live])
-        b.append(who[partner[live]])
-        # A member that is another's partner is alive as well; of a box that is spread over buckets all are, as their partners may be elsewhere.
-        live[partner[live]] = True
-        live |= spread[at]
-        who, place, size = who[live], place[live], size[live]
-        if len(who) < 3 and not spread[at]:
-            continue
-        name = int(hashes[at])
-        parts = [slice(i, i + most) for i in range(0, len(who), most)]
-        leaves = [sids[who[x]].tobytes() + size[x].astype("<u4").tobytes() + place[x].astype("<u4").tobytes() for x in parts]
-        # Of boxes with the same members only the first in their order is kept, as a pair is judged at its first box. The order is the same for all members.
-        key = name if spread[at] else xxhash.xxh3_128_digest(who.tobytes())
-        first, begin = seen.get(key, (None, len(gid)))
-        if first is None:
-            gid += [name] * len(parts)
-            leaf += [home + i for i in range(len(parts))]
-            data += leaves
-        elif place[0] < first:
-            gid[begin : begin + len(parts)], data[begin : begin + len(parts)] = [name] * len(parts), leaves
-        else:
-            continue
-        seen[key] = place[0], begin
-    return _pairs(gid, leaf, data, np.concatenate(a), np.concatenate(b), sids)
-
-
-def _partners(size: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each member, in order of size, the one of the others that it may link with whose set id is smallest; -1: none. Boxes of the same family thus
-    choose the same few partners. A few rows of the table of pairs at a time."""
-    n = len(size)
-    out, best = np.full(n, -1, np.int64), np.full(n, np.iinfo(np.int64).max)
-    for at in range(0, n, 512):
-        rows = np.arange(at, min(n, at + 512))
-        low = np.searchsorted(size, NUMERATOR * size[rows[0]] // DENOMINATOR, "left")
-        high = np.searchsorted(size, DENOMINATOR * size[rows[-1]] // NUMERATOR + 1, "right")
-        for start in range(low, high, 4096):
-            columns = np.arange(start, min(high, start + 4096))
-            fits = may_link(size[rows, None], place[rows, None], size[None, columns], place[None, columns])
-            fits &= rows[:, None] != columns[None, :]
-            ranks = np.where(fits, rank[None, columns], np.iinfo(np.int64).max)
-            first = ranks.argmin(1)
-            found = ranks[np.arange(len(rows)), first]
-            better = found < best[rows]
-            best[rows[better]], out[rows[better]] = found[better], columns[first[better]]
-    return out
+    names, rank = np.unique(np.ascontiguousarray(sids[order]).view(f"V{NAME}").ravel(), return_inverse=True)
+    box, n, place = box[order], size[order].astype(np.int64), place[order].astype(np.int64)
+    order = np.lexsort((place, rank, n, box))
+    box, n, place, rank = box[order], n[order], place[order], rank[order]
+    once = np.ones(len(box), bool)
+    once[1:] = (box[1:] != box[:-1]) | (rank[1:] != rank[:-1])
+    box, n, place, rank = box[once], n[once], place[once], rank[once]
+    i, partner, alive = _partners(box, n, reach(n, place))
+    best = np.lexsort((rank[partner], -reach(n, place)[partner], rank[i]))
+    i, partner = i[best], partner[best]
+    firsts, _ = spans(rank[i])
+    i, partner = i[firsts], partner[firsts]
+    alive = np.flatnonzero(alive | (box & 1 == 1))
+    gid = np.where(box & 1 == 1, -(box >> 1) - 1, bucket << 8 * HASH | box >> 1)
+    raw = names.tobytes()
+    pick = lambda at: [raw[NAME * k : NAME * k + NAME] for k in rank[at].tolist()]
+    k, none = len(i), [None] * len(alive)
+    columns = {"kind": [0] * k + [1] * len(alive), "gid": [None] * k + gid[alive].tolist(), "a": pick(i) + pick(alive), "b": pick(partner) + none}
+    columns |= {"n": [None] * k + n[alive].tolist(), "reach": reach(n, place)[partner].tolist() + reach(n, place)[alive].tolist()}
+    return pa.Table.from_batches([batch(FOUND, **columns)])
+
+
+def _partners(box: np.ndarray, n: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members (ordered by box, then size) with a partner, the partners, and which members may have one. A member's partner is, of the members within its reach, the one with the furthest
+    reach: if that does not reach back, none does. Linear in the members but for a search."""
+    places = np.arange(len(box))
+    begins, run = spans(box)
+    far = np.maximum(far, 0)
+    key = run.astype(np.int64) << 32
+    both = key + far
+    record = np.maximum.accumulate(np.where(both >= np.maximum.accumulate(both), places, 0)) if len(box) else places
+    last = np.searchsorted(key + n, both, "right") - 1
+    inside = last >= begins[run] if len(box) else np.zeros(0, bool)
+    last = np.maximum(last, 0)
+    best = record[last]
+    fits = lambda j: inside & (j >= 0) & (j != places) & (run[j] == run) & (n[j] <= far) & (n <= far[j])
+    # Where a member is itself the furthest one within its reach: the furthest before it, or the next one.
+    own = best == places
+    before = record[np.maximum(places - 1, 0)]
+    after = np.minimum(places + 1, len(box) - 1)
+    second = np.where(fits(before), before, after)
+    partner = np.where(own, second, best)
+    found = fits(partner)
+    # Of those, one whose two choices do not fit may still have a partner further on.
+    alive = found | (inside & own & (last > places))
+    return np.flatnonzero(found), partner[found], alive
 
 
 PAIRS = "a binary, b binary"
 
 
-def _leaf(held: list[dict]) -> tuple:
-    """Sizes, places, labels, each member's boxes in its order, and their places by box."""
-    boxes = [[x["gid"] for x in m["boxes"]] for m in held]
-    return np.array([m["n"] for m in held], np.int64), np.array([m["place"] for m in held], np.int64), np.array([m["label"] for m in held], object), boxes, [set(b) for b in boxes]
-
+def _several(found: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """Members of boxes that hold several components, with their component, the box's largest one and how many members it has in and outside that; rows, and pairs to judge."""
+    members = found.where("kind = 1").select("gid", F.col("a").alias("sid"), "n", "reach")
+    if labels is not None:
+        members = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    else:
+        members = members.withColumn("label", F.col("sid"))
+    members = written(members.select("gid", "sid", "n", "reach", "label"), "members")
+    parts = members.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("c"))
+    boxes = parts.groupBy("gid").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"))
+    boxes = written(boxes.where("size > most.c").select("gid", "size", (F.col("size") - F.col("most.c")).alias("others"), F.col("most.label").alias("major")), "several")
+    sums = boxes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("size") * F.col("others")), F.lit(0)).alias("pairs")).collect()[0]
+    mixed = written(attach(members, boxes, "gid", "size", members.count()).where("size is not null"), "mixed")
+    for t in (members, boxes):
+        dropped(t)
+    return mixed, sums["rows"], sums["pairs"]
 
-def _corner(held: list[dict]) -> np.ndarray:
-    return np.array([counts_of(m["point"]) for m in held])
 
+MET = "gid long, i long, j long, asks boolean, sid binary, n long, reach long, label binary, other boolean"
 
-def _meet(gid: int, left: list[dict], right: list[dict], same: bool, points: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs of members of two leaves that may link, are in different components and meet here first. points: leaves have corners, which are compared first, then the members' points."""
-    (m, p, c, boxes, _), (n, q, d, _, known) = _leaf(left), _leaf(right)
-    if points:
-        x, y = _corner(left), _corner(right)
-        if not same and np.minimum(x.max(0), y.max(0)).sum() < needed(int(m.min()), int(n.min())):
-            return []
-    fits = may_link(m[:, None], p[:, None], n[None, :], q[None, :]) & (c[:, None] != d[None, :])
-    if same:
-        fits &= np.arange(len(m))[:, None] < np.arange(len(n))[None, :]
-    i, j = np.nonzero(fits)
-    if points and len(i):
-        ok = np.concatenate([np.minimum(x[i[k : k + 4096]], y[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)]) >= needed(m[i], n[j])
-        i, j = i[ok], j[ok]
-    found = []
-    for u, v in zip(i.tolist(), j.tolist()):
-        if next(g for g in boxes[u] if g in known[v]) == gid:
-            a, b = left[u]["sid"], right[v]["sid"]
-            found.append((a, b) if a < b else (b, a))
-    return found
 
+def _meetings(mixed: DataFrame, n_parts: int, round_no: int | None, block: int) -> DataFrame:
+    """Pairs of box members in different components that are within each other's reach: all of them, or with a round number one for each member outside the box's largest component
+    (drawn from one block of the box).
 
-def _different(found: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of box members in different components that sizes and places (and in large boxes corners and points) let pass, each in the first box that both are in."""
+    The members outside the largest component ask, all members answer. A box of several blocks is a table of blocks that ask and blocks that answer; each of its cells is a group of at most
+    two blocks, and members are sent to the cells of their row or column.
+    """
+    cut = lambda size: F.ceil(F.col(size) / F.lit(block))
+    seed = F.lit(round_no or 0)
+    place = lambda *of, into: F.pmod(F.xxhash64(*of, seed), into)
+    other = F.col("label") != F.col("major")
+    rows = mixed.withColumns({"other": other, "asking": cut("others") if round_no is None else F.lit(1).cast("long"), "answering": cut("size")})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = place("sid", into=F.col("answering"))
+    asks = rows.where("other").withColumn("i", place("sid", into=F.col("asking")))
+    asks = asks.withColumn("j", every(F.col("answering")) if round_no is None else place("sid", "gid", into=F.col("answering"))).withColumn("asks", F.lit(True))
+    answers = rows.withColumn("j", own).withColumn("i", every(F.col("asking"))).withColumn("asks", F.lit(False))
+    names = [x.split()[0] for x in MET.split(", ")]
+    both = asks.select(*names).unionByName(answers.select(*names))
+    dealt = both.repartition(n_parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "asks")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in batches:
-            for gid, leaf, data in zip(*(c.to_pylist() for c in some.columns)):
-                k = len(data) // 24
-                size, place = (np.frombuffer(data, "<u4", k, at).tolist() for at in (16 * k, 20 * k))
-                yield batch("gid long, leaf int, sid binary, n long, place long", gid=[gid] * k, leaf=[leaf] * k, sid=[data[16 * i : 16 * i + 16] for i in range(k)], n=size, place=place)
-
-    members = found.where("kind = 1").select("gid", "leaf", "data").mapInArrow(unpack, "gid long, leaf int, sid binary, n long, place long")
-    known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    known = written(known, "members")
-    mixed_boxes = known.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("leaf").alias("i"), F.max("leaf").alias("j")).where("x <> y").select("gid", (F.col("i") < F.col("j")).alias("large"))
-    rows = written(known.join(mixed_boxes, "gid"), "mixed")
-    # A member's boxes in its own order, which is the common order of all groups.
-    orders = rows.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "gid"))).alias("boxes"))
-    rows = rows.join(orders, "sid")
-    member = ("sid", "n", "place", "label", "boxes")
-    small = rows.where("not large").groupBy("gid").agg(F.collect_list(F.struct(*member)).alias("held"))
-
-    def meet_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in batches:
-            for gid, held in zip(some.column(0).to_pylist(), some.column(1)):
-                own = held.as_py()
-                ends = _meet(gid, own, own, True, False)
-                if ends:
-                    yield batch(PAIRS, a=[e[0] for e in ends], b=[e[1] for e in ends])
-
-    # Boxes of one hash may come from several buckets: their leaves get numbers of their own.
-    leaves = rows.where("large").join(points.select("sid", "point"), "sid").groupBy("gid", "leaf").agg(F.collect_list(F.struct(*member, "point")).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"))
-    leaves = written(leaves.withColumn("number", F.monotonically_increasing_id()), "leaves")
-    side = lambda k, held: leaves.select("gid", F.col("number").alias(k), F.col("held").alias(held), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
-    met = side("i", "x").join(side("j", "y"), "gid").where(f"i <= j and {NUMERATOR} * low_i <= {DENOMINATOR} * high_j and {NUMERATOR} * low_j <= {DENOMINATOR} * high_i").select("gid", "i", "j", "x", "y")
-
-    def meet_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rng = None, np.random.default_rng(round_no or 0)
         for some in batches:
-            for gid, i, j, x, y in zip(*(some.column(k).to_pylist() for k in range(3)), some.column(3), some.column(4)):
-                ends = _meet(gid, x.as_py(), y.as_py(), i == j, True)
-                yield batch(PAIRS, a=[e[0] for e in ends], b=[e[1] for e in ends])
+            table = pa.Table.from_batches([some])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = [table.column(k).to_numpy() for k in range(3)]
+            n = table.num_rows
+            if not n:
+                continue
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            # The last group may go on in the next batch.
+            start = n - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = table.slice(start)
+            if start:
+                yield from _judged(table.slice(0, start), round_no is not None, rng)
+        if held is not None and held.num_rows:
+            yield from _judged(held, round_no is not None, rng)
+
+    return dealt.mapInArrow(run, PAIRS)
+
+
+#: Pairs that are judged at once.
+CHUNK = 1 << 21
+
+
+def _judged(table: pa.Table, one: bool, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
+    """Of complete groups, ordered by group with those that answer first."""
+    gid, i, j, asks, n, far, other = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6, 8))
+    change = np.ones(len(gid), bool)
+    change[1:] = (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    begins, run = np.flatnonzero(change), np.cumsum(change) - 1
+    answer_counts = np.bincount(run, weights=~asks, minlength=len(begins)).astype(np.int64)
+    names, rank = np.unique(np.array([x.as_py().ljust(NAME, b"\0") for x in table.column(4)], f"S{NAME}").view(f"V{NAME}"), return_inverse=True)
+    _, label = np.unique(np.array([x.as_py().ljust(NAME, b"\0") for x in table.column(7)], f"S{NAME}").view(f"V{NAME}"), return_inverse=True)
+    who = np.flatnonzero(asks)
+    counts = answer_counts[run[who]]
+    ends = np.cumsum(counts)
+    raw, at = names.tobytes(), 0
+    pick = lambda x: [raw[NAME * k : NAME * k + NAME] for k in x.tolist()]
+    while at < len(who):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        k = counts[at:stop]
+        x = np.repeat(who[at:stop], k)
+        y = np.repeat(begins[run[who[at:stop]]], k) + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        # Two that both ask meet twice.
+        fits = (n[y] <= far[x]) & (n[x] <= far[y]) & (label[x] != label[y]) & (one | ~other[y] | (rank[x] < rank[y]))
+        x, y = x[fits], y[fits]
+        if one:
+            drawn = np.lexsort((rng.random(len(x)), x))
+            x, y = x[drawn], y[drawn]
+            firsts, _ = spans(x)
+            x, y = x[firsts], y[firsts]
+            a, b = rank[x], rank[y]
+        else:
+            both = np.unique(np.minimum(rank[x], rank[y]).astype(np.int64) * len(names) + np.maximum(rank[x], rank[y]))
+            a, b = both // len(names), both % len(names)
+        if len(a):
+            yield batch(PAIRS, a=pick(a), b=pick(b))
+        at = stop
+
 
-    return small.mapInArrow(meet_small, PAIRS).unionByName(met.mapInArrow(meet_large, PAIRS)).distinct()
+def _beside(pairs: DataFrame, sets: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """pairs with sets[column] of the set named by pairs[key]. A set with very many pairs is sent to them in several copies, each for TOGETHER of them. pairs: a written() table."""
+    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    many = attach(pairs, sizes, key, "_size", pairs.count()).withColumn("_copies", F.ceil(F.col("_size") / F.lit(TOGETHER)))
+    other = "b" if key == "a" else "a"
+    dealt = many.withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies"))).drop("_size", "_copies")
+    copies = sizes.select(F.col(key).alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.lit(TOGETHER)) - 1)).alias("_copy"))
+    sent = copies.join(sets.select("sid", F.col(column).alias(name)), "sid").withColumnRenamed("sid", key)
+    return dealt.join(sent, [key, "_copy"]).drop("_copy")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs whose points' summed minima reach the bound."""
-    one = points.select(F.col("sid").alias("a"), F.col("point").alias("x"), F.col("n").alias("m"))
-    two = points.select(F.col("sid").alias("b"), F.col("point").alias("y"), "n")
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "m", "n")
+    sized = points.select("sid", F.struct("point", "n").alias("of"))
+    one = written(_beside(written(pairs, "proposed"), sized, "a", "of", "x"), "one")
+    rows = _beside(one, sized, "b", "of", "y").select("a", "b", F.col("x.point").alias("x"), F.col("y.point").alias("y"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -389,7 +449,8 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame) -> DataFra
 
     listed = source.select("ident", "text", place("ident").alias("place")).mapInArrow(run, LISTED)
     sets = written(listed.join(wanted, ["sid", "ident"], "left_semi").dropDuplicates(["sid"]).select("sid", "data"), "sets")
-    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
+    one = written(_beside(pairs, sets, "a", "data", "x"), "one")
+    joined = _beside(one, sets, "b", "data", "y").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -402,7 +463,7 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame) -> DataFra
             yield batch(PAIRS, a=some.column(0).filter(keep), b=some.column(1).filter(keep))
 
     links = written(joined.mapInArrow(check, PAIRS), "links")
-    for t in (pairs, wanted, sets):
+    for t in (pairs, wanted, sets, one):
         dropped(t)
     return links
 
@@ -412,62 +473,66 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return classes(docs, key, text).drop("mark")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", leaf: int = LEAF, hot: int = HOT_LEVEL) -> DataFrame:
+@scoped
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, heavy: int = HEAVY, hot: int = HOT_LEVEL) -> DataFrame:
     """near_duplicates() with `mark`, a hash of the text that tells rows of one id apart."""
-    n_buckets = buckets(docs.sparkSession)
+    n_buckets = buckets(docs)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("ident"), body.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"))
-    levels = frequency_levels(source.select("ident", "text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, done = WordHashes(), _Boxes(), set()
-        level = np.frombuffer(levels.value, np.uint8)
-        for some in batches:
-            out = []
-            for value in some.column(1):
-                found = shingles(value.as_py(), known)
-                if not len(found):
-                    out.append((0, None, None))
-                    continue
-                sid, n = set_id(found), len(found)
-                out.append((n, sid, None if sid in done else point(found)))
-                if sid in done:
-                    continue
-                done.add(sid)
-                own = level[(found & np.uint64((1 << LEVELS) - 1)).astype(np.int64)]
-                first = np.argsort((own.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
-                held.add(sid, n, found[first], own[first])
-                if held.n >= HELD:
-                    yield held.dealt(n_buckets, hot)
-                    done.clear()
-            k = len(out)
-            if k:
-                yield batch(SETS, kind=[0] * k, bucket=[None] * k, doc_id=some.column(2), ident=some.column(0), mark=some.column(3), n=[x[0] for x in out], sid=[x[1] for x in out], point=[x[2] for x in out], data=[None] * k)
-        if held.n:
-            yield held.dealt(n_buckets, hot)
-
-    table = written(source.select("ident", "text", "doc_id", "mark").mapInArrow(run, SETS), "boxes", "kind")
+    table = written(_sets(source), "sets", "kind")
     rows = table.where("kind = 0").select("doc_id", "mark", "n", "sid")
     points = written(table.where("kind = 0 and sid is not null").groupBy("sid").agg(F.min("ident").alias("ident"), F.max("n").alias("n"), F.max("point").alias("point"), F.count(F.lit(1)).alias("same")), "points")
-    found = written(table.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: _boxes(t, leaf), FOUND), "found", "kind")
-    first = _verified(_bounded(found.where("kind = 0").select("a", "b").distinct(), points), points, source)
-    labels = components(first)
-    second = _verified(_bounded(_different(found, labels, points), points), points, source)
-    labels = components(first.unionByName(second)) if second.limit(1).count() else labels
+    levels = _levels(table.where("kind = 1"))
+    found = written(_entries(source, levels, n_buckets, hot).groupBy("bucket").applyInArrow(_boxes, FOUND), "found", "kind")
+
+    proposed = found.where("kind = 0").groupBy("a").agg(F.max(F.struct("reach", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links = _verified(_bounded(proposed, points), points, source)
+    labels = components(links)
+    mixed, n_rows, n_pairs = _several(found, labels)
+    round_no = 0
+    while n_pairs > heavy * n_rows:
+        round_no += 1
+        drawn = _meetings(mixed, n_buckets, round_no, block).groupBy("a").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(round_no)).alias("order"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        new = _verified(_bounded(drawn, points), points, source)
+        if not new.limit(1).count():
+            break
+        links = written(links.unionByName(new), "links")
+        labels = components(links)
+        mixed, n_rows, n_pairs = _several(found, labels)
+    if n_rows:
+        rest = _verified(_bounded(_meetings(mixed, n_buckets, None, block).distinct(), points), points, source)
+        if rest.limit(1).count():
+            labels = components(links.unionByName(rest))
 
     sets = points.select("sid", "ident", "same").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     sets = written(sets, "classes")
     smallest = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("ident").alias("component_id"))
     total = rows.count()
-    of_set = attach(sets, smallest, "label", "size", total).select("sid", "same", "component_id")
+    of_set = written(attach(sets, smallest, "label", "size", total).select("sid", "same", "component_id"), "components")
+    rows = written(rows, "rows")
     out = attach(rows, of_set, "sid", "same", total)
-    dropped(found)
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(_NULL)))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+@scoped
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component, with all their columns. Rows that repeat both id and text stay together; exact dedup is for those."""
-    gone = classes(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.join(gone, (F.col(key).cast("long") == F.col("_gone")) & (F.xxhash64(body) == F.col("_mark")), "left_anti")
+    """The rows of docs that are the smallest id of their component, with all their columns. A row without an id goes if its component has a row with one; of a component without any id
+    the rows with the smallest hash of their text stay. Rows that repeat both id and text stay together; exact dedup is for those.
+
+    The texts are shuffled only if the rows to remove are too many for a broadcast, which Spark decides by their size.
+    """
+    found = classes(docs, key, text)
+    gone = found.where("component_id <> doc_id or (component_id is not null and doc_id is null)").select("doc_id", "mark")
+    nameless = found.where("component_id is null")
+    if nameless.limit(1).count():
+        # Without the ids, such rows' components are found anew with the hash of the text as the id.
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        alone = docs.where(F.col(key).cast("long").isNull()).select(F.xxhash64(body).alias("mark"), body.alias("text"))
+        alone = alone.join(nameless.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+        again = classes(alone, "mark", "text").where("n_shingles > 0 and component_id <> doc_id")
+        gone = gone.unionByName(again.select(F.lit(None).cast("long").alias("doc_id"), F.col("doc_id").alias("mark")))
+    ident, mark = fresh(docs, "gone_id", "gone_mark")
+    gone = written(gone.select(F.col("doc_id").alias(ident), F.col("mark").alias(mark)).distinct(), "gone")
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone[ident]) & (F.xxhash64(body) == gone[mark]), "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, attach, batch, key_columns, written
+from .common import CACHE_ENTRIES, attach, batch, key_columns, scoped, written
 
 #: Labelled texts in the fit, and trigram rows kept, at most.
 SAMPLE, GRAMS = 8_000, 60_000
@@ -130,6 +130,7 @@ class TextModel:
         return 0.999 * p / p.sum() + 0.001 / len(p)
 
 
+@scoped
 def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", strength: float = STRENGTH) -> DataFrame:
     """Per row: page_id, language, probability, text_language, text_probability, declared, suffix, host."""
     model_rows = gram_counts(docs)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
-from .common import CACHE_ENTRIES, batch, key_columns, mixed, written
+from .common import CACHE_ENTRIES, batch, key_columns, mixed, scoped, written
 
 LIMIT = 4096
 DIMENSIONS, BITS = 4, 8
@@ -242,6 +242,7 @@ class _Sequences:
         return batch(PIECES, **dict(zip((f.split()[0] for f in PIECES.split(", ")), map(list, columns))))
 
 
+@scoped
 def pack(docs: DataFrame, path: str, end: int = 2, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import json

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch, buckets, mixed, spans, window_hashes, word_hashes, word_segments, written
+from .common import WordHashes, batch, buckets, dropped, fresh, mixed, released, scoped, spans, window_hashes, word_hashes, word_segments, written
 
 WIDTH = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of its six members.
@@ -280,9 +280,10 @@ def _plain_digest(data: bytes) -> tuple[int, str]:
     return total, digest.hexdigest()
 
 
+@scoped
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """Per row: doc_id, ident, mark, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; with texts=True, where words went)."""
-    n_buckets = buckets(docs.sparkSession)
+    n_buckets = buckets(docs)
     rows = _keyed(docs, key, text)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +329,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
             yield from map(_mixed, _flush_windows(held, n_buckets))
 
     table = written(joined.mapInArrow(second, MIXED), "windows", "kind")
+    dropped(dealt)
+    del dealt, joined
+    released(docs.sparkSession)
     doubtful = table.where("kind = 3").select("ident", "mark", "doc_id", "text")
     judged = doubtful.join(_all_told(table, _later_windows(n_buckets), 8), ["ident", "mark"], "left").select("ident", "mark", "doc_id", "text", "found")
 
@@ -368,11 +372,13 @@ def _left(data: bytes, gone: np.ndarray) -> bytes:
     return b" ".join(parts)
 
 
+@scoped
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """docs with all their columns; where words went, the text is the words left, joined by one space, and its length is counted anew."""
-    changed = remove_repeats(docs, key, text, texts=True).where("n_removed > 0").select(F.col("ident").alias("_ident"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept")).dropDuplicates(["_ident", "_mark"])
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_i": F.coalesce(F.col(key).cast("long"), F.lit(_NULL)), "_m": F.xxhash64(body)})
-    joined = keyed.join(changed, (F.col("_i") == F.col("_ident")) & (F.col("_m") == F.col("_mark")), "left")
-    columns = [F.coalesce("_kept", text).alias(c) if c == text else F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length else F.col(c) for c in docs.columns]
+    """docs with all their columns; where words went, the text is the words left, joined by one space, and its length is counted anew. Other columns may have any names."""
+    ident, mark, kept = fresh(docs, "of_ident", "of_mark", "of_kept")
+    changed = remove_repeats(docs, key, text, texts=True).where("n_removed > 0").select(F.col("ident").alias(ident), F.col("mark").alias(mark), F.col("kept").alias(kept))
+    changed = written(changed.dropDuplicates([ident, mark]), "changed")
+    same_row = (F.coalesce(docs[key].cast("long"), F.lit(_NULL)) == changed[ident]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == changed[mark])
+    joined = docs.join(changed, same_row, "left")
+    columns = [F.coalesce(kept, text).alias(c) if c == text else F.when(F.col(kept).isNotNull(), F.char_length(kept).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length else F.col(c) for c in docs.columns]
     return joined.select(*columns)

@@ -371,17 +371,47 @@ def test_jaccard_join_against_brute_force(spark, seed):
     assert got == helpers.jaccard(rows)
 
 
-def test_jaccard_join_with_small_leaves_and_spread_boxes(spark):
+@pytest.mark.parametrize(("block", "heavy"), [(4, 1 << 20), (4, 0), (2048, 0)])
+def test_jaccard_join_in_small_blocks_and_rounds_with_spread_boxes(spark, block, heavy):
     rows = helpers.corpus(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame(spark, rows, 5), leaf=4, hot=5).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(frame(spark, rows, 5), block=block, heavy=heavy, hot=5).collect()}
     assert got == helpers.jaccard(rows)
 
 
+def test_partners_within_reach():
+    r = random.Random(10)
+    for _ in range(300):
+        members = sorted((r.randint(0, 2), r.randint(1, 40), r.randint(0, 8)) for _ in range(r.randint(0, 12)))
+        box, n, place = (np.array([m[k] for m in members], np.int64) for k in range(3))
+        far = jaccard_join.reach(n, place)
+        fits = lambda i, j: i != j and box[i] == box[j] and n[j] <= far[i] and n[i] <= far[j]
+        who, partner, alive = jaccard_join._partners(box, n, far)
+        assert all(fits(i, j) for i, j in zip(who, partner)) and set(who) <= set(np.flatnonzero(alive))
+        assert {i for i in range(len(box)) if any(fits(i, j) for j in range(len(box)))} <= set(np.flatnonzero(alive))
+
+
+def test_reach_is_the_bound_of_the_minima():
+    for n in range(1, 60):
+        for place in range(n // 4 + 1):
+            for other in range(1, 90):
+                assert (other <= jaccard_join.reach(n, place)) == (n - place >= jaccard_join.needed(n, other))
+
+
 def test_one_of_each_tells_rows_of_one_id_apart(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(1, base), (5, base + " x"), (5, "quite another text with words of its own"), (None, base + " y")]
     kept = jaccard_join.one_of_each(frame(spark, rows)).collect()
-    assert sorted(r.text for r in kept if r.doc_id is not None) == sorted([base, "quite another text with words of its own"])
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, base), (5, "quite another text with words of its own")])
+
+
+def test_one_of_each_without_ids_and_with_clashing_names(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, base + " x"), (None, base + " y"), (None, "on its own"), (None, None), (7, "another on its own")]
+    df = frame(spark, rows).withColumns({x: F.lit(1) for x in ("gone_id", "gone_mark", "mark", "component_id", "_gone", "_mark", "n", "label")})
+    kept = jaccard_join.one_of_each(df)
+    got = kept.collect()
+    assert kept.columns == df.columns and len(got) == 4 and all(r.gone_id == 1 and r._mark == 1 for r in got)
+    assert sum((r.text or "").startswith(base) for r in got) == 1
 
 
 def test_components_of_chains_and_stars(spark):
