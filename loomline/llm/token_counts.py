@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Lengths in one block of the two-level sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
@@ -58,19 +58,14 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def truncated(sums: DataFrame, limit: int) -> DataFrame:
-    """Totals for any context limit: one row with docs, tokens, tokens left after cutting at the limit, and documents cut."""
-    over = F.col("length") > limit
-    kept = F.sum(F.least(F.col("length"), F.lit(limit)) * F.col("n_docs"))
-    return sums.agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"),
-        F.coalesce(F.sum(F.col("length") * F.col("n_docs")), F.lit(0)).alias("n_tokens"),
-        F.coalesce(kept, F.lit(0)).alias("kept_tokens"),
-        F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("cut_docs"),
-    )
+    """Totals for any context limit, from the suffix sums of the first length above it: one row with docs, tokens, tokens left after cutting at the limit, and documents cut."""
+    above = F.min(F.when(F.col("length") > limit, F.struct("length", "docs_at_least", "tokens_at_least")))
+    none = F.lit(0).cast("long")
+    row = sums.agg(above.alias("above"), F.max("total_docs").alias("docs"), F.max("total_tokens").alias("tokens"))
+    row = row.select(F.coalesce("docs", none).alias("n_docs"), F.coalesce("tokens", none).alias("n_tokens"), F.coalesce("above.docs_at_least", none).alias("cut_docs"), F.coalesce("above.tokens_at_least", none).alias("cut_tokens"))
+    return row.select("n_docs", "n_tokens", (F.col("n_tokens") - F.col("cut_tokens") + limit * F.col("cut_docs")).alias("kept_tokens"), "cut_docs")
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
-    """Smallest length that at least a share q of the documents does not exceed; exact."""
-    return sums.where(F.col("docs_share") >= q).agg(F.min("length").alias("length"))
-
-
+    """Smallest length that at least a share q of the documents does not exceed, from the suffix sums: the documents above it are docs_at_least - n_docs; exact."""
+    return sums.where(F.col("docs_at_least") - F.col("n_docs") <= (1 - F.lit(q)) * F.col("total_docs")).agg(F.min("length").alias("length"))
