@@ -6,6 +6,8 @@
 3. Each partition cuts its run of tokens into sequences of `limit` tokens; what is left at its end is cut into sequences whose
    lengths are powers of two. So nothing is padded, and no total has to be known.
 
+Ids are those of the library with add_special_tokens=False: a special token's own string in a text, as "<|endoftext|>", is that token.
+
 A null text is empty: one end token only. Repeated rows are packed each. A null key is packed too. An empty table gives no pieces.
 """
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
-from .common import CACHE_ENTRIES, batch, key_columns, mixed, scoped, written
+from .common import CACHE_ENTRIES, batch, buckets, key_columns, mixed, scoped, written
 
 LIMIT = 4096
 DIMENSIONS, BITS = 4, 8
@@ -48,7 +50,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are tokens as they stand, in small letters. Words that may hold one are encoded whole, as they are.
+        self.added = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.spaced = any(len(x.split()) != 1 or x != x.strip() for x in self.added)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -60,6 +64,9 @@ class WordEncoder:
         out: list[list[bytes]] = [[] for _ in texts]
         group, size = [], 0
         for i, text in enumerate(texts):
+            if self.spaced and any(x in text.lower().encode("utf-8", "replace") for x in self.added):
+                out[i].append(self._whole(text))
+                continue
             for part in self._segments(text.encode("utf-8", "replace")):
                 group.append((i, self._split(part)))
                 size += len(part)
@@ -77,12 +84,13 @@ class WordEncoder:
             start = found.start()
         yield data[start:]
 
-    @staticmethod
-    def _split(data: bytes) -> list[bytes]:
-        """Words, in small letters unless they have combining marks: those could make one letter with a small one only."""
-        if b"\xcc" in data or b"\xcd" in data:
-            return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in data.split()]
-        return data.lower().split()
+    def _split(self, data: bytes) -> list[bytes]:
+        """Words, in small letters unless they have combining marks, which could make one letter with a small one only, or a token's own string."""
+        low = data.lower()
+        own = [x for x in self.added if x in low]
+        if own or b"\xcc" in data or b"\xcd" in data:
+            return [w if b"\xcc" in w or b"\xcd" in w or any(x in w.lower() for x in own) else w.lower() for w in data.split()]
+        return low.split()
 
     def _flush(self, group: list, out: list[list[bytes]]) -> None:
         if len(self.words) >= 2 * CACHE_ENTRIES:
@@ -97,7 +105,9 @@ class WordEncoder:
         plain, lacking = {}, set()
         for word in words:
             text = word.decode()
-            if text.isprintable() if text.isascii() else PLAIN.fullmatch(text):
+            if any(x in word.lower() for x in self.added):
+                self.words[word] = self._whole(text)
+            elif text.isprintable() if text.isascii() else PLAIN.fullmatch(text):
                 plain[word] = parts = [text] if text.isalpha() else PIECE.findall(text)
                 lacking.update(parts)
             else:
@@ -249,7 +259,7 @@ def pack(docs: DataFrame, path: str, end: int = 2, limit: int = LIMIT, key: str
 
     with open(path, encoding="utf-8") as f:
         wide = len(json.load(f)["model"]["vocab"]) > (1 << 16)
-    sorted_docs = written(placed(docs, path, end, key, text), "placed").repartitionByRange("hkey", "doc_id").sortWithinPartitions("hkey", "doc_id", "ids")
+    sorted_docs = written(placed(docs, path, end, key, text), "placed").repartitionByRange(buckets(docs), "hkey", "doc_id").sortWithinPartitions("hkey", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = _Sequences(limit, TaskContext.get().partitionId() << 32)
