@@ -2,7 +2,8 @@
 
 For each page, log posteriors add up from: the text's likelihood under character trigrams of each language; the language declared in the
 markup, by how often pages whose text is in l declare it; the address suffix, likewise; and the host's prior, smoothed towards
-its domain's and that towards all pages' (each level counts as `strength` pages of the level above). All counts are sums of the text's
+its domain's and that towards all pages' (each level counts as `strength` pages of the level above). The text's likelihood is that of WORDS words at most: as words of one text are not independent, the
+mean of a longer one's words is taken WORDS times; every word counts in that mean. All counts are sums of the text's
 posteriors over all pages by grouped aggregation; a page's own contribution is taken out of its host's counts.
 
 The trigram model is fitted on a bounded sample of texts with known language (SAMPLE, in hash order of the key) and has GRAMS rows at most, of
@@ -35,21 +36,37 @@ STRENGTH = 5.0
 #: Words whose likelihood counts in full; more words are scaled down to these, as words of one text are not independent.
 WORDS = 40
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+_OPENING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,8})")
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?\s*([a-z]{2,8})", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def visible(page: str) -> str:
-    """Text of a page without markup."""
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """Text of a page without markup, comments and elements that are not shown; one that never ends hides nothing. Linear in the page: an end that is not found is not sought again."""
+    parts, at, seek, endless = [], 0, 0, set()
+    while opening := _OPENING.search(page, seek):
+        name = (opening[1] or "").lower()
+        closing = None if name in endless else _CLOSING[name].search(page, opening.end())
+        if closing:
+            parts.append(page[at : opening.start()])
+            at = seek = closing.end()
+        else:
+            endless.add(name)
+            seek = opening.end()
+    shown = " ".join([*parts, page[at:]])
+    last = shown.rfind(">") + 1
+    return markup.unescape(_TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 def declared(page: str) -> str:
-    found = _DECLARED.search(page)
-    return found[1].lower() if found else ""
+    for tag in _HTML.finditer(page):
+        if found := _LANG.search(tag[0]):
+            return found[1].lower()
+    return ""
 
 
 def host_parts(url: str | None) -> tuple[str, str, str]:
@@ -159,12 +176,13 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
         return facts.select("page_id", none.alias("language"), F.lit(None).cast("double").alias("probability"), none.alias("text_language"), F.lit(None).cast("double").alias("text_probability"), "declared", "suffix", "host")
 
     sums = lambda df, keys, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), *(F.sum(f).alias(f"{name}_{f}") for f in fields))
-    by_host = sums(facts, ["host", "domain"], "host")
-    by_domain = by_host.groupBy("domain").agg(F.sum("host_n").alias("domain_n"), *(F.sum(f"host_{f}").alias(f"domain_{f}") for f in fields))
+    by_host = written(sums(facts, ["host", "domain"], "host"), "hosts")
+    by_domain = written(by_host.groupBy("domain").agg(F.count(F.lit(1)).alias("hosts"), F.sum("host_n").alias("domain_n"), *(F.sum(f"host_{f}").alias(f"domain_{f}") for f in fields)), "domains")
     everything = facts.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f) for f in fields)).collect()[0]
     total = everything.n
     shares = [((everything[f] or 0.0) + 1.0) / (total + len(fields)) for f in fields]
-    hosts = by_host.drop("domain").join(by_host.select("host", "domain").join(by_domain, "domain").drop("domain"), "host")
+    # A domain may have very many hosts, a host very many pages.
+    hosts = attach(by_host, by_domain, "domain", "hosts", by_host.count()).drop("domain", "hosts")
     rows = attach(facts, hosts, "host", "host_n", total)
     for name in ("declared", "suffix"):
         found = written(sums(facts, [name], name), name)
