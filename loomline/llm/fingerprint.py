@@ -2,7 +2,7 @@
 
 A hash of the last WINDOW bytes is taken at every byte; where its low bits are all ones, a chunk ends. How many bits
 that are, the block size, follows from the length, so that a text has about 32 to 64 chunks. Each chunk gives one
-character of the signature; a second signature at twice the block size makes texts of somewhat different
+character of the signature, MOST at the most: the last one stands for the rest of the text; a second signature at twice the block size makes texts of somewhat different
 lengths comparable. Fingerprints look like "64:abc:ab". Two are compared by the edit distance of
 their signatures at a common block size.
 
@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, batch, key_columns, mixed, powers, scoped, written
+from .common import MULTIPLIER, batch, buckets, key_columns, mixed, powers, scoped, written
 
 WINDOW = 7
 #: Smallest block size, as a power of two, and chunks that a text has at most on average.
 LEAST, CHUNKS = 2, 64
+#: Characters of a signature. A usual text has a quarter of that; the bound is for texts that repeat a few bytes.
+MOST = 256
 #: Bytes hashed at once.
 SLICE = 1 << 20
 #: Signatures without a common run of this length have nothing in common.
@@ -109,6 +111,9 @@ def _many(texts: list[bytes]) -> list[str]:
 def _signatures(cuts, sums, owner, begins, ends, base, final) -> list[str]:
     """A character per chunk: the ends given, and each text's own end."""
     n = len(begins)
+    firsts = np.searchsorted(owner, np.arange(n))
+    fits = np.arange(len(owner)) - firsts[owner] < MOST - 1
+    cuts, sums, owner = cuts[fits], sums[fits], owner[fits]
     all_cuts = np.concatenate([begins, cuts, ends])
     all_sums = np.concatenate([base, sums, final])
     all_owner = np.concatenate([np.arange(n), owner, np.arange(n)])
@@ -197,6 +202,8 @@ EDITED = "kind int, part int, doc_id long, text string, n_chars long, edited_sha
 RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 #: Texts of a batch that are compared at once.
 STEP = 256
+#: Characters of a text that the range partitioning sees.
+BEGINNING = 64
 
 
 def _compared(ids: list, texts: list[str], following: list[str], kind: int, part: int) -> pa.RecordBatch:
@@ -233,7 +240,9 @@ def edit_probe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     id, so all but a partition's last document find the next one beside them; each partition's first and last text are
     written aside and joined in a second step, two rows per partition.
     """
-    ordered = key_columns(docs, key, text).repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    # Rows of one id or none are told apart by how their texts begin, which agrees with the order of the texts.
+    rows = key_columns(docs, key, text).withColumn("beginning", F.substring("text", 1, BEGINNING))
+    ordered = rows.repartitionByRange(buckets(docs), F.desc("doc_id"), "beginning").sortWithinPartitions(F.desc("doc_id"), "beginning", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
