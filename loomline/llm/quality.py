@@ -4,8 +4,7 @@ A document's grade is how many of its two ratings are good: 0 (junk and toxic) <
 ordered thresholds t0 < t1 cut the score: P(grade <= k) = logistic(t_k - w.x). So the score gives an expected grade
 and the tail probability P(grade >= 2), by which documents are selected.
 
-The model is fitted on a bounded sample of rated rows (SAMPLE, in hash order of the key); the driver never holds more than
-SAMPLE feature lists. Scoring reads every whole text, one pass, no shuffle.
+The model is fitted on a bounded sample of rated rows (in hash order of the key, SAMPLE rows with LISTED features at most), which is all that the driver gets. Scoring reads every whole text, one pass, no shuffle.
 
 A null text counts as empty. Unrated or null ratings are left out of the fit; without any rating, or with one grade only, nothing
 is known against a document and every one is selected. Repeated rows give repeated rows.
@@ -22,14 +21,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import CACHE_ENTRIES, batch, key_columns
+from .common import CACHE_ENTRIES, batch, dropped, key_columns, written
 
 #: Rated rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Features of those rows together, at most: 64 MiB on the driver.
+LISTED = 1 << 24
 #: Hashed feature space, and the features with weights: those that tell grades apart best.
 SPACE = 1 << 20
 FEATURES = 4096
@@ -119,6 +120,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(score[:, None] - self.thresholds, -60, 60)))
 
 
+def likelihood(w: np.ndarray, raw: np.ndarray, column: np.ndarray, owner: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood less the ridge's half, and its gradient by the weights and the two raw thresholds (t0 = raw0, t1 = raw0 + exp(raw1)). column, owner: the features that each text has."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    low, high, n = grades == 0, grades == GRADES - 1, len(grades)
+    score = np.bincount(owner, w[column], minlength=n)
+    t0, t1 = raw[0], raw[0] + np.exp(raw[1])
+    a, b = sigmoid(t0 - score), sigmoid(t1 - score)
+    likely = np.maximum(np.where(low, a, np.where(high, 1 - b, b - a)), 1e-9)
+    da = np.where(high, 0, np.where(low, 1, -1)) * a * (1 - a) / likely
+    db = np.where(low, 0, np.where(high, -1, 1)) * b * (1 - b) / likely
+    down = (da + db) / n  # derivative by -score
+    slope = np.concatenate([-np.bincount(column, down[owner], minlength=len(w)) - ridge * w, [down.sum(), db.mean() * np.exp(raw[1])]])
+    return float(np.log(likely).mean() - ridge / 2 * (w * w).sum()), slope
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 5e-5) -> Model:
     """Maximum likelihood of the cumulative-link model by full-batch Adam steps; deterministic."""
     if not len(rows) or len(np.unique(grades)) < 2:
@@ -137,17 +153,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: floa
     column, owner = place[column][used], owner[used]
     w, raw = np.zeros(len(best)), np.array([-1.0, 0.0])  # thresholds: t0 = raw0, t1 = raw0 + exp(raw1)
     state = [np.zeros(len(best) + 2), np.zeros(len(best) + 2)]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    low, high = grades == 0, grades == GRADES - 1
     for step in range(1, steps + 1):
-        score = np.bincount(owner, w[column], minlength=len(rows))
-        t0, t1 = raw[0], raw[0] + np.exp(raw[1])
-        a, b = sigmoid(t0 - score), sigmoid(t1 - score)
-        likely = np.maximum(np.where(low, a, np.where(high, 1 - b, b - a)), 1e-9)
-        da = np.where(high, 0, np.where(low, 1, -1)) * a * (1 - a) / likely
-        db = np.where(low, 0, np.where(high, -1, 1)) * b * (1 - b) / likely
-        down = (da + db) / len(rows)  # derivative by -score
-        g = np.concatenate([-np.bincount(column, down[owner], minlength=len(best)) - ridge * w, [down.sum(), (db.mean()) * np.exp(raw[1])]])
+        _, g = likelihood(w, raw, column, owner, grades, ridge)
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
@@ -164,8 +171,8 @@ def grade(labels: DataFrame) -> DataFrame:
 LISTS = "doc_id long, grade int, found binary"
 
 
-def train(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rated rows; each key counts once."""
+def train(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, listed: int = LISTED) -> Model:
+    """Fit on at most `sample` rated rows, and on so many of them that their distinct features are `listed` at most; each key counts once. These two bound what the driver gets."""
     chosen = graded.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +180,13 @@ def train(docs: DataFrame, graded: DataFrame, key: str = "doc_id", text: str = "
         for rows in batches:
             yield batch(LISTS, doc_id=rows.column(0), grade=rows.column(2), found=[features(x.as_py(), words).tobytes() for x in rows.column(1)])
 
-    rated = key_columns(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(run, LISTS)
-    rows = sorted({r.doc_id: (r.doc_id, r.grade, bytes(r.found)) for r in rated.limit(sample).collect()}.values())
+    rated = written(key_columns(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(run, LISTS), "lists")
+    # The lists that fit, in hash order: one number a row decides, for at most `sample` rows (and copies of their keys).
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = rated.groupBy("doc_id").agg(F.max(F.length("found")).alias("size")).withColumn("sum", F.sum("size").over(order)).where(F.col("sum") <= 4 * listed).select("doc_id")
+    one = F.min(F.struct("grade", "found")).alias("row")
+    rows = sorted((r.doc_id, r.row.grade, bytes(r.row.found)) for r in rated.join(F.broadcast(fitting), "doc_id").groupBy("doc_id").agg(one).collect())
+    dropped(rated)
     return fit([np.frombuffer(r[2], np.uint32) for r in rows], np.array([r[1] for r in rows], int))
 
 
