@@ -120,6 +120,43 @@ def test_quality_on_held_out_ratings(spark):
     assert model.thresholds[0] < model.thresholds[1]
 
 
+def test_the_fit_follows_the_gradient():
+    rng = np.random.default_rng(2)
+    owner, column, grades = rng.integers(0, 30, 200), rng.integers(0, 12, 200), rng.integers(0, 3, 30)
+    w, raw = rng.normal(size=12), np.array([-0.3, 0.2])
+    plain = 0.0
+    for i in range(30):
+        score = sum(w[c] for o, c in zip(owner, column) if o == i)
+        below = [0.0, *(1 / (1 + np.exp(score - t)) for t in (raw[0], raw[0] + np.exp(raw[1]))), 1.0]
+        plain += np.log(below[grades[i] + 1] - below[grades[i]]) / 30
+    value, slope = quality.likelihood(w, raw, column, owner, grades, 0.01)
+    assert abs(value - plain + 0.005 * (w * w).sum()) < 1e-9
+    for k in range(14):
+        step = 1e-6 * (np.arange(14) == k)
+        up, down = (quality.likelihood(w + s * step[:12], raw + s * step[12:], column, owner, grades, 0.01)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - slope[k]) < 1e-6
+
+
+def test_the_fit_reaches_an_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.where(rng.random(40) < 0.5, np.arange(40), 0)).astype(np.uint32) for _ in range(3000)]
+    weights = np.where(np.arange(40) < 8, rng.normal(size=40) * 2, 0)
+    grades = np.array([int((s := weights[r].sum() + rng.logistic()) > -1) + int(s > 1) for r in rows])
+    model = quality.fit(rows, grades, ridge=1e-3, steps=2000, rate=0.02)
+    owner = np.repeat(np.arange(3000), [len(r) for r in rows])
+    place = {int(x): i for i, x in enumerate(model.indices)}
+    used = np.array([int(x) in place for r in rows for x in r])
+    column = np.array([place[int(x)] for r in rows for x in r if int(x) in place])
+    raw = np.array([model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])])
+    assert len(place) > 3 and np.abs(quality.likelihood(model.weights, raw, column, owner[used], grades, 1e-3)[1]).max() < 2e-3
+
+
+def test_the_sample_is_bounded_by_features_too(spark):
+    docs = frame(spark, [(k, f"good{k} words here" if k % 3 else "bad words") for k in range(60)])
+    graded = spark.createDataFrame([(k, 2 if k % 3 else 0) for k in range(60)], "doc_id long, grade int")
+    assert quality.train(docs, graded, listed=3).fitted is False and quality.train(docs, graded).fitted
+
+
 def test_quality_without_ratings_keeps_all(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, grade int"))
@@ -158,6 +195,56 @@ def test_edit_distance_and_fingerprints():
     assert fingerprint.fingerprints([b""]) == ["4::"] and fingerprint.likeness("4::", "4::") == 1.0
 
 
+def plain_fingerprint(data):
+    """Byte by byte, from the definition."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * factor & mask
+        return x ^ (x >> 33)
+
+    table = [mix((b + 1) * fingerprint.MULTIPLIER & mask) >> 32 for b in range(256)]
+    bits = 2
+    while (1 << bits) * 64 < len(data):
+        bits += 1
+
+    def signature(bits):
+        out, value, power, length = "", 0, 1, 0
+        for i in range(len(data)):
+            value, power, length = (value + (data[i] + 1) * power) & mask, power * fingerprint.MULTIPLIER & mask, length + 1
+            rolled = 0
+            for k in range(fingerprint.WINDOW):
+                x = table[data[i - k]] if i >= k else table[0]
+                rolled ^= (x << 3 * k | x >> (32 - 3 * k)) & 0xFFFFFFFF
+            ends = rolled & ((1 << bits) - 1) == (1 << bits) - 1 and len(out) < fingerprint.MOST - 1
+            if ends or i == len(data) - 1:
+                out += fingerprint.LETTERS[mix((value + length) & mask) >> 58]
+                value, power, length = 0, 1, 0
+        return out
+
+    return f"{1 << bits}:{signature(bits)}:{signature(bits + 1)}"
+
+
+def test_fingerprints_byte_by_byte():
+    r = random.Random(33)
+    texts = [b"", b"a", b"abcdef", b"abcdefg", b"a" * 20_000, b"*Z" * 9000, "漢字 text ".encode() * 40]
+    texts += [bytes(r.choice(b"abcdef gh\n") for _ in range(r.randint(0, 5000))) for _ in range(30)]
+    assert fingerprint.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+    assert max(len(x) for x in fingerprint.fingerprints([bytes([b]) * 70_000 for b in range(256)])) < 2 * fingerprint.MOST + 10
+
+
+def test_neighbours_of_rows_without_ids(spark):
+    rows = [(None, f"text {k} " * 30) for k in range(60)] + [(4, "same"), (4, "other"), (4, None)]
+    got = fingerprint.edit_probe(frame(spark, rows, 6)).collect()
+    order = sorted(rows, key=lambda x: (-(x[0] if x[0] is not None else -1), x[1] or ""))
+    want = []
+    for (i, own), (_, following) in zip(order, order[1:] + order[:1]):
+        own, half = own or "", len(own or "") // 2
+        want.append((i or 0, hashlib.sha256((own[: len(own) - half] + (following or "")[:half]).encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_edited_texts(spark):
     r = random.Random(4)
     rows = [(7 * i % 101, "".join(r.choice("abé ") for _ in range(r.randint(0, 300)))) for i in range(101)]
@@ -178,8 +265,8 @@ def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
-    docs = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "J̌ İ ok ' s <|endoftext|>")], DDL))
+    odd = "J̌ İ ok ' s <|endoftext|> x<|ENDOFTEXT|>y <|endoftext|><|startoftext|>z <|endo ftext|> <|EndOfText|> \u0130<|endoftext|>̌"
+    docs = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, odd), (-3, "plain words " * 120_000 + odd)], DDL))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     pieces = packing.pack(docs, WORD).collect()
     by_doc, by_sequence = {}, {}
@@ -228,6 +315,17 @@ def test_exact_dedup_of_repeated_keys(spark):
     assert sorted((r.doc_id, r.text) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == [(1, "a b"), (2, "c")]
 
 
+def test_exact_dedup_with_few_buckets_and_clashing_names(spark):
+    rows = helpers.corpus(6)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(frame(spark, rows), prefix=3, buckets=2).collect()}
+    assert got == helpers.exact(rows)
+    twice = [(1, "a b"), (1, "ab "), (1, " ab"), (2, "c"), (2, "c"), (3, None), (3, ""), (4, " ")]
+    df = frame(spark, twice).withColumns({x: F.lit("mine") for x in ("_sha", "_size", "_first", "own_id", "own_sha", "own_size", "own_rank", "head", "bucket")})
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text, r._sha, r.own_rank) for r in kept.collect()) == [(1, " ab", "mine", "mine"), (2, "c", "mine", "mine"), (4, " ", "mine", "mine")]
+
+
 def test_exact_dedup_beside_a_unique_text_of_the_same_key(spark):
     rows = [(5, "a text of its own"), (5, "b c"), (3, "b c"), (None, "another of its own"), (None, "bc"), (None, "only here")]
     want = [(3, "b c"), (5, "a text of its own"), (None, "another of its own"), (None, "only here")]
@@ -247,6 +345,43 @@ def test_language_of_pages(spark):
     assert (got[1].host, got[1].suffix, got[1].declared) == ("a.b.example.org", "org", "de") and got[2].host == ""
 
 
+def test_evidence_is_fused_as_by_hand(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = language_id.TextModel(language_id.gram_counts(docs))
+    rows = [(r.page_id, r.url, r.html or "") for r in pages.collect()]
+    p = np.array([model.posterior(language_id.visible(h)) for _, _, h in rows])
+    names = [(*language_id.host_parts(u), language_id.declared(h)) for _, u, h in rows]
+    total = p.sum(0)
+    shares = (total + 1) / (len(rows) + p.shape[1])
+    want = {}
+    for k, (host, domain, suffix, said) in enumerate(names):
+        others = lambda at, value: [j for j, x in enumerate(names) if x[at] == value and j != k]
+        d, h = others(1, domain), others(0, host)
+        prior_d = (p[d].sum(0) + 5 * shares) / (len(d) + 5)
+        prior = (p[h].sum(0) + 5 * prior_d) / (len(h) + 5)
+        seen = [(p[[j for j, x in enumerate(names) if x[at] == value]].sum(0) + 0.1) / (total + 1) for at, value in ((3, said), (2, suffix))]
+        score = np.log(p[k]) + np.log(np.maximum(prior, 1e-9)) + np.log(seen[0]) + np.log(seen[1])
+        weight = np.exp(score - score.max())
+        want[rows[k][0]] = model.languages[int(score.argmax())], 1 / weight.sum()
+    for r in language_id.identify(pages, docs).collect():
+        assert r.language == want[r.page_id][0] and abs(r.probability - want[r.page_id][1]) < 1e-6
+
+
+def test_markup_is_taken_off_in_linear_time():
+    import time
+
+    shown = lambda page: language_id.visible(page).split()
+    assert shown('a<b c="d">e<script x>no</SCRIPT >f<!-- no <style> -->g<STYLE>no</style><template>no</template>h &amp; i') == ["a", "e", "f", "g", "h", "&", "i"]
+    assert shown("a<script>b c<style>no</style>d") == ["a", "b", "c", "d"] and shown("a < b") == ["a", "<", "b"] and shown("<!--a<p>b-->c") == ["c"]
+    assert language_id.declared("<html class=x><HTML\n lang='PT-br'>") == "pt" and language_id.declared("<htmlx lang=de>") == ""
+    started = time.perf_counter()
+    for part in ("<script>", "<!--", "<", "<html ", "</script", "<script></style>", "<!-- > <"):
+        language_id.visible(part * 200_000)
+        language_id.declared(part * 200_000)
+    assert time.perf_counter() - started < 20
+
+
 def test_rare_declarations_and_suffixes_have_their_own_evidence(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     known = {lang: docs.where(F.col("lang") == lang).orderBy(F.desc("n_chars")).first().text[:2000] for lang in ("en", "de", "fr")}
@@ -319,7 +454,19 @@ def test_histogram_answers_every_limit(spark):
     for limit in (0, 4, 1031, 9999):
         row = token_counts.truncated(sums, limit).first()
         assert (row.n_tokens, row.kept_tokens, row.cut_docs) == (sum(lengths), sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
-    assert token_counts.quantile(sums, 0.5).first().length == sorted(lengths)[199]
+    assert token_counts.quantile(sums, 0.5).first().length == sorted(lengths)[199] and token_counts.quantile(sums, 1.0).first().length == max(lengths)
+    none = token_counts.suffix_sums(token_counts.histogram(df.limit(0)))
+    assert tuple(token_counts.truncated(none, 5).first()) == (0, 0, 0, 0) and token_counts.quantile(none, 0.5).first().length is None
+
+
+def test_suffix_sums_of_the_library_s_lengths(spark, tiktoken_encoding):
+    docs = table(spark, SMALL, "documents")
+    lengths = [len(tiktoken_encoding.encode_ordinary(r.text or "")) for r in docs.collect()]
+    got = {r.length: r for r in entry.op8_token_counts(spark, SMALL).collect()}
+    assert set(got) == set(lengths)
+    for n, r in got.items():
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert (r.truncated_tokens, r.total_docs, r.total_tokens) == (sum(min(x, n) for x in lengths), len(lengths), sum(lengths))
 
 
 # 9
@@ -343,6 +490,35 @@ def test_substring_dedup_keeps_columns(spark):
             assert hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][2] and r.n_chars == len(r.text)
 
 
+def test_substring_dedup_with_clashing_names(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = frame(spark, [(1, passage), (2, f"x {passage} y")]).withColumns({x: F.lit(x) for x in ("_i", "_m", "_ident", "_mark", "_kept", "of_ident", "of_mark", "of_kept", "kept", "mark")})
+    got = {r.doc_id: r for r in substring_dedup.deduplicate(df).collect()}
+    assert got[2].text == "x y" and all(r._i == "_i" and r.of_mark == "of_mark" and r.kept == "kept" for r in got.values())
+
+
+def test_substring_dedup_of_long_texts_in_many_flushes(spark, monkeypatch):
+    """Texts over a segment, and tasks that deal out several times."""
+    monkeypatch.setattr(substring_dedup, "HELD", 3000)
+    r = random.Random(9)
+    words = [f"word{i:05}" for i in range(9000)]
+    long = [r.choice(words) for _ in range(130_000)]
+    rows = [(k, " ".join(x)) for k, x in enumerate([long, [*long[5000:90_000], "z"], [*words[:40], *long[100_000:100_049]], long[-70:] * 3])]
+    assert len(rows[0][1]) > 1 << 20
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(frame(spark, rows, 2)).collect()}
+    assert got == helpers.substring(rows)
+
+
+def test_jaccard_join_of_long_texts_in_many_flushes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HELD", 3000)
+    r = random.Random(10)
+    words = [f"word{i:05}" for i in range(9000)]
+    long = [r.choice(words) for _ in range(130_000)]
+    rows = [(k, " ".join(x)) for k, x in enumerate([long, long[:110_000], long[:60_000], long[:65_000], words[:300], [*words[:290], "x"]])]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame(spark, rows, 2)).collect()}
+    assert got == helpers.jaccard(rows) and got[1][1] == 0 and got[3][1] == 2
+
+
 @pytest.mark.parametrize("repeated", [None, 7])
 def test_substring_dedup_of_rows_of_one_id_in_one_task(spark, repeated):
     passage = " ".join(f"p{i}" for i in range(60))
