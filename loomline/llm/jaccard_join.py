@@ -5,12 +5,16 @@ most the sum, over the groups, of the smaller of their two counts. Two sets of s
 t / (1 + t) * (m + n) shingles.
 
 Boxes. The index is over the finest groups, one per shingle hash: a box holds the points that have a given group occupied. Groups are ordered
-from rare to frequent (by counts over all documents in LEVELS coarse groups; any order gives the same result), and a set enters only the boxes of its first
+from rare to frequent, and a set enters only the boxes of its first
 n - ceil(t n) + 1 groups: if two sets share none of these, the summed minima over the rest stay below the bound. In a box, the member at place p of its order can link with
 sets of at most reach = (4 n - 7 p) / 3 shingles, as the minima over the groups from here on must suffice; two members may link only if each is within the other's reach. Members
-that reach nobody leave. Pairs that are left are bounded by the summed minima of their counts in COARSE groups, and those that pass are verified on the sets themselves, made anew
+that reach nobody leave. A box of two is their pair; boxes of the same members are one. Pairs that are left are bounded by the summed minima of their counts in COARSE groups, and those that pass are verified on the sets themselves, made anew
 from the texts. README has figures on a tree over coarse groups alone, which would open nearly all of its nodes.
 
+The order of groups is the same for all sets; any gives the same result. What stands out among counts of all documents in LEVELS coarse groups comes last; the others are ordered by how often
+their words occur in all documents, as if words were independent. A table of words keeps its meaning at any size of the data, where coarse groups of shingles all fill up: so few boxes
+hold sets that have only one rare group in common.
+
 Rounds keep large groups of near copies from becoming all their pairs. In the first, each set proposes one partner: the member with the furthest reach that it may link with, over all its boxes.
 The links give components, and only boxes with several components go on; there the members outside the box's largest component look for partners. Where that is much work
 (HEAVY), each proposes one partner of another component, drawn anew in each round, for as long as links are found; then all pairs that are left are judged, in blocks of BLOCK members, so no
@@ -34,14 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, attach, batch, buckets, dropped, fresh, scoped, spans, window_hashes, word_hashes, written
+from .common import WordHashes, attach, batch, buckets, dropped, fresh, mixed, released, scoped, spans, window_hashes, word_hashes, written
 from .components import components
 
 WORDS = 5
 #: The threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Coarse groups that give the order, as a power of two, and slices that their counts are summed in.
+#: Coarse groups of shingles, and of words, that give the order, as a power of two; and slices that their counts are summed in.
 LEVELS, SLICES = 22, 16
+#: Steps of a word's level between a count and its double.
+STEPS = 7
 #: Groups of a count vector.
 COARSE = 256
 #: Members of a box that are compared in one task.
@@ -61,10 +67,15 @@ NAME = 12
 _NULL = (1 << 63) - 1
 
 
-def shingles(text: str, known: WordHashes, width: int = WORDS) -> np.ndarray:
+def lowered(text: str, known: WordHashes) -> np.ndarray:
+    """Hashes of the words, in small letters."""
+    return word_hashes(text.encode("utf-8", "replace").lower(), known)
+
+
+def shingles(text: str, known: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    words = word_hashes(text.encode("utf-8", "replace").lower(), known)
-    return np.unique(window_hashes(words, min(width, len(words)))) if len(words) else np.empty(0, np.uint64)
+    words = lowered(text, known)
+    return np.unique(window_hashes(words, min(WORDS, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def set_id(found: np.ndarray) -> bytes:
@@ -98,37 +109,55 @@ SETS = "kind int, doc_id long, ident long, mark long, n long, sid binary, point
 SLICE = "slice int, part int, data binary"
 
 
+class _Counts:
+    """How often each coarse group occurs."""
+
+    def __init__(self):
+        self.counts, self.held, self.n = np.zeros(1 << LEVELS, np.uint32), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append(hashes & np.uint64((1 << LEVELS) - 1))
+        self.n += len(hashes)
+        if self.n >= HELD:
+            self.sum()
+
+    def sum(self) -> np.ndarray:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held).astype(np.int64), minlength=1 << LEVELS).astype(np.uint32)
+        self.held, self.n = [], 0
+        return self.counts
+
+
 def _sets(source: DataFrame) -> DataFrame:
-    """Kind 0: each row with its set's size, name and point; kind 1: how often each coarse group occurs, a slice of the counts a row, one of each slice a task."""
-    size, step = 1 << LEVELS, (1 << LEVELS) // SLICES
+    """Kind 0: each row with its set's size, name and point; kind 1: how often each coarse group of shingles, then of words, occurs, a slice of the counts a row, one of each slice a task."""
+    step = (1 << LEVELS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, held, n = WordHashes(), np.zeros(size, np.uint32), [], 0
+        known, of_shingles, of_words = WordHashes(), _Counts(), _Counts()
         for some in batches:
             out = []
             for value in some.column(1):
-                found = shingles(value.as_py(), known)
+                words = lowered(value.as_py(), known)
+                found = np.unique(window_hashes(words, min(WORDS, len(words)))) if len(words) else words
                 out.append((len(found), set_id(found), point(found)) if len(found) else (0, None, None))
-                held.append(found & np.uint64(size - 1))
-                n += len(found)
-                if n >= HELD:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
-                    held, n = [], 0
+                of_shingles.add(found)
+                of_words.add(words)
             if k := len(out):
                 none = [None] * k
                 yield batch(SETS, kind=[0] * k, doc_id=some.column(2), ident=some.column(0), mark=some.column(3), n=[x[0] for x in out], sid=[x[1] for x in out], point=[x[2] for x in out], slice=none, data=none)
-        if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
         pack, none = zstandard.ZstdCompressor(level=1).compress, [None] * SLICES
-        data = [pack(counts[i * step : (i + 1) * step].astype("<u4").tobytes()) for i in range(SLICES)]
-        yield batch(SETS, kind=[1] * SLICES, doc_id=[TaskContext.get().partitionId()] * SLICES, ident=none, mark=none, n=none, sid=none, point=none, slice=list(range(SLICES)), data=data)
+        for base, counts in ((0, of_shingles.sum()), (SLICES, of_words.sum())):
+            data = [pack(counts[i * step : (i + 1) * step].astype("<u4").tobytes()) for i in range(SLICES)]
+            yield batch(SETS, kind=[1] * SLICES, doc_id=[TaskContext.get().partitionId()] * SLICES, ident=none, mark=none, n=none, sid=none, point=none, slice=list(range(base, base + SLICES)), data=data)
 
     return source.select("ident", "text", "doc_id", "mark").mapInArrow(run, SETS)
 
 
 def _levels(slices: DataFrame):
-    """log2 of how often each coarse group occurs, as bytes: a broadcast of 2 ** LEVELS bytes. Counts of all tasks, summed in a tree."""
-    step = (1 << LEVELS) // SLICES
+    """A broadcast of 2 * 2 ** LEVELS bytes: for each coarse group of shingles log2 of how far its count is above twice the mean, which other shingles may make up, else 0; then for
+    each coarse group of words STEPS times log2 of its count. Counts of all tasks, summed in a tree."""
+    size = 1 << LEVELS
+    step = size // SLICES
 
     def total(table: pa.Table) -> pa.Table:
         unpack, out = zstandard.ZstdDecompressor().decompress, np.zeros(step, np.uint64)
@@ -139,11 +168,13 @@ def _levels(slices: DataFrame):
 
     parts = slices.select("slice", F.pmod("doc_id", F.lit(64)).cast("int").alias("part"), "data")
     summed = parts.groupBy("slice", "part").applyInArrow(total, SLICE).groupBy("slice").applyInArrow(total, SLICE)
-    levels = np.zeros(1 << LEVELS, np.uint8)
+    counts = np.zeros(2 * size, np.uint32)
     for r in summed.collect():
-        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u4")
-        levels[r.slice * step : (r.slice + 1) * step] = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-    return slices.sparkSession.sparkContext.broadcast(levels.tobytes())
+        counts[r.slice * step : (r.slice + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u4")
+    above = np.maximum(counts[:size].astype(np.int64) - 2 * int(np.ceil(counts[:size].mean())), 1)
+    heavy = np.floor(np.log2(above)).astype(np.uint8)
+    words = np.round(STEPS * np.log2(np.maximum(counts[size:], 1))).astype(np.uint8)
+    return slices.sparkSession.sparkContext.broadcast(heavy.tobytes() + words.tobytes())
 
 
 ENTRIES = "bucket int, data binary"
@@ -201,16 +232,25 @@ def _entries(source: DataFrame, levels, n_buckets: int, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, done = WordHashes(), _Entries(), set()
-        level = np.frombuffer(levels.value, np.uint8)
+        heavy, common = np.frombuffer(levels.value, np.uint8).reshape(2, -1)
+        low = np.uint64((1 << LEVELS) - 1)
         for some in batches:
             for value in some.column(0):
-                found = shingles(value.as_py(), known)
-                n = len(found)
-                if not n or (sid := set_id(found)) in done:
+                words = lowered(value.as_py(), known)
+                if not len(words):
+                    continue
+                width = min(WORDS, len(words))
+                found, at = np.unique(window_hashes(words, width), return_index=True)
+                n, sid = len(found), set_id(found)
+                if sid in done:
                     continue
                 done.add(sid)
-                own = level[(found & np.uint64((1 << LEVELS) - 1)).astype(np.int64)]
-                first = np.argsort((own.astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
+                own = heavy[(found & low).astype(np.int64)]
+                sums = np.concatenate([[0], np.cumsum(common[(words & low).astype(np.int64)], dtype=np.int64)])
+                score = (sums[at + width] - sums[at]).astype(np.uint64)
+                # Level, words, hash: each of these is a function of the shingle alone.
+                rank = own.astype(np.uint64) << np.uint64(58) | score << np.uint64(44) | found >> np.uint64(20)
+                first = np.argsort(rank, kind="stable")[: n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1]
                 held.add(sid, n, found[first], own[first])
                 if held.n >= HELD:
                     yield held.dealt(n_buckets, hot)
@@ -221,7 +261,7 @@ def _entries(source: DataFrame, levels, n_buckets: int, hot: int) -> DataFrame:
     return source.select("text").mapInArrow(run, ENTRIES)
 
 
-#: Kind 0: a set's best partner in a bucket. Kind 1: a member of a box that reaches another member.
+#: Kind 0: a set's best partner in a bucket. Kind 1: a member of a box of three or more that reaches another member. Kind 2: the pair that a box of two holds.
 FOUND = "kind int, gid long, a binary, b binary, n long, reach long"
 
 
@@ -256,13 +296,31 @@ def _boxes(table: pa.Table) -> pa.Table:
     i, partner = i[best], partner[best]
     firsts, _ = spans(rank[i])
     i, partner = i[firsts], partner[firsts]
-    alive = np.flatnonzero(alive | (box & 1 == 1))
-    gid = np.where(box & 1 == 1, -(box >> 1) - 1, bucket << 8 * HASH | box >> 1)
+    best, chosen, furthest = rank[i], rank[partner], reach(n, place)[partner]
+    kept = np.flatnonzero(alive | (box & 1 == 1))
+    box, n, rank, far = box[kept], n[kept], rank[kept], reach(n, place)[kept]
+    begins, run = spans(box)
+    sizes = np.bincount(run, minlength=len(begins))
+    two = begins[(sizes == 2) & (box[begins] & 1 == 0)]
+    pairs = np.unique(np.minimum(rank[two], rank[two + 1]).astype(np.int64) * len(names) + np.maximum(rank[two], rank[two + 1]))
+    many = ((sizes > 2) | (box[begins] & 1 == 1))[run]
+    box, n, rank, far = box[many], n[many], rank[many], far[many]
+    # Of the boxes with the same members one stays, where each has its furthest reach. Spread boxes stay as they are.
+    begins, run = spans(box)
+    sums = np.add.reduceat(mixed(rank.astype(np.uint64) + np.uint64(1)), begins) if len(box) else np.zeros(0, np.uint64)
+    spread = box[begins] & 1 == 1
+    gid = np.where(spread, -(box[begins] >> 1) - 1, bucket << 8 * HASH | (sums & np.uint64((1 << 8 * HASH) - 1)).astype(np.int64))[run]
+    order = np.lexsort((-far, rank, gid))
+    gid, n, rank, far = gid[order], n[order], rank[order], far[order]
+    once = np.ones(len(gid), bool)
+    once[1:] = (gid[1:] != gid[:-1]) | (rank[1:] != rank[:-1])
+    gid, n, rank, far = gid[once], n[once], rank[once], far[once]
     raw = names.tobytes()
-    pick = lambda at: [raw[NAME * k : NAME * k + NAME] for k in rank[at].tolist()]
-    k, none = len(i), [None] * len(alive)
-    columns = {"kind": [0] * k + [1] * len(alive), "gid": [None] * k + gid[alive].tolist(), "a": pick(i) + pick(alive), "b": pick(partner) + none}
-    columns |= {"n": [None] * k + n[alive].tolist(), "reach": reach(n, place)[partner].tolist() + reach(n, place)[alive].tolist()}
+    pick = lambda at: [raw[NAME * k : NAME * k + NAME] for k in at.tolist()]
+    none = lambda k: [None] * k
+    first, members, second = len(best), len(gid), len(pairs)
+    columns = {"kind": [0] * first + [1] * members + [2] * second, "gid": none(first) + gid.tolist() + none(second), "n": none(first) + n.tolist() + none(second)}
+    columns |= {"a": pick(best) + pick(rank) + pick(pairs // max(1, len(names))), "b": pick(chosen) + none(members) + pick(pairs % max(1, len(names))), "reach": furthest.tolist() + far.tolist() + none(second)}
     return pa.Table.from_batches([batch(FOUND, **columns)])
 
 
@@ -307,16 +365,16 @@ def _several(found: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int
     boxes = parts.groupBy("gid").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"))
     boxes = written(boxes.where("size > most.c").select("gid", "size", (F.col("size") - F.col("most.c")).alias("others"), F.col("most.label").alias("major")), "several")
     sums = boxes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("size") * F.col("others")), F.lit(0)).alias("pairs")).collect()[0]
-    mixed = written(attach(members, boxes, "gid", "size", members.count()).where("size is not null"), "mixed")
+    out = written(attach(members, boxes, "gid", "size", members.count()).where("size is not null"), "mixed")
     for t in (members, boxes):
         dropped(t)
-    return mixed, sums["rows"], sums["pairs"]
+    return out, sums["rows"], sums["pairs"]
 
 
 MET = "gid long, i long, j long, asks boolean, sid binary, n long, reach long, label binary, other boolean"
 
 
-def _meetings(mixed: DataFrame, n_parts: int, round_no: int | None, block: int) -> DataFrame:
+def _meetings(several: DataFrame, n_parts: int, round_no: int | None, block: int) -> DataFrame:
     """Pairs of box members in different components that are within each other's reach: all of them, or with a round number one for each member outside the box's largest component
     (drawn from one block of the box).
 
@@ -327,7 +385,7 @@ def _meetings(mixed: DataFrame, n_parts: int, round_no: int | None, block: int)
     seed = F.lit(round_no or 0)
     place = lambda *of, into: F.pmod(F.xxhash64(*of, seed), into)
     other = F.col("label") != F.col("major")
-    rows = mixed.withColumns({"other": other, "asking": cut("others") if round_no is None else F.lit(1).cast("long"), "answering": cut("size")})
+    rows = several.withColumns({"other": other, "asking": cut("others") if round_no is None else F.lit(1).cast("long"), "answering": cut("size")})
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = place("sid", into=F.col("answering"))
     asks = rows.where("other").withColumn("i", place("sid", into=F.col("asking")))
@@ -485,24 +543,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     levels = _levels(table.where("kind = 1"))
     found = written(_entries(source, levels, n_buckets, hot).groupBy("bucket").applyInArrow(_boxes, FOUND), "found", "kind")
 
+    released(docs.sparkSession)
     proposed = found.where("kind = 0").groupBy("a").agg(F.max(F.struct("reach", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    proposed = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
     links = _verified(_bounded(proposed, points), points, source)
     labels = components(links)
-    mixed, n_rows, n_pairs = _several(found, labels)
+    several, n_rows, n_pairs = _several(found, labels)
     round_no = 0
     while n_pairs > heavy * n_rows:
         round_no += 1
-        drawn = _meetings(mixed, n_buckets, round_no, block).groupBy("a").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(round_no)).alias("order"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        drawn = _meetings(several, n_buckets, round_no, block).groupBy("a").agg(F.min(F.struct(F.xxhash64("a", "b", F.lit(round_no)).alias("order"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         new = _verified(_bounded(drawn, points), points, source)
         if not new.limit(1).count():
             break
         links = written(links.unionByName(new), "links")
         labels = components(links)
-        mixed, n_rows, n_pairs = _several(found, labels)
-    if n_rows:
-        rest = _verified(_bounded(_meetings(mixed, n_buckets, None, block).distinct(), points), points, source)
-        if rest.limit(1).count():
-            labels = components(links.unionByName(rest))
+        several, n_rows, n_pairs = _several(found, labels)
+    # All pairs that are left: those of the boxes of two and of larger ones, without those of the first round.
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    twos = found.where("kind = 2").select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")
+    twos = twos.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (of_a <=> of_b) or of_a is null").select("a", "b")
+    rest = twos.unionByName(_meetings(several, n_buckets, None, block).distinct().join(proposed, ["a", "b"], "left_anti")).distinct()
+    rest = _verified(_bounded(rest, points), points, source)
+    if rest.limit(1).count():
+        labels = components(links.unionByName(rest))
 
     sets = points.select("sid", "ident", "same").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     sets = written(sets, "classes")
