@@ -8,7 +8,7 @@ Boxes. The index is over the finest groups, one per shingle hash: a box holds th
 from rare to frequent, and a set enters only the boxes of its first
 n - ceil(t n) + 1 groups: if two sets share none of these, the summed minima over the rest stay below the bound. In a box, the member at place p of its order can link with
 sets of at most reach = (4 n - 7 p) / 3 shingles, as the minima over the groups from here on must suffice; two members may link only if each is within the other's reach. Members
-that reach nobody leave. A box of two is their pair; boxes of the same members are one. Pairs that are left are bounded by the summed minima of their counts in COARSE groups, and those that pass are verified on the sets themselves, made anew
+that reach nobody leave. A box of two is their pair; boxes of the same members are one. Pairs that are left are bounded by the summed minima of their counts in COARSE or more groups, and those that pass are verified on the sets themselves, made anew
 from the texts. README has figures on a tree over coarse groups alone, which would open nearly all of its nodes.
 
 The order of groups is the same for all sets; any gives the same result. What stands out among counts of all documents in LEVELS coarse groups comes last; the others are ordered by how often
@@ -28,14 +28,15 @@ segments. No column of the input can clash with those made here: only the key an
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, attach, batch, buckets, dropped, fresh, mixed, released, scoped, spans, window_hashes, word_hashes, written
@@ -48,7 +49,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 LEVELS, SLICES = 22, 16
 #: Steps of a word's level between a count and its double.
 STEPS = 7
-#: Groups of a count vector.
+#: Groups of a count vector, at least.
 COARSE = 256
 #: Members of a box that are compared in one task.
 BLOCK = 2048
@@ -60,8 +61,8 @@ HOT_LEVEL = 14
 HELD = 1 << 20
 #: Pairs of one set that stay together when they meet its points or shingles.
 TOGETHER = 1024
-#: Bits of the filter of documents to verify; its size does not depend on the data.
-FILTER = 1 << 22
+#: Bits of each of the two filters of documents to verify; their size does not depend on the data.
+FILTER = 1 << 25
 #: Bytes of a set's name.
 NAME = 12
 _NULL = (1 << 63) - 1
@@ -94,15 +95,27 @@ def reach(n, place):
     return (DENOMINATOR * n - (NUMERATOR + DENOMINATOR) * place) // NUMERATOR
 
 
+def groups(n: int) -> int:
+    """Groups of the point of a set of n shingles: COARSE, for large sets a power of two between n / 8 and n / 4, so that points tell them apart as well."""
+    return max(COARSE, 1 << max(0, n.bit_length() - 3))
+
+
 def point(found: np.ndarray) -> bytes:
-    """Counts per coarse group, in the fewest bytes that hold them; the first byte says how many."""
-    counts = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=COARSE)
+    """Counts per group of the hashes' first bits, in the fewest bytes that hold them; the first byte says how many."""
+    g = groups(len(found))
+    counts = np.bincount((found >> np.uint64(65 - g.bit_length())).astype(np.int64), minlength=g)
     size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
     return bytes([size]) + counts.astype(f"<u{size}").tobytes()
 
 
 def counts_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", COARSE, 1).astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Sum of the minima of two points; the finer one is added up to the groups of the other."""
+    least = min(len(x), len(y))
+    return int(np.minimum(x.reshape(least, -1).sum(1), y.reshape(least, -1).sum(1)).sum())
 
 
 SETS = "kind int, doc_id long, ident long, mark long, n long, sid binary, point binary, slice int, data binary"
@@ -166,7 +179,8 @@ def _levels(slices: DataFrame):
         data = zstandard.ZstdCompressor(level=1).compress(np.minimum(out, 2**32 - 1).astype("<u4").tobytes())
         return pa.Table.from_batches([batch(SLICE, slice=[table.column("slice")[0].as_py()], part=[0], data=[data])])
 
-    parts = slices.select("slice", F.pmod("doc_id", F.lit(64)).cast("int").alias("part"), "data")
+    n_parts = int(np.ceil(np.sqrt(slices.count() / (2 * SLICES) + 1)))
+    parts = slices.select("slice", F.pmod("doc_id", F.lit(n_parts)).cast("int").alias("part"), "data")
     summed = parts.groupBy("slice", "part").applyInArrow(total, SLICE).groupBy("slice").applyInArrow(total, SLICE)
     counts = np.zeros(2 * size, np.uint32)
     for r in summed.collect():
@@ -409,9 +423,9 @@ def _meetings(several: DataFrame, n_parts: int, round_no: int | None, block: int
             start = n - int(np.argmin(same[::-1])) if not same.all() else 0
             held = table.slice(start)
             if start:
-                yield from _judged(table.slice(0, start), round_no is not None, rng)
+                yield from _compared(table.slice(0, start), round_no is not None, rng)
         if held is not None and held.num_rows:
-            yield from _judged(held, round_no is not None, rng)
+            yield from _compared(held, round_no is not None, rng)
 
     return dealt.mapInArrow(run, PAIRS)
 
@@ -420,7 +434,7 @@ def _meetings(several: DataFrame, n_parts: int, round_no: int | None, block: int
 CHUNK = 1 << 21
 
 
-def _judged(table: pa.Table, one: bool, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
+def _compared(table: pa.Table, one: bool, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
     """Of complete groups, ordered by group with those that answer first."""
     gid, i, j, asks, n, far, other = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6, 8))
     change = np.ones(len(gid), bool)
@@ -456,74 +470,99 @@ def _judged(table: pa.Table, one: bool, rng: np.random.Generator) -> Iterator[pa
         at = stop
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """pairs with sets[column] of the set named by pairs[key]. A set with very many pairs is sent to them in several copies, each for TOGETHER of them. pairs: a written() table."""
-    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    many = attach(pairs, sizes, key, "_size", pairs.count()).withColumn("_copies", F.ceil(F.col("_size") / F.lit(TOGETHER)))
-    other = "b" if key == "a" else "a"
-    dealt = many.withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies"))).drop("_size", "_copies")
-    copies = sizes.select(F.col(key).alias("sid"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.lit(TOGETHER)) - 1)).alias("_copy"))
-    sent = copies.join(sets.select("sid", F.col(column).alias(name)), "sid").withColumnRenamed("sid", key)
-    return dealt.join(sent, [key, "_copy"]).drop("_copy")
+JUDGED = "hub binary, copy long, own boolean, sid binary, data binary"
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs whose points' summed minima reach the bound."""
-    sized = points.select("sid", F.struct("point", "n").alias("of"))
-    one = written(_beside(written(pairs, "proposed"), sized, "a", "of", "x"), "one")
-    rows = _beside(one, sized, "b", "of", "y").select("a", "b", F.col("x.point").alias("x"), F.col("y.point").alias("y"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
+def _judged(pairs: DataFrame, sets: DataFrame, passes: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Pairs of which the data of both sets pass. sets: sid, data; read once.
+
+    Of each pair the set with more pairs is the hub. The data go to the hub's group, which has the hub's own once and those of its partners; a hub with many partners has several groups, each with
+    TOGETHER of them. So the data of every set are shuffled twice: to meet their pairs, and to meet the hub.
+    """
+    pairs = written(pairs, "pairs")
+    total = pairs.count()
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    degrees = written(ends.groupBy("sid").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    known = pairs
+    for end in ("a", "b"):
+        known = written(attach(known, degrees.select(F.col("sid").alias(end), F.col("degree").alias(f"of_{end}"), F.col("degree").alias("size")), end, "size", 2 * total).drop("size"), "ends")
+    swap = F.col("of_a") > F.col("of_b")
+    known = known.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("sid"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("hub"), F.ceil(F.greatest("of_a", "of_b") / F.lit(TOGETHER)).alias("copies"))
+    known = known.select("sid", "hub", F.pmod(F.xxhash64("sid"), F.col("copies")).alias("copy"))
+    asked = known.withColumn("own", F.lit(False)).unionByName(known.select(F.col("hub").alias("sid"), "hub", "copy").distinct().withColumn("own", F.lit(True)))
+    met = asked.join(sets, "sid").select("hub", "copy", "own", "sid", "data")
+    dealt = met.repartition(F.col("hub"), F.col("copy")).sortWithinPartitions("hub", "copy", F.desc("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, b""
         for some in batches:
-            a, b, x, y, m, n = (c.to_pylist() for c in some.columns)
-            ok = [i for i in range(len(a)) if np.minimum(counts_of(x[i]), counts_of(y[i])).sum() >= needed(m[i], n[i])]
-            yield batch(PAIRS, a=[a[i] for i in ok], b=[b[i] for i in ok])
+            found = []
+            for hub, copy, own, sid, data in zip(*(some.column(k).to_pylist() for k in range(4)), some.column(4)):
+                if own:
+                    group, held = (hub, copy), data.as_py()
+                elif group == (hub, copy) and passes(held, data.as_py()):
+                    found.append((sid, hub))
+            if found:
+                yield batch(PAIRS, a=[min(x) for x in found], b=[max(x) for x in found])
+
+    # A set that several tasks found passes several times.
+    return dealt.mapInArrow(run, PAIRS).distinct()
+
+
+def _may_overlap(x: bytes, y: bytes) -> bool:
+    one, two = counts_of(x), counts_of(y)
+    return overlap_bound(one, two) >= needed(int(one.sum()), int(two.sum()))
+
+
+def _overlap(x: bytes, y: bytes) -> bool:
+    one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    return len(one) + len(two) - len(np.union1d(one, two)) >= needed(len(one), len(two))
+
+
+@scoped
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs whose points' summed minima reach the bound."""
+    return written(_judged(pairs, points.select("sid", F.col("point").alias("data")), _may_overlap), "bounded")
 
-    return rows.mapInArrow(run, PAIRS)
 
+def _bits(values: DataFrame, place: Column) -> bytes:
+    """A filter of the values, one bit each at its place in 1 .. FILTER."""
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for r in values.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits.tobytes()
 
-LISTED = "sid binary, ident long, data binary"
 
+LISTED = "sid binary, data binary"
 
+
+@scoped
 def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame) -> DataFrame:
-    """Pairs that do reach the threshold. Texts of the sets in question are read again through a filter of fixed size, so only theirs are shuffled."""
-    pairs = written(pairs, "pairs")
+    """Pairs that do reach the threshold. The texts are read again through two filters of fixed size, of the ids and of the names of the sets in question; only the sets that pass both are
+    shuffled. What the filters let pass by chance meets no pair."""
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = written(points.join(ends, "sid").select("sid", "ident"), "wanted")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)) + 1
-    bits = np.zeros(FILTER // 8, np.uint8)
-    for r in wanted.groupBy(F.bitmap_bucket_number(place("ident")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("ident"))).alias("bits")).collect():
-        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    mask = source.sparkSession.sparkContext.broadcast(bits.tobytes())
+    mask = source.sparkSession.sparkContext.broadcast(_bits(wanted, place("ident")) + _bits(wanted, F.pmod(F.crc32("sid"), F.lit(FILTER)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = WordHashes(), np.frombuffer(mask.value, np.uint8)
-        for some in batches:
-            at = some.column(2).to_numpy() - 1
-            hits = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            sets = [shingles(some.column(1)[i].as_py(), known) for i in hits.tolist()]
-            if sets:
-                yield batch(LISTED, sid=[set_id(x) for x in sets], ident=some.column(0).take(pa.array(hits)), data=[x.tobytes() for x in sets])
-
-    listed = source.select("ident", "text", place("ident").alias("place")).mapInArrow(run, LISTED)
-    sets = written(listed.join(wanted, ["sid", "ident"], "left_semi").dropDuplicates(["sid"]).select("sid", "data"), "sets")
-    one = written(_beside(pairs, sets, "a", "data", "x"), "one")
-    joined = _beside(one, sets, "b", "data", "y").select("a", "b", "x", "y")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, done = WordHashes(), set()
+        idents, names = np.frombuffer(mask.value, np.uint8).reshape(2, -1)
         for some in batches:
-            ok = []
-            for x, y in zip(some.column(2), some.column(3)):
-                one, two = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                shared = len(one) + len(two) - len(np.union1d(one, two))
-                ok.append(shared >= needed(len(one), len(two)))
-            keep = pa.array(ok, pa.bool_())
-            yield batch(PAIRS, a=some.column(0).filter(keep), b=some.column(1).filter(keep))
-
-    links = written(joined.mapInArrow(check, PAIRS), "links")
-    for t in (pairs, wanted, sets, one):
-        dropped(t)
-    return links
+            at = some.column(1).to_numpy() - 1
+            found = []
+            for i in np.flatnonzero((idents[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist():
+                own = shingles(some.column(0)[i].as_py(), known)
+                if len(own) and (sid := set_id(own)) not in done:
+                    k = zlib.crc32(sid) % FILTER
+                    if names[k >> 3] >> (k & 7) & 1:
+                        done.add(sid)
+                        found.append((sid, own.tobytes()))
+            if found:
+                yield batch(LISTED, sid=[x[0] for x in found], data=[x[1] for x in found])
+
+    listed = source.select("text", place("ident").alias("place")).mapInArrow(run, LISTED)
+    return written(_judged(pairs, listed, _overlap), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -548,6 +587,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     proposed = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
     links = _verified(_bounded(proposed, points), points, source)
     labels = components(links)
+    released(docs.sparkSession)
     several, n_rows, n_pairs = _several(found, labels)
     round_no = 0
     while n_pairs > heavy * n_rows:
@@ -565,6 +605,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     twos = twos.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not (of_a <=> of_b) or of_a is null").select("a", "b")
     rest = twos.unionByName(_meetings(several, n_buckets, None, block).distinct().join(proposed, ["a", "b"], "left_anti")).distinct()
     rest = _verified(_bounded(rest, points), points, source)
+    released(docs.sparkSession)
     if rest.limit(1).count():
         labels = components(links.unionByName(rest))
 

@@ -566,6 +566,17 @@ def test_partners_within_reach():
         assert {i for i in range(len(box)) if any(fits(i, j) for j in range(len(box)))} <= set(np.flatnonzero(alive))
 
 
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(12)
+    for n, m in ((1, 1), (100, 120), (2000, 2600), (2040, 2060), (9000, 7000)):
+        common = rng.integers(0, 1 << 63, min(n, m) // 8, np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k - len(common), np.uint64) * np.uint64(2)])) for k in (n, m)]
+        x, y = (jaccard_join.counts_of(jaccard_join.point(s)) for s in sets)
+        shared = len(np.intersect1d(*sets))
+        assert shared <= jaccard_join.overlap_bound(x, y) <= min(n, m) and (x.sum(), y.sum()) == (n, m)
+        assert n < 100 or jaccard_join.overlap_bound(x, y) < jaccard_join.needed(n, m)
+
+
 def test_reach_is_the_bound_of_the_minima():
     for n in range(1, 60):
         for place in range(n // 4 + 1):
