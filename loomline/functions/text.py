@@ -154,15 +154,20 @@ def parse_commands(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(tag(text, "state_update"), F.lit("")), "\n"), one), lambda x: x.isNotNull())
 
 
-def reveal_after(line: Column, patterns: Iterable[str] = REVEAL_PATTERNS, end: str = NAME_END, name: str = f"^({HAN}{{2,4}})", valid=valid_name, least: int = 3) -> Column:
-    """The name that a line introduces: by the first pattern of the list after which a valid one stands."""
+def reveals_after(line: Column, patterns: Iterable[str] = REVEAL_PATTERNS, end: str = NAME_END, name: str = f"^({HAN}{{2,4}})", valid=valid_name, least: int = 3) -> Column:
+    """array of the valid names that a line introduces, in the order of the patterns they stand after (each at its first place)."""
     body = strip(line)
     stop = "".join("\\" + c if c in "[]\\^-" else c for c in end)
     tries = []
     for p in patterns:
         rest = F.regexp_extract(body, f"{quoted(p)}([^{stop}]*)", 1)
         tries.append(F.when(body.contains(p), valid(F.nullif(F.regexp_extract(rest, name, 1), F.lit("")))))
-    return F.when(F.length(body) >= least, F.coalesce(*tries))
+    return F.when(F.length(body) >= least, F.array_compact(F.array(*tries))).otherwise(F.array().cast("array<string>"))
+
+
+def reveal_after(line: Column, *args, **kwargs) -> Column:
+    """The first of reveals_after(); null without one."""
+    return F.get(reveals_after(line, *args, **kwargs), F.lit(0))
 
 
 def clamp(value: Column, low: int, high: int, zero_means: int = 1) -> Column:

@@ -102,9 +102,10 @@ class ProviderChain:
     wait: Callable[[float], None] = time.sleep
 
     def select(self, wanted: str) -> list[Provider]:
-        """Exact matches of label or model, else those that contain the text."""
-        exact = [p for p in self.providers if wanted in (p.label, p.model)]
-        return exact or [p for p in self.providers if wanted in p.label or wanted in p.model]
+        """Exact matches of label or model, else those that contain the text; small and capital letters are the same."""
+        text = wanted.lower()
+        exact = [p for p in self.providers if text in (p.label.lower(), p.model.lower())]
+        return exact or [p for p in self.providers if text in p.label.lower() or text in p.model.lower()]
 
     def call(self, messages: list[dict], tools: list[dict] | None = None) -> tuple[str, dict]:
         if estimate(messages) + OUTPUT > CONTEXT:
@@ -119,9 +120,9 @@ class ProviderChain:
             p.last = self.clock()
             try:
                 return p.label, p.chat(messages, tools)
-            except ModelError as e:
+            except Exception as e:  # whatever one provider does, the next one is asked
                 errors.append(f"{p.label}: {e}")
-                p.failed(e.status or 500, self.clock())
+                p.failed(getattr(e, "status", 0) or 500, self.clock())
         raise ModelError("; ".join(errors[-ERRORS_KEPT:]) or "no model is free")
 
     def check(self, probe: list[dict]) -> list[str]:
@@ -131,7 +132,7 @@ class ProviderChain:
             try:
                 p.chat(probe, None)
                 good.append(p.label)
-            except ModelError:
+            except Exception:
                 p.resting_until = self.clock() + REST["health"]
         if not good:
             raise ModelError("no model answers")

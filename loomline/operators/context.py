@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.text import INTRODUCTIONS, OPEN_QUOTE, any_of, clamp, reveal_after, strip
+from ..functions.text import INTRODUCTIONS, OPEN_QUOTE, any_of, reveal_after, reveals_after, strip
 from .roster import WIDTHS, Roster, head_width, window_codes
 
 NAVIGATION_RANGE, NAVIGATION_LENGTH = 25, 120
@@ -65,10 +65,6 @@ def keyword_in_context(rows: DataFrame, keyword: str, context: int = 1, key: str
     return spread.join(rows, [key, "line_no"]).select(key, "hit_no", "hit_line", "line_no", "line", "total")
 
 
-def context_reach(context: Column) -> Column:
-    return clamp(context, 0, 5)
-
-
 def context_block(found: DataFrame, key: str = "doc_id", characters: int = MATCH_CHARACTERS, separator: str = "\n---\n") -> DataFrame:
     """Blocks of keyword_in_context() as one text per key, cut at a number of characters."""
     marked = F.concat(F.when(F.col("line_no") == F.col("hit_line"), ">>").otherwise("  "), F.col("line_no").cast("string"), F.lit(": "), F.col("line"))
@@ -111,34 +107,77 @@ def blocks(rows: DataFrame, mark: str = OPEN_QUOTE, key: str = "doc_id") -> Data
 
 
 def reveal_as_of(rows: DataFrame, revealed: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """rows with `name` and `reveal_line`: the first name that a later line reveals."""
+    """rows with `name` and `reveal_line`: the first name that a later line reveals. Lines are read from the last one back, so each is visited once."""
     found = rows.withColumn("_name", reveal_after(F.col("line")) if revealed is None else revealed)
-    ahead = _order(key).rowsBetween(1, Window.unboundedFollowing)
-    hit = F.first(F.when(F.col("_name").isNotNull(), F.struct("_name", "line_no")), True).over(ahead)
+    later = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.last(F.when(F.col("_name").isNotNull(), F.struct("_name", "line_no")), True).over(later)
     return found.withColumn("_hit", hit).select(*rows.columns, F.col("_hit._name").alias("name"), F.col("_hit.line_no").alias("reveal_line"))
 
 
 def reveal_for(rows: DataFrame, targets: DataFrame, revealed: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """For targets (key, line_no, descriptor): the first later name that is not the descriptor itself."""
-    found = rows.select(key, F.col("line_no").alias("reveal_line"), (reveal_after(F.col("line")) if revealed is None else revealed).alias("name")).where("name is not null")
-    t = targets.select(key, "line_no", "descriptor")
-    pairs = t.join(found, key).where("reveal_line > line_no and name <> descriptor")
-    first = pairs.groupBy(key, "line_no", "descriptor").agg(F.min_by("name", "reveal_line").alias("name"), F.min("reveal_line").alias("reveal_line"))
-    return t.join(first, [key, "line_no", "descriptor"], "left")
+    """For targets (key, line_no, descriptor): the first name in later lines that is not the descriptor itself, with its line. `revealed`: array of the names in a line.
+
+    No pairs of targets and lines are made. The next revealing line answers, unless it has the descriptor as its only name; then the answer is in the first line after the run of
+    such lines, which every line of the run knows.
+    """
+    names = F.array_distinct(reveals_after(F.col("line")) if revealed is None else F.array_compact(revealed))
+    found = rows.select(key, "line_no", names.alias("names")).where("size(names) > 0").withColumn("lone", F.when(F.size("names") == 1, F.get("names", F.lit(0))))
+    order = _order(key)
+    begins = (~F.coalesce(F.lag("lone").over(order) == F.col("lone"), F.lit(False))).cast("int")
+    found = found.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+    runs = found.groupBy(key, "_run").agg(F.min(F.struct("line_no", "names")).alias("head"))
+    runs = runs.select(key, "_run", F.lead("head").over(Window.partitionBy(key).orderBy("_run")).alias("after"))
+    hits = found.join(runs, [key, "_run"]).select(key, "line_no", F.struct("line_no", "names", "after").alias("hit"), F.lit(None).cast("string").alias("descriptor"), F.lit(0).alias("asks"))
+    asked = targets.select(key, "line_no", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), F.col("descriptor").cast("string").alias("descriptor"), F.lit(1).alias("asks"))
+    later = Window.partitionBy(key).orderBy(F.desc("line_no"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    met = asked.unionByName(hits).withColumn("next", F.last("hit", True).over(later)).where("asks = 1")
+    other = lambda names: F.get(F.filter(names, lambda x: ~x.eqNullSafe(F.col("descriptor"))), F.lit(0))
+    met = met.withColumns({"first": other(F.col("next.names")), "second": other(F.col("next.after.names"))})
+    line = F.when(F.col("first").isNotNull(), F.col("next.line_no")).when(F.col("second").isNotNull(), F.col("next.after.line_no"))
+    return met.select(key, "line_no", "descriptor", F.coalesce("first", "second").alias("name"), line.alias("reveal_line"))
+
+
+def _around(rows: DataFrame, targets: DataFrame, at: str, before: int, after: int, key: str) -> DataFrame:
+    """rows joined to the targets that have them between `before` lines before and `after` lines after targets[at]. Lines and targets meet by blocks of lines, in an equi-join: a target is
+    sent to the two or three blocks that it reaches."""
+    size = max(16, before + after + 1)
+    block = lambda x: F.floor(x / size)
+    wide = targets.withColumn("_block", F.explode(F.sequence(block(F.col(at) - before), block(F.col(at) + after))))
+    return rows.withColumn("_block", block(F.col("line_no"))).join(wide, [key, "_block"]).where(F.col("line_no").between(F.col(at) - before, F.col(at) + after)).drop("_block")
 
 
 def deep_search(rows: DataFrame, targets: DataFrame, patterns: Iterable[str] = INTRODUCTIONS, forward: int = IDENTITY_FORWARD, backward: int = IDENTITY_BACKWARD, near: int = IDENTITY_NEAR, names: int = IDENTITY_NAMES, key: str = "doc_id") -> DataFrame:
     """Around targets (key, around, name): introduction lines, with a near flag, and the first lines with the name, with the total. kind: intro or name."""
     t = targets.select(key, "around", "name")
-    wide = rows.join(t, key).where(f"line_no between around - {backward} and around + {forward - 1}")
-    intro = wide.where(any_of(F.col("line"), patterns)).withColumn("pattern", F.explode(F.array(*map(F.lit, patterns)))).where("contains(line, pattern)")
-    intro = intro.select(key, "around", "name", F.lit("intro").alias("kind"), "line_no", (F.abs(F.col("line_no") - F.col("around")) < near).alias("near"), F.count(F.lit(1)).over(Window.partitionBy(key, "around", "name")).alias("total"))
-    named = wide.where("contains(line, name)")
+    close = (F.abs(F.col("line_no") - F.col("around")) < near).alias("near")
     group = Window.partitionBy(key, "around", "name")
-    named = named.select(key, "around", "name", F.lit("name").alias("kind"), "line_no", (F.abs(F.col("line_no") - F.col("around")) < near).alias("near"), F.count(F.lit(1)).over(group).alias("total"), F.row_number().over(group.orderBy("line_no")).alias("_n"))
+    said = rows.where(any_of(F.col("line"), patterns)).select(key, "line_no", "line", F.explode(F.array(*map(F.lit, patterns))).alias("pattern")).where("contains(line, pattern)").drop("line")
+    intro = _around(said, t, "around", backward, forward - 1, key).select(key, "around", "name", F.lit("intro").alias("kind"), "line_no", close, F.count(F.lit(1)).over(group).alias("total"))
+    named = _around(rows, t, "around", backward, forward - 1, key).where("contains(line, name)")
+    named = named.select(key, "around", "name", F.lit("name").alias("kind"), "line_no", close, F.count(F.lit(1)).over(group).alias("total"), F.row_number().over(group.orderBy("line_no")).alias("_n"))
     return intro.unionByName(named.where(F.col("_n") <= names).drop("_n"))
 
 
+def investigate(rows: DataFrame, targets: DataFrame, patterns: Iterable[str] = INTRODUCTIONS, revealed: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """Who a descriptor is: targets (key, line_no, descriptor) with found, name, status, introduction_line and evidence.
+
+    A later line that reveals another name makes a verified identity, with that line as evidence; else lines that introduce someone near the target leave a candidate; else nothing is found.
+    """
+    t = targets.select(key, "line_no", "descriptor")
+    shown = reveal_for(rows, t, revealed, key)
+    close = deep_search(rows, t.select(key, F.col("line_no").alias("around"), F.col("descriptor").alias("name")), patterns, key=key).where("kind = 'intro' and near")
+    close = close.groupBy(key, F.col("around").alias("line_no"), F.col("name").alias("descriptor")).agg(F.count_distinct("line_no").alias("introductions"))
+    same = [shown[c].eqNullSafe(close[c]) for c in (key, "line_no", "descriptor")]
+    joined = shown.join(close, same[0] & same[1] & same[2], "left").select(*(shown[c] for c in shown.columns), F.coalesce("introductions", F.lit(0)).alias("introductions"))
+    status = F.when(F.col("name").isNotNull(), "verified").when(F.col("introductions") > 0, "candidate").otherwise("unknown")
+    return joined.select(key, "line_no", "descriptor", F.col("name").isNotNull().alias("found"), "name", status.alias("status"), F.col("reveal_line").alias("introduction_line"), "introductions")
+
+
+def first_rows(rows: DataFrame, count: int, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """The first `count` rows of each key, in order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= count).drop("_n")
+
+
 def gap_batches(spans: DataFrame, key: str, order: str, position: str, gap: int = BATCH_GAP, size: int | None = None) -> DataFrame:
     """spans with `batch` (from 0): a new one starts where the distance to the previous position is over the gap; size cuts batches further."""
     w = Window.partitionBy(key).orderBy(order)
@@ -197,7 +236,7 @@ def leaks(rows: DataFrame, terms: DataFrame, key: str = "doc_id", bound: int = R
 
 def block_map(rows: DataFrame, targets: DataFrame, reach: int = 40, mark: str = OPEN_QUOTE, span: str = "「([^」]+)」", quotes: tuple[str, str] = ("「", "」"), cut: int = 40, key: str = "doc_id") -> DataFrame:
     """key, target, text: the lines around each target as a map, runs of narrative as one line, dialogue by its first span."""
-    wide = targets.select(key, F.col("line_no").alias("target")).join(rows, key).where(f"line_no between target - {reach} and target + {reach}")
+    wide = _around(rows, targets.select(key, F.col("line_no").alias("target")), "target", reach, reach, key)
     w = Window.partitionBy(key, "target").orderBy("line_no")
     tagged = wide.withColumn("kind", line_kind(F.col("line"), mark))
     begins = ((F.col("kind") == "D") | (F.lag("kind", 1, "D").over(w) == "D")).cast("int")

@@ -38,15 +38,43 @@ def unseen_evidence(evidence: DataFrame, held: DataFrame, keys: tuple[str, ...]
 
 def upsert(evidence: DataFrame) -> DataFrame:
     """One row per character of (name, alias, verified, line_no, introduces, ord): aliases in order of arrival and without the name itself,
-    status (once verified, always), evidence lines, first introduction, last line seen (0 without evidence)."""
-    rows = F.sort_array(F.collect_list(F.when(F.col("alias").isNotNull() & (F.col("alias") != F.col("name")), F.struct("ord", "alias"))))
-    return evidence.groupBy("name").agg(
-        F.array_distinct(F.transform(rows, lambda x: x["alias"])).alias("aliases"),
+    status (once verified, always), evidence lines, first introduction, last line seen (0 without evidence). Only a character's different aliases are gathered, not its rows."""
+    first = evidence.where("alias is not null and alias <> name").groupBy("name", "alias").agg(F.min("ord").alias("ord"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "alias"))), lambda x: x["alias"])
+    aliases = first.groupBy(F.col("name").alias("_name")).agg(ordered.alias("aliases"))
+    facts = evidence.groupBy("name").agg(
         F.when(F.max("verified"), "verified").otherwise("candidate").alias("status"),
         F.count_distinct("line_no").alias("evidence"),
         F.min(F.when(F.col("introduces"), F.col("line_no"))).alias("introduction_line"),
         F.coalesce(F.max("line_no"), F.lit(0)).alias("last_seen_line"),
     )
+    joined = facts.join(aliases, facts["name"].eqNullSafe(aliases["_name"]), "left")
+    return joined.select("name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "status", "evidence", "introduction_line", "last_seen_line")
+
+
+def update_last_seen(vault: DataFrame, mentions: DataFrame) -> DataFrame:
+    """vault (upsert() rows) after mentions (name, line_no): a mention by an alias is its owner's (the first character by name that has it), one of nobody known makes a
+    candidate without evidence."""
+    owners = vault.select("name", F.explode("aliases").alias("alias")).groupBy("alias").agg(F.min("name").alias("owner"))
+    known = vault.select(F.col("name").alias("_known"))
+    found = mentions.groupBy("name").agg(F.max("line_no").alias("line_no"))
+    found = found.join(known, found["name"] == F.col("_known"), "left").join(owners, found["name"] == owners["alias"], "left")
+    seen = found.groupBy(F.coalesce("_known", "owner", "name").alias("name")).agg(F.max("line_no").alias("_seen"))
+    merged = vault.join(seen, "name", "full")
+    return merged.select(
+        "name",
+        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
+        F.coalesce("status", F.lit("candidate")).alias("status"),
+        F.coalesce("evidence", F.lit(0)).cast("bigint").alias("evidence"),
+        "introduction_line",
+        F.greatest(F.coalesce("last_seen_line", F.lit(0)), F.coalesce("_seen", F.lit(0))).alias("last_seen_line"),
+    )
+
+
+def newest(rows: DataFrame, key: str, line: str, text: str, keep: int = RECENT_LINES) -> DataFrame:
+    """key, recent: the last `keep` of each key as array(struct(line, text)), newest first. Others leave before the shuffle."""
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(line)))).where(F.col("_n") <= keep)
+    return ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(line).alias("line"), F.col(text).alias("text"))), False).alias("recent"))
 
 
 def merge_vaults(held: DataFrame, new: DataFrame) -> DataFrame:

@@ -29,17 +29,26 @@ def strict_alternation(seen: Column) -> Column:
     return (F.size(seen) >= 4) & F.coalesce((at(4) == at(2)) & (at(3) == at(1)) & (at(4) != at(3)), F.lit(False))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda's variable, not the expression, stands wherever it is needed."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rhythm(seen: Column) -> Column:
     """struct(a, b, score, next): the first two voices of the last RHYTHM_ROUNDS, how many steps follow their alternation, and whose turn
     it is; null unless there are enough rows, both voices occur twice and the share of steps is enough."""
-    frame = F.slice(seen, F.greatest(F.size(seen) - RHYTHM_ROUNDS + 1, F.lit(1)), RHYTHM_ROUNDS)
-    voices = F.array_distinct(frame)
-    a, b = F.get(voices, F.lit(0)), F.get(voices, F.lit(1))
-    score = F.aggregate(frame, F.lit(0), lambda n, x: F.when(x == F.when(n % 2 == 0, a).otherwise(b), n + 1).otherwise(n))
-    count = lambda v: F.size(F.filter(frame, lambda x: x == v))
-    enough = (F.size(seen) >= RHYTHM_LEAST) & (F.size(voices) >= 2) & (count(a) >= 2) & (count(b) >= 2) & (score >= RHYTHM_SHARE * F.size(frame))
-    turn = F.when(F.get(frame, F.size(frame) - 1) == a, b).otherwise(a)
-    return F.when(enough, F.struct(a.alias("a"), b.alias("b"), score.cast("bigint").alias("score"), turn.alias("next")))
+
+    def framed(frame: Column) -> Column:
+        return _bound(F.array_distinct(frame), lambda voices: scored(frame, voices, F.get(voices, F.lit(0)), F.get(voices, F.lit(1))))
+
+    def scored(frame: Column, voices: Column, a: Column, b: Column) -> Column:
+        steps = F.aggregate(frame, F.lit(0), lambda n, x: F.when(x == F.when(n % 2 == 0, a).otherwise(b), n + 1).otherwise(n))
+        count = lambda v: F.size(F.filter(frame, lambda x: x == v))
+        turn = F.when(F.get(frame, F.size(frame) - 1) == a, b).otherwise(a)
+        enough = (F.size(frame) >= RHYTHM_LEAST) & (F.size(voices) >= 2) & (count(a) >= 2) & (count(b) >= 2)
+        return _bound(steps, lambda score: F.when(enough & (score >= RHYTHM_SHARE * F.size(frame)), F.struct(a.alias("a"), b.alias("b"), score.cast("bigint").alias("score"), turn.alias("next"))))
+
+    return _bound(F.slice(seen, F.greatest(F.size(seen) - RHYTHM_ROUNDS + 1, F.lit(1)), RHYTHM_ROUNDS), framed)
 
 
 def next_expected(seen: Column) -> Column:

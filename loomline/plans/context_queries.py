@@ -18,6 +18,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.lines(table(spark, sf_dir, "documents"))
 
 
+def _dialogue(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("line").contains(MARK))
+
+
 @query(f"WITH {LINES} SELECT * FROM lines")
 def line_scan(spark, sf_dir):
     return _lines(spark, sf_dir)
@@ -82,10 +86,11 @@ SELECT l.doc_id, t.line_no AS target, l.line_no,
        CASE WHEN l.line_no = t.line_no THEN '>> ' ELSE '   ' END || 'L' || l.line_no || ': ' ||
        CASE WHEN contains(l.line, ',') THEN '<' || left({stripped("l.line")}, 120) || '>' ELSE '[narr] ' || left({stripped("l.line")}, 120) END AS text
 FROM lines t JOIN lines l ON l.doc_id = t.doc_id AND l.line_no BETWEEN greatest(1, t.line_no - 25) AND t.line_no + 25
-WHERE t.line_no % 10 = 3""")
+WHERE contains(t.line, ',')""")
 def navigation(spark, sf_dir):
+    """Around every dialogue line."""
     rows = _lines(spark, sf_dir)
-    return context.navigation(rows, rows.where("line_no % 10 = 3"), mark=MARK, quotes=("<", ">"))
+    return context.navigation(rows, _dialogue(rows), mark=MARK, quotes=("<", ">"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, CASE WHEN contains(line, ',') THEN 'D' ELSE 'N' END AS kind, count(*) AS n FROM lines GROUP BY ALL")
@@ -133,26 +138,45 @@ def asof_forward_reveal(spark, sf_dir):
 
 @query(f"""WITH {LINES}, r AS (SELECT *, {_REVEALED} AS v FROM lines),
 p AS (SELECT t.doc_id, t.line_no, arg_min(r.v, r.line_no) AS name, min(r.line_no) AS reveal_line
-      FROM r t JOIN r ON r.doc_id = t.doc_id AND r.line_no > t.line_no AND r.v <> 'the' WHERE t.line_no % 5 = 1 GROUP BY ALL)
-SELECT t.doc_id, t.line_no, 'the' AS descriptor, p.name, p.reveal_line FROM lines t LEFT JOIN p USING (doc_id, line_no) WHERE t.line_no % 5 = 1""")
+      FROM r t JOIN r ON r.doc_id = t.doc_id AND r.line_no > t.line_no AND r.v <> 'the' WHERE contains(t.line, ',') GROUP BY ALL)
+SELECT t.doc_id, t.line_no, 'the' AS descriptor, p.name, p.reveal_line FROM lines t LEFT JOIN p USING (doc_id, line_no) WHERE contains(t.line, ',')""")
 def reveal_for_descriptor(spark, sf_dir):
+    """For every dialogue line."""
     rows = _lines(spark, sf_dir)
-    targets = rows.where("line_no % 5 = 1").withColumn("descriptor", F.lit("the"))
-    return context.reveal_for(rows, targets, _revealed())
+    return context.reveal_for(rows, _dialogue(rows).withColumn("descriptor", F.lit("the")), F.array(_revealed()))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no AS around, 'the' AS name FROM lines WHERE line_no % 20 = 10),
-w AS (SELECT l.*, around, name FROM lines l JOIN t USING (doc_id) WHERE l.line_no BETWEEN around - 5 AND around + 7),
-i AS (SELECT doc_id, around, name, 'intro' AS kind, line_no, abs(line_no - around) < 3 AS near, count(*) OVER (PARTITION BY doc_id, around, name) AS total
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no AS around, 'the' AS name FROM lines WHERE contains(line, ',')),
+w AS (SELECT l.*, around, name FROM lines l JOIN t USING (doc_id) WHERE l.line_no BETWEEN around - {context.IDENTITY_BACKWARD} AND around + {context.IDENTITY_FORWARD - 1}),
+i AS (SELECT doc_id, around, name, 'intro' AS kind, line_no, abs(line_no - around) < {context.IDENTITY_NEAR} AS near, count(*) OVER (PARTITION BY doc_id, around, name) AS total
       FROM w, (VALUES ('on the'), ('the')) p(pattern) WHERE contains(line, pattern)),
-n AS (SELECT doc_id, around, name, 'name' AS kind, line_no, abs(line_no - around) < 3 AS near, count(*) OVER g AS total,
+n AS (SELECT doc_id, around, name, 'name' AS kind, line_no, abs(line_no - around) < {context.IDENTITY_NEAR} AS near, count(*) OVER g AS total,
              row_number() OVER (PARTITION BY doc_id, around, name ORDER BY line_no) AS k
       FROM w WHERE contains(line, name) WINDOW g AS (PARTITION BY doc_id, around, name))
-SELECT * FROM i UNION ALL SELECT * EXCLUDE k FROM n WHERE k <= 4""")
+SELECT * FROM i UNION ALL SELECT * EXCLUDE k FROM n WHERE k <= {context.IDENTITY_NAMES}""")
 def deep_search(spark, sf_dir):
+    """Around every dialogue line, with the operator's own windows."""
     rows = _lines(spark, sf_dir)
-    targets = rows.where("line_no % 20 = 10").select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
-    return context.deep_search(rows, targets, ("on the", "the"), forward=8, backward=5, near=3, names=4)
+    targets = _dialogue(rows).select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
+    return context.deep_search(rows, targets, ("on the", "the"))
+
+
+@query(f"""WITH {LINES}, r AS (SELECT *, {_REVEALED} AS v FROM lines),
+t AS (SELECT * FROM r WHERE contains(line, ',')),
+p AS (SELECT t.doc_id, t.line_no, arg_min(r.v, r.line_no) AS name, min(r.line_no) AS reveal_line FROM t JOIN r ON r.doc_id = t.doc_id AND r.line_no > t.line_no AND r.v <> 'her' GROUP BY ALL),
+i AS (SELECT t.doc_id, t.line_no, count(*) AS n FROM t JOIN r ON r.doc_id = t.doc_id AND r.line_no BETWEEN t.line_no - {context.IDENTITY_NEAR - 1} AND t.line_no + {context.IDENTITY_NEAR - 1}
+      WHERE contains(r.line, 'this is') OR contains(r.line, 'on the') GROUP BY ALL)
+SELECT t.doc_id, t.line_no, 'her' AS descriptor, p.name IS NOT NULL AS found, p.name, CASE WHEN p.name IS NOT NULL THEN 'verified' WHEN i.n > 0 THEN 'candidate' ELSE 'unknown' END AS status,
+  p.reveal_line AS introduction_line, coalesce(i.n, 0) AS introductions FROM t LEFT JOIN p USING (doc_id, line_no) LEFT JOIN i USING (doc_id, line_no)""")
+def investigate(spark, sf_dir):
+    """Who every dialogue line's descriptor is."""
+    rows = _lines(spark, sf_dir)
+    return context.investigate(rows, _dialogue(rows).withColumn("descriptor", F.lit("her")), ("this is", "on the"), F.array(_revealed()))
+
+
+@query(f"WITH {LINES} SELECT * FROM lines WHERE line_no <= 3")
+def first_rows(spark, sf_dir):
+    return context.first_rows(_lines(spark, sf_dir), 3)
 
 
 @query("""WITH g AS (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER w > 150 THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -174,21 +198,38 @@ def next_batch(spark, sf_dir):
     return context.next_batch(spans, done, "user_id", "idx", "event_id", size=4, gap=200).select("user_id", "idx", "event_id")
 
 
-@query(f"""WITH {LINES}, t AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:6], ' ') AS term FROM benchmark)
-SELECT doc_id, line_no, term FROM lines JOIN t ON contains(line, term)""")
+#: Every six-word window of every passage.
+_WINDOWS = """w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+t AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS term FROM w, unnest(generate_series(1, greatest(1, len(w) - 5))) AS s(i))"""
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+    begins = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5))).alias("i")
+    return words.select("w", begins).select(F.array_join(F.slice("w", F.col("i"), F.lit(6)), " ").alias("term"))
+
+
+@query(f"WITH {LINES}, {_WINDOWS} SELECT doc_id, line_no, term FROM lines JOIN t ON contains(line, term)")
 def leak_scan(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("term"))
-    return context.leaks(_lines(spark, sf_dir), terms)
+    """Every window of every passage in every line."""
+    return context.leaks(_lines(spark, sf_dir), _windows(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:6], ' ') AS term FROM benchmark)
+@query(f"""WITH {LINES}, {_WINDOWS}
 SELECT doc_id, count(*) AS violations, string_agg(DISTINCT term, '; ' ORDER BY term) AS terms FROM lines JOIN t ON contains(line, term) GROUP BY doc_id""")
 def leaks_by_document(spark, sf_dir):
     found = leak_scan(spark, sf_dir)
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("violations"), F.array_join(F.array_sort(F.collect_set("term")), "; ").alias("terms"))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no AS target FROM lines WHERE line_no % 15 = 4),
+@query(f"WITH {_WINDOWS} SELECT doc_id, term FROM documents JOIN t ON contains(replace(text, chr(10), ' '), term)")
+def leak_windows(spark, sf_dir):
+    """Every window of every passage over whole texts, across line ends."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("line_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
+    return context.leaks(texts, _windows(spark, sf_dir)).drop("line_no")
+
+
+@query(f"""WITH {LINES}, t AS (SELECT doc_id, line_no AS target FROM lines WHERE contains(line, ',')),
 w AS (SELECT l.doc_id, target, l.line_no, line, CASE WHEN contains(line, ',') THEN 'D' ELSE 'N' END AS kind FROM lines l JOIN t ON l.doc_id = t.doc_id AND l.line_no BETWEEN target - 40 AND target + 40),
 b AS (SELECT *, CASE WHEN kind = 'D' OR coalesce(lag(kind) OVER o, 'D') = 'D' THEN 1 ELSE 0 END AS begins FROM w WINDOW o AS (PARTITION BY doc_id, target ORDER BY line_no)),
 n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, target ORDER BY line_no) AS block FROM b),
@@ -197,8 +238,9 @@ m AS (SELECT *, regexp_extract(line, ',([^,]+)', 1) AS said FROM g)
 SELECT doc_id, target, string_agg(CASE WHEN kind = 'D' THEN '  ' || CASE WHEN line_no = target THEN '->' ELSE '  ' END || 'L' || line_no || ' [D] <' || left(said, 40) || CASE WHEN length(said) > 40 THEN '...' ELSE '' END || '>'
   ELSE '     L' || line_no || '-L' || last || ' [N] (' || n || ' lines)' END, chr(10) ORDER BY line_no) AS text FROM m GROUP BY doc_id, target""")
 def block_map(spark, sf_dir):
+    """Around every dialogue line."""
     rows = _lines(spark, sf_dir)
-    return context.block_map(rows, rows.where("line_no % 15 = 4"), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
+    return context.block_map(rows, _dialogue(rows), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
 
 
 @query("""WITH s AS (SELECT page_id, CAST(i - 1 AS BIGINT) AS span_idx, a[i] AS text
@@ -207,66 +249,3 @@ SELECT * FROM s WHERE span_idx >= page_id % 3 AND span_idx < page_id % 3 + 2""")
 def resume_range(spark, sf_dir):
     done = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).alias("labeled"))
     return context.resume_range(span_extract(spark, sf_dir), done, count=2, key="page_id")
-
-
-def _whole(name: str, **changes: str) -> str:
-    """The SQL of a query over a slice of the targets, over all of them: old and new text of each change."""
-    sql = REGISTERED.oracles[name]
-    for change in changes.values():
-        old, new = change.split(" => ")
-        assert old in sql
-        sql = sql.replace(old, new)
-    return sql
-
-
-def _dialogue(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("line").contains(MARK))
-
-
-@query(_whole("navigation", targets="t.line_no % 10 = 3 => contains(t.line, ',')"))
-def navigation_all(spark, sf_dir):
-    """navigation around every dialogue line."""
-    rows = _lines(spark, sf_dir)
-    return context.navigation(rows, _dialogue(rows), mark=MARK, quotes=("<", ">"))
-
-
-@query(_whole("reveal_for_descriptor", targets="t.line_no % 5 = 1 => contains(t.line, ',')"))
-def reveal_for_descriptor_all(spark, sf_dir):
-    """reveal_for_descriptor for every dialogue line."""
-    rows = _lines(spark, sf_dir)
-    return context.reveal_for(rows, _dialogue(rows).withColumn("descriptor", F.lit("the")), _revealed())
-
-
-@query(_whole("block_map", targets="line_no % 15 = 4 => contains(line, ',')"))
-def block_map_all(spark, sf_dir):
-    """block_map around every dialogue line."""
-    rows = _lines(spark, sf_dir)
-    return context.block_map(rows, _dialogue(rows), mark=MARK, span=",([^,]+)", quotes=("<", ">"))
-
-
-@query(
-    _whole(
-        "deep_search",
-        targets="line_no % 20 = 10 => contains(line, ',')",
-        reach=f"BETWEEN around - 5 AND around + 7 => BETWEEN around - {context.IDENTITY_BACKWARD} AND around + {context.IDENTITY_FORWARD - 1}",
-        near=f"< 3 AS near => < {context.IDENTITY_NEAR} AS near",
-        names=f"k <= 4 => k <= {context.IDENTITY_NAMES}",
-    )
-)
-def deep_search_all(spark, sf_dir):
-    """deep_search around every dialogue line, with the windows of deep_search()."""
-    rows = _lines(spark, sf_dir)
-    targets = _dialogue(rows).select("doc_id", F.col("line_no").alias("around"), F.lit("the").alias("name"))
-    return context.deep_search(rows, targets, ("on the", "the"))
-
-
-@query("""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
-t AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS term FROM w, unnest(generate_series(1, greatest(1, len(w) - 5))) AS s(i))
-SELECT doc_id, term FROM documents JOIN t ON contains(replace(text, chr(10), ' '), term)""")
-def leak_windows(spark, sf_dir):
-    """Every six-word window of every passage over whole texts, across line ends."""
-    words = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
-    begins = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5))).alias("i")
-    terms = words.select("w", begins).select(F.array_join(F.slice("w", F.col("i"), F.lit(6)), " ").alias("term"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("line_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
-    return context.leaks(texts, terms).drop("line_no")

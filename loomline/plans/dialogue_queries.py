@@ -50,8 +50,9 @@ def rapid_exchange(spark, sf_dir):
 
 @query(f"WITH {_EVENTS}, {_EXPECT} SELECT k AS user_id, o AS event_id, a, b, CAST(score AS BIGINT) AS score, turn AS next FROM e WHERE turn IS NOT NULL")
 def rhythm_score(spark, sf_dir):
-    seen = _voices(spark, sf_dir).withColumn("r", memory.rhythm(memory.history("user_id", "event_id", F.col("voice"))))
-    return seen.where("r is not null").select("user_id", "event_id", "r.a", "r.b", "r.score", "r.next")
+    seen = _voices(spark, sf_dir).withColumn("seen", memory.history("user_id", "event_id", F.col("voice")))
+    # A generator is run once a row; a filter and four fields of a struct would each compute it again.
+    return seen.select("user_id", "event_id", F.inline(F.array_compact(F.array(memory.rhythm(F.col("seen"))))))
 
 
 @query(f"WITH {_TURNS}, {_EXPECT} SELECT k AS conv_id, o AS turn, s AS role, expected FROM e")
@@ -111,14 +112,29 @@ def vault_upsert(spark, sf_dir):
     return evidence.upsert(_evidence(table(spark, sf_dir, "events"))).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query(VAULT_SQL)
+@query(f"""WITH {_EVIDENCE}, a AS (SELECT name, alias, min(CASE WHEN line_no % 2 = 0 THEN ord END) AS h, min(ord) AS o FROM ev WHERE alias IS NOT NULL AND alias <> name GROUP BY ALL),
+l AS (SELECT name, string_agg(alias, '|' ORDER BY h IS NULL, coalesce(h, o)) AS aliases FROM a GROUP BY name)
+SELECT name, coalesce(any_value(aliases), '') AS aliases, CASE WHEN bool_or(verified) THEN 'verified' ELSE 'candidate' END AS status, CAST(count(DISTINCT line_no) AS BIGINT) AS evidence,
+  min(CASE WHEN introduces THEN line_no END) AS introduction_line, max(line_no) AS last_seen_line FROM ev LEFT JOIN l USING (name) GROUP BY name""")
 def vault_merge(spark, sf_dir):
-    """Held state plus unseen evidence is the state of all of it, where evidence lines are unique to a half."""
+    """Held state plus unseen evidence, where evidence lines are unique to a half; held aliases come first."""
     rows = _evidence(table(spark, sf_dir, "events"))
     held, new = rows.where("line_no % 2 = 0"), evidence.unseen_evidence(rows, rows.where("line_no % 2 = 0"))
-    merged = evidence.merge_vaults(evidence.upsert(held), evidence.upsert(new))
-    order = evidence.upsert(rows).select("name", "aliases")
-    return merged.drop("aliases").join(order, "name").withColumn("aliases", F.array_join("aliases", "|"))
+    return evidence.merge_vaults(evidence.upsert(held), evidence.upsert(new)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(f"""WITH {_EVIDENCE}, v AS ({VAULT_SQL.replace(f"WITH {_EVIDENCE}, ", "WITH ")}),
+w AS (SELECT name, unnest(string_split(aliases, '|')) AS alias FROM v WHERE aliases <> ''), ow AS (SELECT alias, min(name) AS owner FROM w GROUP BY alias),
+m AS (SELECT CASE event_id % 3 WHEN 0 THEN 'u' || (user_id % 60) ELSE event_type || (event_id % 7) END AS raw, event_id AS line_no FROM events),
+r AS (SELECT coalesce(v.name, ow.owner, raw) AS name, max(line_no) AS seen FROM m LEFT JOIN v ON v.name = raw LEFT JOIN ow ON ow.alias = raw GROUP BY 1)
+SELECT name, coalesce(v.aliases, '') AS aliases, coalesce(status, 'candidate') AS status, CAST(coalesce(evidence, 0) AS BIGINT) AS evidence, introduction_line,
+  greatest(coalesce(last_seen_line, 0), coalesce(seen, 0)) AS last_seen_line FROM v FULL JOIN r USING (name)""")
+def last_seen_update(spark, sf_dir):
+    """Mentions by name, by alias and of nobody known."""
+    events = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), (F.col("user_id") % 60).cast("string"))).otherwise(F.concat("event_type", (F.col("event_id") % 7).cast("string")))
+    updated = evidence.update_last_seen(evidence.upsert(_evidence(events)), events.select(name.alias("name"), F.col("event_id").alias("line_no")))
+    return updated.withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query(f"WITH {_EVIDENCE} SELECT name, line_no, min(ord) AS ord FROM ev GROUP BY ALL")
@@ -143,8 +159,7 @@ m AS (SELECT CASE WHEN u >= 15 THEN u - 15 ELSE u END AS u, event_id FROM s)
 SELECT 'u' || u AS name, min(event_id) AS first_seen, max(event_id) AS last_seen, array_to_string(list_sort(list(event_id))[-5:], ',') AS recent FROM m GROUP BY u""")
 def merge_characters(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("name", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")))
-    newest = F.slice(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("line"), F.col("event_type").alias("text"))), False), 1, 5)
-    states = rows.groupBy("name").agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), newest.alias("recent"))
+    states = rows.groupBy("name").agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen")).join(evidence.newest(rows, "name", "event_id", "event_type"), "name")
     reveals = rows.sparkSession.createDataFrame([(f"u{i}", f"u{i - 15}") for i in range(15, 20)], "name string, real string")
     merged = evidence.merge_characters(states, reveals)
     return merged.withColumn("recent", F.array_join(F.transform("recent", lambda x: x["line"].cast("string")), ","))
@@ -153,13 +168,14 @@ def merge_characters(spark, sf_dir):
 _NAME = stripped("raw")
 
 
-@query(rf"""WITH {LINES}, n AS (SELECT doc_id, line_no, left(line, 2 + line_no % 16) AS raw FROM lines),
+@query(rf"""WITH {LINES}, n AS (SELECT doc_id, line_no, CAST(i AS BIGINT) AS part, p[i] AS raw FROM (SELECT doc_id, line_no, string_split(line, '.') AS p FROM lines), unnest(generate_series(1, len(p))) AS t(i)),
 c AS (SELECT *, {_NAME} AS clean FROM n)
-SELECT doc_id, line_no, raw, CASE WHEN clean = '' OR contains(clean, '--') OR contains(clean, '—') OR contains(clean, '–') OR length(clean) > 15
+SELECT doc_id, line_no, part, raw, CASE WHEN clean = '' OR contains(clean, '--') OR contains(clean, '—') OR contains(clean, '–') OR length(clean) > 15
   OR regexp_matches(clean, '\s') OR regexp_matches(clean, '[（(【\[].*[）)】\]]') THEN NULL ELSE clean END AS name FROM c""")
 def name_validate(spark, sf_dir):
-    rows = readers.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.left("line", (F.col("line_no") % 16 + 2).cast("int")).alias("raw"))
-    return rows.withColumn("name", fn.valid_name(F.col("raw")))
+    """Every sentence of every line."""
+    rows = readers.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.posexplode(F.split("line", r"\.", -1)).alias("part", "raw"))
+    return rows.select("doc_id", "line_no", (F.col("part") + 1).cast("bigint").alias("part"), "raw", fn.valid_name(F.col("raw")).alias("name"))
 
 
 @query(rf"""WITH {LINES}, n AS (SELECT doc_id, line_no, {stripped("line")} AS c FROM lines)
@@ -170,29 +186,9 @@ def text_predicates(spark, sf_dir):
     return rows.select("doc_id", "line_no", fn.short_or_fragment(F.col("line")).alias("short"), fn.garbage_speaker(clean).alias("garbage"), F.left(clean, F.lit(40)).alias("cut"))
 
 
-_RISK = f"""r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '女孩' WHEN 1 THEN 'non-human' ELSE lang END AS speaker, {stripped("string_split(text, chr(10))[1]")} AS line, doc_id % 3 AS rounds,
-  CASE WHEN doc_id % 5 < 3 THEN 'en' END AS expected, doc_id % 2 = 0 AS rapid FROM documents)"""
 _SHORT = "(length(line) <= 12 OR len(regexp_extract_all(line, '[一-鿿]')) <= 4)"
 
 
-@query(f"""WITH {_RISK} SELECT doc_id, speaker, concat_ws('; ',
-  CASE WHEN speaker = '女孩' THEN '{risk.REASONS[0]}' END, CASE WHEN speaker = 'non-human' THEN '{risk.REASONS[1]}' END,
-  CASE WHEN expected <> speaker THEN '{risk.REASONS[2]}' END, CASE WHEN rapid AND {_SHORT} THEN '{risk.REASONS[3]}' END,
-  CASE WHEN rounds <= 1 AND {_SHORT} THEN '{risk.REASONS[4]}' END) AS reasons FROM r""")
-def risk_flags(spark, sf_dir):
-    four = F.col("doc_id") % 4
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.when(four == 0, "女孩").when(four == 1, "non-human").otherwise(F.col("lang")).alias("speaker"),
-        F.split("text", "\n", 2)[0].alias("line"),
-        (F.col("doc_id") % 3).alias("rounds"),
-        F.when(F.col("doc_id") % 5 < 3, "en").alias("expected"),
-        (F.col("doc_id") % 2 == 0).alias("rapid"),
-    )
-    reasons = risk.risk_reasons(F.col("speaker"), F.col("line"), F.col("rounds"), F.col("expected"), F.col("rapid"))
-    return rows.select("doc_id", "speaker", F.array_join(reasons, "; ").alias("reasons"))
-
-
 _RISK_LINES = f"""r AS (SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN '女孩' WHEN 1 THEN 'non-human' ELSE lang END AS speaker, {stripped("lines.line")} AS line, doc_id % 3 AS rounds,
   CASE WHEN doc_id % 5 < 3 THEN 'en' END AS expected, doc_id % 2 = 0 AS rapid FROM lines JOIN documents USING (doc_id))"""
 
@@ -201,8 +197,8 @@ _RISK_LINES = f"""r AS (SELECT doc_id, line_no, CASE doc_id % 4 WHEN 0 THEN '女
   CASE WHEN speaker = '女孩' THEN '{risk.REASONS[0]}' END, CASE WHEN speaker = 'non-human' THEN '{risk.REASONS[1]}' END,
   CASE WHEN expected <> speaker THEN '{risk.REASONS[2]}' END, CASE WHEN rapid AND {_SHORT} THEN '{risk.REASONS[3]}' END,
   CASE WHEN rounds <= 1 AND {_SHORT} THEN '{risk.REASONS[4]}' END) AS reasons FROM r""")
-def risk_flags_by_line(spark, sf_dir):
-    """risk_flags for every line."""
+def risk_flags(spark, sf_dir):
+    """Every line of every document."""
     docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("doc"), "text")
     doc_id = F.col("doc.doc_id")
     speaker = F.when(doc_id % 4 == 0, "女孩").when(doc_id % 4 == 1, "non-human").otherwise(F.col("doc.lang"))
@@ -222,11 +218,11 @@ def reviewed(spark, sf_dir):
     return risk.gated(rows, F.col("doc_id") % 3 == 0, review).drop("lang")
 
 
-@query(r"""WITH r AS (SELECT doc_id, lang, doc_id % 3 AS k, left(regexp_replace(text, '[\s\x{3000}\x{00A0}]+', ' ', 'g'), 300) AS body FROM documents)
+@query(r"""WITH r AS (SELECT doc_id, lang, doc_id % 3 AS k, regexp_replace(text, '[\s\x{3000}\x{00A0}]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, CASE WHEN k = 2 THEN left('no tag ' || body, 50) ELSE lang END AS answer, CASE WHEN k = 2 THEN '' ELSE left(trim(body), 200) END AS reason,
   CASE WHEN k = 1 THEN 'disagree' ELSE 'confirm' END AS verdict, CASE WHEN k = 1 THEN lang ELSE 'before' END AS final FROM r""")
 def tag_parse(spark, sf_dir):
-    body = F.left(F.regexp_replace("text", r"(?U)\s+", " "), F.lit(300))
+    body = F.regexp_replace("text", r"(?U)\s+", " ")
     third = F.col("doc_id") % 3
     said = F.when(third == 2, F.concat(F.lit("no tag "), body)).otherwise(
         F.concat(F.lit("<answer> "), "lang", F.when(third == 0, F.lit(" (a b)")).otherwise(F.lit("")), F.lit("\n</answer><reason>"), body, F.lit("</reason>"), F.when(third == 1, F.concat(F.lit("<verdict>disagree</verdict><suggested_speaker>"), "lang", F.lit("</suggested_speaker>"))).otherwise(F.lit("")))
@@ -376,3 +372,49 @@ def annotate_rules(spark, sf_dir):
     present = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("alone"))).otherwise(F.array(F.lit("a"), F.lit("b")))
     rows = rows.withColumns({"after": after, "expected": F.when(F.col("line_no") % 2 == 0, "turn"), "present": present})
     return annotate.RuleAnnotator(verbs=("with", "is", "that"), name="([a-z]{2,4}) ").annotate(rows).select("doc_id", "line_no", "speaker", "reason")
+
+
+_OPTIONS = r"th([a-z|]+)"
+
+
+@query(rf"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS n, CAST(length(m[i]) AS BIGINT) AS size, m[i] AS options FROM (SELECT doc_id, regexp_extract_all(text, '{_OPTIONS}', 1) AS m FROM documents), unnest(generate_series(1, len(m))) AS t(i)""")
+def answer_marks(spark, sf_dir):
+    """Every mark in a whole text, its options joined again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(readers.answers(F.col("text"), _OPTIONS)).alias("n", "o"))
+    return rows.select("doc_id", F.col("n").cast("bigint").alias("n"), F.length(F.array_join("o", "|")).cast("bigint").alias("size"), F.array_join("o", "|").alias("options"))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, line_no, regexp_extract(line, '{_OPTIONS}', 1) AS options FROM lines WHERE regexp_extract(line, '{_OPTIONS}', 1) <> ''""")
+def answer_lines(spark, sf_dir):
+    """The first mark of each line."""
+    rows = readers.answer_lines(readers.lines(table(spark, sf_dir, "documents")), pattern=_OPTIONS)
+    return rows.select("doc_id", "line_no", F.array_join("accepted", "|").alias("options"))
+
+
+@query(f"WITH {LINES} SELECT {stripped('line')} AS term, count(*) AS n FROM lines WHERE {stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '#') GROUP BY 1")
+def term_list(spark, sf_dir):
+    return readers.terms(readers.lines(table(spark, sf_dir, "documents"))).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH l AS (SELECT unnest(string_split(html, '"')) AS line FROM pages), p AS (SELECT line, instr(line, '=') AS i FROM l WHERE contains(line, '='))
+SELECT trim(line[:i - 1], ' ' || chr(10) || chr(9) || chr(13)) AS name, count(*) AS n FROM p GROUP BY 1""")
+def settings_list(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.explode(F.split("html", '"', -1)).alias("line"))
+    return readers.settings(rows).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '赫萝' WHEN 2 THEN '丙丁' WHEN 3 THEN '甲乙' END AS first, CASE event_id % 4 WHEN 0 THEN '赫萝' WHEN 2 THEN '丙丁,甲乙' WHEN 3 THEN '甲乙' ELSE '' END AS names FROM events""")
+def reveal_names(spark, sf_dir):
+    """One name, none, two patterns in a line, a name after a pattern that stands before nothing valid."""
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, "咱的名字是赫萝。").when(kind == 1, "他说什么 ok").when(kind == 2, "名字是甲乙。我的名字是丙丁，吾乃").otherwise("我的名字是x。吾乃甲乙！")
+    return table(spark, sf_dir, "events").select("event_id", fn.reveal_after(line).alias("first"), F.array_join(F.array_distinct(fn.reveals_after(line)), ",").alias("names"))
+
+
+@query("SELECT event_id, CASE WHEN user_id > 0 THEN round(value / user_id * (1000 - user_id), 6) END AS left_s, CASE WHEN event_id % 2 = 0 THEN 'found' ELSE event_type END AS speaker, event_id % 3 = 2 AS usable FROM events")
+def round_control(spark, sf_dir):
+    """Time left, which speaker an identity search leaves, and whether an answer can be used."""
+    rows = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 2 == 0, "verified").otherwise("candidate")
+    said = F.when(F.col("event_id") % 3 == 0, "who").when(F.col("event_id") % 3 == 1, "").otherwise("赫萝")
+    return rows.select("event_id", F.round(fn.progress(F.col("value"), F.nullif(F.col("user_id"), F.lit(0)), F.lit(1000)), 6).alias("left_s"), risk.take_identity(F.col("event_type"), status, F.lit("found")).alias("speaker"), risk.usable(said).alias("usable"))

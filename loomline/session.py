@@ -41,7 +41,7 @@ def local_session(app: str = "loomline", cpus: int | None = None, **conf: str) -
 
 def is_local(spark: SparkSession) -> bool:
     """One JVM and one machine. A "local-cluster" has executors of its own."""
-    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+    return re.match(r"local(\[.*\])?$", spark.sparkContext.master) is not None
 
 
 def ship_package(spark: SparkSession) -> SparkSession:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import new_path
 
@@ -22,17 +23,16 @@ VAULT_STATE = "aliases array<string>, verified boolean, lines array<bigint>, int
 def _fold_vault(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     name = key[0]
     aliases, verified, lines, first, last = state.get if state.exists else ([], False, [], None, 0)
-    aliases, lines = list(aliases), list(lines)
+    aliases, lines = list(aliases), set(lines)
     for row in pd.concat(list(batches)).sort_values("ord").itertuples():
         if row.alias and row.alias != name and row.alias not in aliases:
             aliases.append(row.alias)
-        if row.line_no not in lines:
-            lines.append(int(row.line_no))
+        lines.add(int(row.line_no))
         verified = verified or bool(row.verified)
         if row.introduces:
             first = int(row.line_no) if first is None else min(first, int(row.line_no))
         last = max(last, int(row.line_no))
-    state.update((aliases, verified, lines, first, last))
+    state.update((aliases, verified, sorted(lines), first, last))
     yield pd.DataFrame({"name": [name], "aliases": ["|".join(aliases)], "status": ["verified" if verified else "candidate"], "evidence": [len(lines)], "introduction_line": pd.array([first], "Int64"), "last_seen_line": [last]})
 
 
@@ -83,14 +83,21 @@ def sessions(events: DataFrame, at: str = "ts", gap: str = "30 minutes", late: s
     return events.withWatermark(at, late).groupBy(key, F.session_window(at, gap)).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
-    """All that the source has now, as a table in the shared folder: for tests and for sources that end. In complete mode each micro-batch replaces the table."""
+def drained(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """All that the source has now, as a table in the shared folder: for tests and for sources that end. A micro-batch has a folder of its own, so one that runs again after a restart
+    replaces itself. In update mode the last row of each key counts; in complete mode the last micro-batch."""
     spark = stream.sparkSession
     path = path or new_path(spark, "stream")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/table")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/table")
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
+    return rows.select(*stream.columns)

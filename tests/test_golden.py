@@ -235,3 +235,37 @@ def test_leaks_across_segments(spark, monkeypatch):
     terms = sorted({x[i : i + r.randint(1, 40)] for x in lines for i in range(0, len(x), 9)})
     line, term = roster.Roster([t.encode() for t in terms]).found(pa.array(lines).slice(3))
     assert list(zip(line.to_pylist(), term.to_pylist())) == sorted(((i, t) for i, x in enumerate(lines[3:]) for t in terms if t in x), key=lambda p: (p[0], p[1].encode()))
+
+
+def test_a_line_may_reveal_several_names(spark):
+    rows = spark.createDataFrame([(1, 1, "某人来了"), (1, 2, "吾乃甲乙"), (1, 3, "我的名字是甲乙。吾乃丙丁"), (1, 4, "吾乃甲乙"), (2, 1, "某人"), (2, 2, "吾乃甲乙"), (2, 3, "吾乃甲乙"), (2, 5, "吾乃戊己")], "doc_id long, line_no long, line string")
+    targets = spark.createDataFrame([(1, 1, "甲乙"), (1, 1, "丙丁"), (1, 3, "甲乙"), (2, 1, "甲乙"), (2, 2, "甲乙"), (2, 5, "x")], "doc_id long, line_no long, descriptor string")
+    got = {(r.doc_id, r.line_no, r.descriptor): (r.name, r.reveal_line) for r in context.reveal_for(rows, targets).collect()}
+    assert got == {(1, 1, "甲乙"): ("丙丁", 3), (1, 1, "丙丁"): ("甲乙", 2), (1, 3, "甲乙"): (None, None), (2, 1, "甲乙"): ("戊己", 5), (2, 2, "甲乙"): ("戊己", 5), (2, 5, "x"): (None, None)}
+
+
+def test_a_stream_of_several_batches_and_a_restart(spark, tmp_path):
+    from loomline.streaming import vault_stream
+
+    schema = "name string, alias string, verified boolean, line_no long, introduces boolean, ord long"
+    put = lambda rows, k: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put([("a", "x", False, 3, False, 1)], 0)
+    put([("a", "y", True, 5, True, 2), ("b", None, False, 1, False, 3)], 1)
+    stream = lambda: vault_stream.vault_updates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    read = lambda: {r.name: (set(r.aliases.split("|")), r.status, r.evidence, r.last_seen_line) for r in vault_stream.drained(stream(), "update", ("name",), f"{tmp_path}/out").collect()}
+    assert read() == {"a": ({"x", "y"}, "verified", 2, 5), "b": ({""}, "candidate", 1, 1)}
+    put([("a", "z", False, 9, False, 4)], 2)
+    assert read() == {"a": ({"x", "y", "z"}, "verified", 3, 9), "b": ({""}, "candidate", 1, 1)}
+    assert read()["a"] == ({"x", "y", "z"}, "verified", 3, 9)
+
+
+def test_any_failure_of_a_provider_leads_to_the_next():
+    from loomline.operators import annotate
+
+    def broken(messages, tools):
+        raise OSError("timed out")
+
+    good = annotate.Provider("Good", "M2", lambda m, t: {"content": "ok"})
+    chain = annotate.ProviderChain([annotate.Provider("Bad", "m1", broken), good], clock=lambda: 100.0, wait=lambda s: None)
+    assert chain.call([{"role": "user", "content": "x"}])[0] == "Good" and chain.check([]) == ["Good"]
+    assert [p.label for p in chain.select("good")] == ["Good"] and [p.label for p in chain.select("m")] == ["Bad", "Good"]

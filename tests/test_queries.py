@@ -23,20 +23,20 @@ def test_entry_and_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["navigation_all", "reveal_for_descriptor_all", "block_map_all", "deep_search_all"])
+@pytest.mark.parametrize("name", ["navigation", "reveal_for_descriptor", "block_map", "deep_search"])
 def test_every_dialogue_line_is_a_target(spark, name):
     from pyspark.sql import functions as F
 
-    target = {"reveal_for_descriptor_all": "line_no", "deep_search_all": "around"}.get(name, "target")
+    target = {"reveal_for_descriptor": "line_no", "deep_search": "around"}.get(name, "target")
     lines = registry.QUERIES["line_scan"](spark, SMALL).where("contains(line, ',')")
-    if name == "deep_search_all":
+    if name == "deep_search":
         lines = lines.where("contains(line, 'the')")
     got = registry.QUERIES[name](spark, SMALL).select("doc_id", F.col(target).alias("line_no")).distinct()
     assert lines.select("doc_id", "line_no").exceptAll(got).count() == 0
 
 
 def test_deep_search_reaches_as_far_as_the_operator(spark):
-    rows = registry.QUERIES["deep_search_all"](spark, SMALL)
+    rows = registry.QUERIES["deep_search"](spark, SMALL)
     assert rows.where("line_no >= around + 8").count() and rows.where("line_no < around - 5").count()
     assert rows.where("kind = 'name'").groupBy("doc_id", "around").count().where("count > 4").count()
 
@@ -52,7 +52,7 @@ def test_leaks_of_whole_passages_over_whole_texts(spark, tmp_path):
 
 def test_risks_of_every_line(spark):
     lines = registry.QUERIES["line_scan"](spark, SMALL).select("doc_id", "line_no")
-    got = registry.QUERIES["risk_flags_by_line"](spark, SMALL)
+    got = registry.QUERIES["risk_flags"](spark, SMALL)
     assert got.select("doc_id", "line_no").exceptAll(lines).count() == 0 and got.count() == lines.count()
     assert got.where("line_no > 1 and contains(reasons, 'short or fragmentary')").count()
 
