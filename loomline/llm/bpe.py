@@ -8,7 +8,7 @@ and after an edit the table is recomputed only until it agrees with the old one
 longest token has bytes.
 
 Nulls count as empty texts; an empty text has no ids. Texts of any length are read in segments that end at
-safe places, so memory does not grow with the text beyond its ids.
+safe places, where white space follows something else; memory follows the segment and the ids, and a run without any such place is one segment, however long.
 """
 
 from __future__ import annotations

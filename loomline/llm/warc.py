@@ -9,7 +9,7 @@ revisit it. A payload that many records share is never gathered in one task: its
 they are. Bundles are written by the task that has the records under a name of its own and moved into place when they are whole,
 so a task that runs again leaves the same result.
 
-A null html is empty. Rows that repeat an id and payload have the same type. A null id refers to the group's smallest id that
+A null html is empty. Rows that repeat an id and payload have the same type and identifier. A null id refers to the group's smallest id that
 is not null; with none, it is a response. A null url gives no target. An empty table gives an empty archive.
 """
 
@@ -45,8 +45,9 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def record_id(page_id) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
+def record_id(page_id, digest: str) -> str:
+    """Of the id and the payload: rows that repeat an id with another payload are records of their own."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to, response: bool) -> bytes:
@@ -56,7 +57,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, size: int, ref
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if response else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -66,7 +67,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, size: int, ref
     if url is not None:
         head.append(f"WARC-Target-URI: {''.join(url.split())}")
     if not response:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -167,8 +168,8 @@ def write(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", h
 
         def finished() -> pa.RecordBatch:
             bundle.close()
-            ids, frames, offsets = zip(*found)
-            out = batch(INDEX, page_id=list(ids), record_id=[record_id(x) for x in ids], bundle=[name] * len(ids), frame=list(frames), offset=list(offsets))
+            ids, names, frames, offsets = zip(*found)
+            out = batch(INDEX, page_id=list(ids), record_id=list(names), bundle=[name] * len(ids), frame=list(frames), offset=list(offsets))
             found.clear()
             return out
 
@@ -179,8 +180,9 @@ def write(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", h
                 if bundle is None:
                     name = f"{base}/part-{part:06d}-{count:04d}.warc.zst"
                     bundle, count = Bundle(name), count + 1
-                data = record(page_id, address, payload, hashlib.sha256(payload).hexdigest(), len(payload), first, response)
-                found.append((page_id, *bundle.add(data)))
+                own = hashlib.sha256(payload).hexdigest()
+                data = record(page_id, address, payload, own, len(payload), first, response)
+                found.append((page_id, record_id(page_id, own), *bundle.add(data)))
                 if bundle.written >= BUNDLE:
                     yield finished()
                     bundle = None
@@ -217,9 +219,9 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def lookup(index: DataFrame, ids: list[int]) -> dict[int, tuple[dict[str, str], bytes]]:
-    """Headers and payload of a few records, each from one frame."""
+    """Headers and payload of a few pages, each from one frame; of rows that repeat an id the record with the smallest identifier."""
     out = {}
-    for r in index.where(F.col("page_id").isin(ids)).collect():
+    for r in index.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min(F.struct("record_id", "bundle", "frame", "offset")).alias("r")).select("page_id", "r.*").collect():
         bundle = Reader(r.bundle)
         out[r.page_id] = bundle.record(r.frame, r.offset)
         bundle.close()

@@ -436,6 +436,13 @@ def test_archive_gives_back_every_record(spark):
     assert len(got) == whole.count()
     assert (got[9002].record_type, got[9002].refers_to, got[9002].payload_bytes) == ("revisit", 9001, 400) and got[None].refers_to == 9001
     assert got[9005].record_type == "response" and got[9003].payload_bytes == 0
+    again = warc.write(spark.createDataFrame([(1, "u", "a" * 200), (1, "u", "b" * 200), (2, "u", "b" * 200), (1, "u", "a" * 200)], "page_id long, url string, html string"), new_path(spark, "archive"))
+    rows = again.collect()
+    assert len({r.record_id for r in rows}) == 3 and len({(r.bundle, r.frame, r.offset) for r in rows}) == 4
+    for r in rows:
+        reader = warc.Reader(r.bundle)
+        assert reader.record(r.frame, r.offset)[0]["WARC-Record-ID"] == r.record_id
+        reader.close()
     headers, payload = warc.lookup(index, [9001])[9001]
     assert payload == ("é" * 200).encode() and headers["WARC-Type"] == "response" and headers["WARC-Target-URI"] == "http://abc"
 
