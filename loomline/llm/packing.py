@@ -17,10 +17,12 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -55,6 +57,8 @@ class WordEncoder:
         self.spaced = any(len(x.split()) != 1 or x != x.strip() for x in self.added)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Words of the texts at hand that hold a token's own string.
+        self.whole: set[bytes] = set()
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -89,7 +93,9 @@ class WordEncoder:
         low = data.lower()
         own = [x for x in self.added if x in low]
         if own or b"\xcc" in data or b"\xcd" in data:
-            return [w if b"\xcc" in w or b"\xcd" in w or any(x in w.lower() for x in own) else w.lower() for w in data.split()]
+            words = [w if b"\xcc" in w or b"\xcd" in w or any(x in w.lower() for x in own) else w.lower() for w in data.split()]
+            self.whole.update(w for w in set(words) if any(x in w.lower() for x in own))
+            return words
         return low.split()
 
     def _flush(self, group: list, out: list[list[bytes]]) -> None:
@@ -97,26 +103,35 @@ class WordEncoder:
             self.words.clear()
         if len(self.pieces) >= 2 * CACHE_ENTRIES:
             self.pieces.clear()
-        self._learn({w for _, words in group for w in words}.difference(self.words))
+        self._learn(list(set().union(*(words for _, words in group)).difference(self.words)))
+        self.whole.clear()
         for i, words in group:
             out[i].append(b"".join(map(self.words.__getitem__, words)))
 
-    def _learn(self, words: set[bytes]) -> None:
-        plain, lacking = {}, set()
-        for word in words:
-            text = word.decode()
-            if any(x in word.lower() for x in self.added):
+    def _learn(self, words: list[bytes]) -> None:
+        """Most words are letters, or letters and one sign: these are looked up without a step of Python for each piece."""
+        alone, alone_texts, ended, heads, ends, mixed_words, parts = [], [], [], [], [], [], []
+        # Words hold no space.
+        for word, text in zip(words, b" ".join(words).decode().split(" ") if words else ()):
+            if word in self.whole or not (text.isprintable() if text.isascii() else PLAIN.fullmatch(text)):
                 self.words[word] = self._whole(text)
-            elif text.isprintable() if text.isascii() else PLAIN.fullmatch(text):
-                plain[word] = parts = [text] if text.isalpha() else PIECE.findall(text)
-                lacking.update(parts)
+            elif text.isalpha():
+                alone.append(word)
+                alone_texts.append(text)
+            elif (head := text[:-1]).isalpha():
+                ended.append(word)
+                heads.append(head)
+                ends.append(text[-1])
             else:
-                self.words[word] = self._whole(text)
-        todo = sorted(lacking.difference(self.pieces))
+                mixed_words.append(word)
+                parts.append(PIECE.findall(text))
+        todo = sorted(set().union(alone_texts, heads, ends, *parts).difference(self.pieces))
         for at in range(0, len(todo), CALL):
             self._bulk(todo[at : at + CALL])
-        for word, parts in plain.items():
-            self.words[word] = b"".join([self.pieces[x] for x in parts])
+        ids = self.pieces.__getitem__
+        self.words.update(zip(alone, map(ids, alone_texts)))
+        self.words.update(zip(ended, map(add, map(ids, heads), map(ids, ends))))
+        self.words.update((word, b"".join(map(ids, x))) for word, x in zip(mixed_words, parts))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -134,6 +149,18 @@ class WordEncoder:
             self.pieces.update((x, self._whole(x)) for x in pieces)
 
 
+_encoders: dict[bytes, WordEncoder] = {}
+
+
+def word_encoder(data: bytes) -> WordEncoder:
+    """The worker's encoder for a vocabulary file: tasks that follow each other in a worker share its caches, whose size is bounded. One vocabulary at a time."""
+    key = xxhash.xxh3_128_digest(data)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(data)
+    return _encoders[key]
+
+
 def directions(ids: int) -> np.ndarray:
     """For each id, DIMENSIONS signs from a hash of it."""
     bits = mixed(np.arange(1, ids + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -183,7 +210,7 @@ def placed(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
     data = vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(data.value)
+        encoder = word_encoder(data.value)
         size = encoder.tokenizer.get_vocab_size()
         toward, narrow = directions(size), np.dtype("<u2" if size <= 1 << 16 else "<u4")
         last = np.array([end], "<u4")
