@@ -16,11 +16,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
@@ -80,6 +81,36 @@ class WordEncoder:
         self._flush(group, out)
         return [b"".join(x) for x in out]
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """encode_many() of a column without nulls. Texts up to a segment are split by Arrow, and each different word of a few of them is looked up once; long texts and
+        those with combining marks or a token's own string take the other way."""
+        out: list[bytes] = []
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        groups = np.cumsum(sizes) // (4 * SEGMENT)
+        edges = [*np.flatnonzero(np.diff(groups, prepend=-1)).tolist(), len(texts)]
+        for start, stop in zip(edges, edges[1:]):
+            some = texts.slice(start, stop - start)
+            low = pc.ascii_lower(some)
+            slow = pc.or_(pc.match_substring_regex(some, "[\u0300-\u037f]"), pc.greater(pc.binary_length(some), SEGMENT))
+            for x in self.added:
+                slow = pc.or_(slow, pc.match_substring(low, x.decode()))
+            plain = pc.invert(slow)
+            words = pc.ascii_split_whitespace(low.filter(plain))
+            coded = words.flatten().dictionary_encode()
+            known = coded.dictionary.cast(pa.binary()).to_pylist()
+            self._know(known)
+            ids = pa.array(map(self.words.__getitem__, known), pa.large_binary(), size=len(known)).take(coded.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+            ends = at[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist() if len(words) else [0]
+            data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else b""
+            found = [bytes(data[i:j]) for i, j in zip(ends, ends[1:])]
+            if len(found) < len(some):
+                slow_at = np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist()
+                for k, ids_of in zip(slow_at, self.encode_many([some[k].as_py() for k in slow_at])):
+                    found.insert(k, ids_of)
+            out += found
+        return out
+
     @staticmethod
     def _segments(data: bytes) -> Iterator[bytes]:
         start = 0
@@ -98,13 +129,17 @@ class WordEncoder:
             return words
         return low.split()
 
-    def _flush(self, group: list, out: list[list[bytes]]) -> None:
+    def _know(self, words: Iterable[bytes]) -> None:
+        """Let self.words have these, at least."""
         if len(self.words) >= 2 * CACHE_ENTRIES:
             self.words.clear()
         if len(self.pieces) >= 2 * CACHE_ENTRIES:
             self.pieces.clear()
-        self._learn(list(set().union(*(words for _, words in group)).difference(self.words)))
+        self._learn(list(set(words).difference(self.words)))
         self.whole.clear()
+
+    def _flush(self, group: list, out: list[list[bytes]]) -> None:
+        self._know(set().union(*(words for _, words in group)))
         for i, words in group:
             out[i].append(b"".join(map(self.words.__getitem__, words)))
 
@@ -216,7 +251,7 @@ def placed(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
         last = np.array([end], "<u4")
         for rows in batches:
             out, sums, counts = [], [], []
-            for coded in encoder.encode_many(rows.column(1).to_pylist()):
+            for coded in encoder.encode_column(rows.column(1)):
                 ids = np.frombuffer(coded, "<u4")
                 total = np.zeros(DIMENSIONS, np.float64)
                 for at in range(0, len(ids), 1 << 16):

@@ -289,6 +289,18 @@ def test_packing_is_whole_and_tight(spark):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_word_encoder_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, r = Tokenizer.from_file(WORD), packing.WordEncoder(open(WORD, "rb").read()), random.Random(44)
+    texts = ["".join(r.choice("abZé 's1!\n<|endoftext|>漢İ\u030cß \x00\x1fǅ²½") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += [a + b for a in ("don't", "a's", "x'", "I've", "l'été", "naïve.", "1a", "é²", "<|endoftext|>") for b in ("", ".", "'", "2", "²", "|>", "…", "'s")] + ["plain w " * 150_000, "", " "]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode_many(texts) == want and encoder.encode_column(pa.array(texts)) == want
+    assert encoder.encode_column(pa.array(texts).slice(5, 90)) == want[5:95] and encoder.encode_column(pa.array([], pa.string())) == []
+
+
 def test_hilbert_visits_neighbours():
     cells = np.array([(a, b) for a in range(16) for b in range(16)])
     keys = packing.hilbert(cells, 4)
