@@ -56,8 +56,8 @@ class WordEncoder:
         #: Strings that are tokens as they stand, in small letters. Words that may hold one are encoded whole, as they are.
         self.added = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.spaced = any(len(x.split()) != 1 or x != x.strip() for x in self.added)
+        #: Ids of words and of their pieces.
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         #: Words of the texts at hand that hold a token's own string.
         self.whole: set[bytes] = set()
 
@@ -131,10 +131,8 @@ class WordEncoder:
 
     def _know(self, words: Iterable[bytes]) -> None:
         """Let self.words have these, at least."""
-        if len(self.words) >= 2 * CACHE_ENTRIES:
+        if len(self.words) >= 4 * CACHE_ENTRIES:
             self.words.clear()
-        if len(self.pieces) >= 2 * CACHE_ENTRIES:
-            self.pieces.clear()
         self._learn(list(set(words).difference(self.words)))
         self.whole.clear()
 
@@ -144,44 +142,42 @@ class WordEncoder:
             out[i].append(b"".join(map(self.words.__getitem__, words)))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Most words are letters, or letters and one sign: these are looked up without a step of Python for each piece."""
-        alone, alone_texts, ended, heads, ends, mixed_words, parts = [], [], [], [], [], [], []
+        """Most words are letters, which are one piece, or letters and one sign: these take no step of Python for each piece."""
+        lacking, ended, heads, ends, several, parts = [], [], [], [], [], []
         # Words hold no space.
         for word, text in zip(words, b" ".join(words).decode().split(" ") if words else ()):
             if word in self.whole or not (text.isprintable() if text.isascii() else PLAIN.fullmatch(text)):
                 self.words[word] = self._whole(text)
             elif text.isalpha():
-                alone.append(word)
-                alone_texts.append(text)
-            elif (head := text[:-1]).isalpha():
+                lacking.append(word)
+            elif text[:-1].isalpha():
                 ended.append(word)
-                heads.append(head)
-                ends.append(text[-1])
+                heads.append(word[:-1])
+                ends.append(word[-1:])
             else:
-                mixed_words.append(word)
-                parts.append(PIECE.findall(text))
-        todo = sorted(set().union(alone_texts, heads, ends, *parts).difference(self.pieces))
+                several.append(word)
+                parts.append([x.encode() for x in PIECE.findall(text)])
+        todo = sorted(set(lacking).union(heads, ends, *parts).difference(self.words))
         for at in range(0, len(todo), CALL):
             self._bulk(todo[at : at + CALL])
-        ids = self.pieces.__getitem__
-        self.words.update(zip(alone, map(ids, alone_texts)))
+        ids = self.words.__getitem__
         self.words.update(zip(ended, map(add, map(ids, heads), map(ids, ends))))
-        self.words.update((word, b"".join(map(ids, x))) for word, x in zip(mixed_words, parts))
+        self.words.update([(word, b"".join(map(ids, x))) for word, x in zip(several, parts) if x != [word]])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _bulk(self, pieces: list[str]) -> None:
+    def _bulk(self, pieces: list[bytes]) -> None:
         """Pieces with spaces between them are the tokenizer's words, one by one."""
-        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        found = self.tokenizer.encode(b" ".join(pieces).decode(), add_special_tokens=False)
         owner = np.array(found.word_ids)
         starts = np.searchsorted(owner, np.arange(len(pieces) + 1))
         if len(owner) and owner[-1] == len(pieces) - 1 and (np.diff(starts) > 0).all():
             data = np.array(found.ids, "<u4").tobytes()
             at = (4 * starts).tolist()
-            self.pieces.update((x, data[i:j]) for x, i, j in zip(pieces, at, at[1:]))
+            self.words.update([(x, data[i:j]) for x, i, j in zip(pieces, at, at[1:])])
         else:
-            self.pieces.update((x, self._whole(x)) for x in pieces)
+            self.words.update([(x, self._whole(x.decode())) for x in pieces])
 
 
 _encoders: dict[bytes, WordEncoder] = {}
