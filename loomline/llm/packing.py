@@ -39,8 +39,8 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 
 
-#: Bytes of text whose words are looked up at once, and pieces that one call of the tokenizer encodes.
-SEGMENT, CALL = 1 << 20, 4096
+#: Bytes of a text whose words are looked up at once, bytes of a column for which that is so, and pieces that one call of the tokenizer encodes.
+SEGMENT, COLUMN, CALL = 1 << 20, 1 << 24, 4096
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -56,8 +56,9 @@ class WordEncoder:
         #: Strings that are tokens as they stand, in small letters. Words that may hold one are encoded whole, as they are.
         self.added = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.spaced = any(len(x.split()) != 1 or x != x.strip() for x in self.added)
-        #: Ids of words and of their pieces.
+        #: Ids of words and of their pieces: those of late, and the generation before them.
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         #: Words of the texts at hand that hold a token's own string.
         self.whole: set[bytes] = set()
 
@@ -86,7 +87,7 @@ class WordEncoder:
         those with combining marks or a token's own string take the other way."""
         out: list[bytes] = []
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        groups = np.cumsum(sizes) // (4 * SEGMENT)
+        groups = np.cumsum(sizes) // COLUMN
         edges = [*np.flatnonzero(np.diff(groups, prepend=-1)).tolist(), len(texts)]
         for start, stop in zip(edges, edges[1:]):
             some = texts.slice(start, stop - start)
@@ -131,11 +132,18 @@ class WordEncoder:
 
     def _know(self, words: Iterable[bytes]) -> None:
         """Let self.words have these, at least."""
-        if len(self.words) >= 2 * CACHE_ENTRIES:
-            self.words.clear()
-        self._learn(list(set(words).difference(self.words)))
+        if len(self.words) >= CACHE_ENTRIES:
+            self.before, self.words = self.words, {}
+        self._learn(list(self._lacking(set(words))))
         self.whole.clear()
 
+    def _lacking(self, keys: set[bytes]) -> set[bytes]:
+        """Those of the keys that are not cached; what the generation before has, self.words takes over."""
+        keys = keys.difference(self.words)
+        held = self.before.keys() & keys
+        self.words.update(zip(held, map(self.before.__getitem__, held)))
+        return keys.difference(held)
+
     def _flush(self, group: list, out: list[list[bytes]]) -> None:
         self._know(set().union(*(words for _, words in group)))
         for i, words in group:
@@ -157,7 +165,7 @@ class WordEncoder:
             else:
                 several.append(word)
                 parts.append([x.encode() for x in PIECE.findall(text)])
-        todo = sorted(set(lacking).union(heads, ends, *parts).difference(self.words))
+        todo = sorted(self._lacking(set(lacking).union(heads, ends, *parts)))
         for at in range(0, len(todo), CALL):
             self._bulk(todo[at : at + CALL])
         ids = self.words.__getitem__
