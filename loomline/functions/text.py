@@ -126,9 +126,16 @@ def arguments(value: Column, schema: str) -> Column:
     return F.from_json(F.when(F.ltrim(value).startswith('"'), inner).otherwise(value), schema)
 
 
+#: Calls written as text; the groups are their arguments.
+TEXT_CALLS = {
+    "read_novel_lines": r"read_novel_lines\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)",
+    "search_novel": r"search_novel\s*\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*(\d+))?\s*\)",
+}
+
+
 def parse_tool_call(text: Column) -> Column:
     """A call written as text, read_novel_lines(a, b) before search_novel('k'[, n]): struct(function, start, count, keyword, context); null without one."""
-    read, find = r"read_novel_lines\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", r"search_novel\s*\(\s*['\"]([^'\"]+)['\"]\s*(?:,\s*(\d+))?\s*\)"
+    read, find = TEXT_CALLS.values()
     number = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit("")).cast("bigint")
     none = F.lit(None)
     as_read = F.struct(F.lit("read_novel_lines").alias("function"), number(read, 1).alias("start"), number(read, 2).alias("count"), none.cast("string").alias("keyword"), none.cast("bigint").alias("context"))

@@ -15,13 +15,50 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TEXT_CALLS
+
 # Fixed values of the model policy: seconds of rest after each kind of failure, and limits.
 REST = {429: 120, 500: 60, 400: 300, "health": 300}
 CONTEXT, OUTPUT, TURNS, TOKENS, TIMEOUT = 40_000, 2_048, 10, 18_000, 300
 ERRORS_KEPT = 5
+# What a user message says that wants a call, and the tool that it wants.
+FORCING = ("MUST call read_novel_lines", "Call the tool read_novel_lines", "Call read_novel_lines")
+FORCED = "read_novel_lines"
+# The tools' arguments with their types; those before the bar are required.
+TOOLS = {
+    "read_novel_lines": ("Lines of the text from a line number on, as 'number: line'.", "start integer, count integer |"),
+    "search_novel": ("Lines with a keyword, with the lines around them.", "keyword string | context_lines integer"),
+    "deep_search_identity": ("Clues near a line to who a described person is.", "temp_name string, around_line integer | search_forward integer, search_backward integer"),
+    "find_all_references": ("Lines that have a name, with the lines around them.", "name string | max_results integer"),
+}
 SPEECH_VERBS = ("说道", "问道", "答道", "喊道", "笑道", "说", "问", "答", "喊")
 
 
+def _arguments(name: str) -> tuple[dict[str, str], list[str]]:
+    """Types of a tool's arguments, and which it requires."""
+    first, rest = ([a.split() for a in part.split(",") if a.strip()] for part in TOOLS[name][1].split("|"))
+    return dict(first + rest), [a for a, _ in first]
+
+
+def tool_schema(name: str) -> dict:
+    """What a model is told of a tool; of an unknown one only its name."""
+    if name not in TOOLS:
+        return {"type": "function", "function": {"name": name}}
+    types, required = _arguments(name)
+    parameters = {"type": "object", "properties": {a: {"type": t} for a, t in types.items()}, "required": required}
+    return {"type": "function", "function": {"name": name, "description": TOOLS[name][0], "parameters": parameters}}
+
+
+def call_in_text(text: str, tools: list[dict]) -> list[dict]:
+    """The first call of one of the tools that a text holds, as functions.text.parse_tool_call() reads it."""
+    offered = {t.get("function", t).get("name") for t in tools}
+    for name, pattern in TEXT_CALLS.items():
+        if name in offered and (found := re.search(pattern, text or "", re.ASCII)):
+            given = [(a, int(v) if t == "integer" else v) for (a, t), v in zip(_arguments(name)[0].items(), found.groups()) if v is not None]
+            return [{"function": name, "arguments": dict(given)}]
+    return []
+
+
 class Annotator(Protocol):
     def annotate(self, rows: DataFrame) -> DataFrame: ...
 
@@ -66,14 +103,17 @@ class FunctionAnnotator:
 
 @dataclass
 class Provider:
+    """forces: chat takes the name of the tool that has to be called as a third argument."""
+
     label: str
     model: str
-    chat: Callable[[list[dict], list[dict] | None], dict]
+    chat: Callable[..., dict]
     tools: bool = True
     interval: float = 0.0
     disabled: bool = False
     resting_until: float = 0.0
     last: float = field(default=0.0, repr=False)
+    forces: bool = False
 
     def usable(self, needs_tools: bool, now: float) -> bool:
         return not self.disabled and now >= self.resting_until and (self.tools or not needs_tools)
@@ -111,6 +151,7 @@ class ProviderChain:
         if estimate(messages) + OUTPUT > CONTEXT:
             raise ModelError("the messages are over the context budget")
         errors: list[str] = []
+        wanted = bool(tools) and expects_tool_call(messages, FORCING)
         for p in self.providers:
             if not p.usable(bool(tools), self.clock()):
                 continue
@@ -119,18 +160,25 @@ class ProviderChain:
                 self.wait(pause)
             p.last = self.clock()
             try:
-                return p.label, p.chat(messages, tools)
+                reply = p.chat(messages, tools, FORCED) if wanted and p.forces else p.chat(messages, tools)
+                if not reply.get("tool_calls") and (written := call_in_text(reply.get("content", ""), tools or [])):
+                    reply = reply | {"tool_calls": written, "coerced": True}
+                if not wanted or reply.get("tool_calls"):
+                    return p.label, reply
+                errors.append(f"{p.label}: no tool call")
             except Exception as e:  # whatever one provider does, the next one is asked
                 errors.append(f"{p.label}: {e}")
                 p.failed(getattr(e, "status", 0) or 500, self.clock())
         raise ModelError("; ".join(errors[-ERRORS_KEPT:]) or "no model is free")
 
-    def check(self, probe: list[dict]) -> list[str]:
-        """Labels that answer; the others rest. None at all is an error."""
+    def check(self, probe: list[dict], tool_probe: list[dict] | None = None) -> list[str]:
+        """Labels that answer, and that answer tool_probe with a call of their own if it is given; the others rest. None at all is an error."""
         good = []
         for p in self.providers:
             try:
                 p.chat(probe, None)
+                if tool_probe and not p.chat(tool_probe, [tool_schema(FORCED)]).get("tool_calls"):
+                    raise ModelError(f"{p.label}: tools are not called")
                 good.append(p.label)
             except Exception:
                 p.resting_until = self.clock() + REST["health"]
@@ -183,7 +231,7 @@ class ToolLoop:
         """Answer, tokens and turns with tools."""
         messages, used, rounds = list(messages), 0, 0
         for _ in range(self.turns):
-            _, reply = self.chain.call(messages, [{"name": n} for n in self.tools])
+            _, reply = self.chain.call(messages, [tool_schema(n) for n in self.tools])
             used += reply.get("tokens", 0)
             calls = reply.get("tool_calls") or []
             messages.append({"role": "assistant", "content": reply.get("content", ""), **({"tool_calls": calls} if calls else {})})

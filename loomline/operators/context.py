@@ -22,6 +22,11 @@ MATCHES, MATCH_CHARACTERS = 8, 12_000
 REFERENCES = 10
 IDENTITY_FORWARD, IDENTITY_BACKWARD, IDENTITY_NEAR, IDENTITY_NAMES = 200, 100, 50, 15
 BATCH_GAP = 10
+# What a search says beside its lines.
+SEARCH_MARKS = (">>>", "   ")
+SEARCH_CUT = "\n...(search result truncated; use a narrower keyword or read_novel_lines around a specific line)"
+SEARCH_MORE = "\n...(showing first %d of %d matches; use a narrower keyword or read_novel_lines around a specific line)"
+SEARCH_NONE = "(No matches for '%s')"
 #: Bytes of terms that are broadcast at most.
 ROSTER_BYTES = 64 << 20
 
@@ -65,12 +70,21 @@ def keyword_in_context(rows: DataFrame, keyword: str, context: int = 1, key: str
     return spread.join(rows, [key, "line_no"]).select(key, "hit_no", "hit_line", "line_no", "line", "total")
 
 
-def context_block(found: DataFrame, key: str = "doc_id", characters: int = MATCH_CHARACTERS, separator: str = "\n---\n") -> DataFrame:
-    """Blocks of keyword_in_context() as one text per key, cut at a number of characters."""
-    marked = F.concat(F.when(F.col("line_no") == F.col("hit_line"), ">>").otherwise("  "), F.col("line_no").cast("string"), F.lit(": "), F.col("line"))
+def context_block(found: DataFrame, key: str = "doc_id", characters: int = MATCH_CHARACTERS, separator: str = "\n---\n", marks: tuple[str, str] = (">>", "  "), cut: str = "") -> DataFrame:
+    """Blocks of keyword_in_context() as one text per key, cut at a number of characters; `cut` follows a text that was."""
+    marked = F.concat(F.when(F.col("line_no") == F.col("hit_line"), marks[0]).otherwise(marks[1]), F.col("line_no").cast("string"), F.lit(": "), F.col("line"))
     blocks = joined_lines(found, [key, "hit_no", "total"], marked, name="block")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hit_no", "block"))), lambda x: x["block"]), separator)
-    return blocks.groupBy(key).agg(F.left(text, F.lit(characters)).alias("text"), F.max("total").alias("total"), F.count(F.lit(1)).alias("shown"))
+    whole = blocks.groupBy(key).agg(text.alias("text"), F.max("total").alias("total"), F.count(F.lit(1)).alias("shown"))
+    return whole.withColumn("text", F.when(F.length("text") > characters, F.concat(F.left("text", F.lit(characters)), F.lit(cut))).otherwise(F.col("text")))
+
+
+def search_text(rows: DataFrame, keyword: str, context: int = 1, key: str = "doc_id", limit: int = MATCHES, characters: int = MATCH_CHARACTERS) -> DataFrame:
+    """key, text for every key of rows: the blocks of the first hits, and a notice where there is none, where the text was cut, where there are more hits."""
+    found = keyword_in_context(rows, keyword, context, key, limit).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
+    blocks = context_block(found, key, characters, marks=SEARCH_MARKS, cut=SEARCH_CUT)
+    more = F.when(F.col("total") > F.col("shown"), F.format_string(SEARCH_MORE, "shown", "total")).otherwise("")
+    return rows.select(key).distinct().join(blocks, key, "left").select(key, F.coalesce(F.concat("text", more), F.lit(SEARCH_NONE % keyword)).alias("text"))
 
 
 def pattern_hits(rows: DataFrame, patterns: Iterable[str] = INTRODUCTIONS, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pair_name
+
 MEMORY_ROUNDS, RHYTHM_ROUNDS, RHYTHM_LEAST, RHYTHM_SHARE, EXCHANGE_ROUNDS = 20, 8, 4, 0.6, 4
+# The texts that a model reads.
+NOTHING, HEADING = "(No prior annotations)", "[Recent Dialogues]"
+RHYTHM_TEXT = """[Exchange rhythm - last %d rounds]
+  Alternating: %s ↔ %s
+  Current expects: %s (opposite of previous speaker)
+  NEXT EXPECTED: %s"""
+ANCHOR_TEXT = """[ANCHOR CONSTRAINT] Last round violated the alternating pattern!
+The last %d rounds form %s.
+NEXT SPEAKER MUST BE: %s (strict alternation - do NOT repeat the previous speaker)
+RULE: Only override this if the narrative clearly assigns speech to a different character."""
+RAPID_TEXT = """RAPID EXCHANGE: Last 4 dialogues alternate between two speakers.
+RULE: Narrative attribution (#1) before alternation (#3). Read 3-5 lines before target."""
 
 
 def history(key: str, order: str, value: Column, rounds: int = MEMORY_ROUNDS) -> Column:
@@ -70,3 +84,16 @@ def summary(turns: DataFrame, key: str, order: str, speaker: str, text: str, rou
     """turns with `memory`: the rounds before as "Ln speaker: text" lines."""
     line = F.concat(F.lit("L"), F.col(order).cast("string"), F.lit(" "), F.col(speaker), F.lit(": "), F.left(F.col(text), F.lit(length)))
     return turns.withColumn("memory", F.array_join(history(key, order, line, rounds), "\n"))
+
+
+def full_text(turns: DataFrame, key: str, order: str, speaker: str, text: str, before: str, rounds: int = MEMORY_ROUNDS) -> DataFrame:
+    """turns with with_expectations() and `memory`: heading, the rounds before with the narrative that stood before each, then the rhythm, the constraint after a violation
+    and the rapid exchange, each where it holds. A first row has NOTHING."""
+    note = F.when(F.coalesce(before, F.lit("")) != "", F.concat(F.lit(" [before: "), F.left(before, F.lit(60)), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("  L"), F.col(order).cast("string"), F.lit("「"), F.left(F.coalesce(text, F.lit("")), F.lit(50)), F.lit("」-> "), F.col(speaker), note)
+    rows = with_expectations(turns, key, order, speaker, rounds).withColumn("memory", history(key, order, line, rounds))
+    seen, frame = F.col("seen"), F.least(F.size("seen"), F.lit(RHYTHM_ROUNDS))
+    turn = _bound(rhythm(seen), lambda r: F.when(r.isNotNull(), F.format_string(RHYTHM_TEXT, frame, r["a"], r["b"], r["next"], r["next"])))
+    anchor = F.when(F.col("anchored") & F.col("expected").isNotNull(), F.format_string(ANCHOR_TEXT, frame, pair_name(seen), F.col("expected")))
+    parts = [F.concat(F.lit("\n"), part) for part in (turn, anchor, F.when(F.col("rapid"), F.lit(RAPID_TEXT)))]
+    return rows.withColumn("memory", F.when(F.size(seen) == 0, F.lit(NOTHING)).otherwise(F.concat_ws("\n", F.lit(HEADING), F.array_join("memory", "\n"), *parts)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_nonzero
@@ -93,3 +93,24 @@ def totals(rows: DataFrame) -> DataFrame:
 def presence(log: DataFrame, agents: list[str]) -> DataFrame:
     """entries, entries with tool calls, and entries with each agent."""
     return log.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.size(F.coalesce("tool_calls", F.array())) > 0).alias("with_calls"), *(F.count_if(F.map_contains_key("agents", a)).alias(f"with_{a}") for a in agents))
+
+
+def counters() -> list[Column]:
+    """Sums over a run: rounds, calls of tools, tokens (the first agent's only, as a run reports them), rounds that were reviewed, rounds that were corrected."""
+    return [
+        F.count(F.lit(1)).alias("rounds"),
+        F.coalesce(F.sum(F.size(F.coalesce("tool_calls", F.array())).cast("bigint")), F.lit(0).cast("bigint")).alias("tool_calls"),
+        F.coalesce(F.sum(F.col("agents")["Labeler"]["total_tokens"]), F.lit(0).cast("bigint")).alias("tokens"),
+        F.count_if(F.col("risk_review").isNotNull()).alias("reviewed"),
+        F.count_if(F.coalesce(F.col("result.corrected"), F.lit(False))).alias("corrected"),
+    ]
+
+
+def run_counters(log: DataFrame) -> DataFrame:
+    return log.agg(*counters())
+
+
+def observed(log: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """log, and the counters of the first action on it: they cost no pass of their own."""
+    seen = Observation(name)
+    return log.observe(seen, *counters()), seen

@@ -69,6 +69,19 @@ def kwic_block(spark, sf_dir):
     return context.context_block(context.keyword_in_context(_lines(spark, sf_dir), "the", 2))
 
 
+@query(_HITS % ("the", 2, 2, 8) + """, blocks AS (
+  SELECT doc_id, hit_no, total, string_agg(CASE WHEN line_no = hit_line THEN '>>>' ELSE '   ' END || line_no || ': ' || regexp_replace(line, '\s+$', ''), chr(10) ORDER BY line_no) AS block
+  FROM kwic GROUP BY ALL),
+whole AS (SELECT doc_id, string_agg(block, chr(10) || '---' || chr(10) ORDER BY hit_no) AS text, max(total) AS total, count(*) AS shown FROM blocks GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN '(No matches for ''the'')' ELSE left(text, 300)
+    || CASE WHEN length(text) > 300 THEN chr(10) || '...(search result truncated; use a narrower keyword or read_novel_lines around a specific line)' ELSE '' END
+    || CASE WHEN total > shown THEN chr(10) || '...(showing first ' || shown || ' of ' || total || ' matches; use a narrower keyword or read_novel_lines around a specific line)' ELSE '' END END AS text
+FROM (SELECT DISTINCT doc_id FROM lines) LEFT JOIN whole USING (doc_id)""")
+def search_text(spark, sf_dir):
+    """At most 300 characters of blocks, so that some are cut."""
+    return context.search_text(_lines(spark, sf_dir), "the", 2, characters=300)
+
+
 @query(_HITS % ("for", 1, 1, 10) + " SELECT doc_id, hit_no, hit_line, line_no, line FROM kwic")
 def find_references(spark, sf_dir):
     return context.keyword_in_context(_lines(spark, sf_dir), "for", 1, limit=context.REFERENCES).drop("total")

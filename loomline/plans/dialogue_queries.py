@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -80,6 +80,25 @@ def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(F.col("n_name").alias("name"), F.array(F.lower("n_name"), F.concat(F.lit("n"), (F.col("n_nationkey") % 7).cast("string"))).alias("aliases"), F.col("n_nationkey").alias("ord"))
 
 
+@query(f"""WITH {_TURNS}, {_EXPECT}, p AS (SELECT *, coalesce(lag(coalesce(expected <> s, false)) OVER (PARTITION BY k ORDER BY o), false) AS anchored FROM e),
+n AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS narr FROM conversations),
+x AS (SELECT conv_id, turn AS o, list('  L' || turn || '「' || left(coalesce(text, ''), 50) || '」-> ' || role || CASE WHEN coalesce(narr, '') <> '' THEN ' [before: ' || left(narr, 60) || ']' ELSE '' END)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS said FROM n)
+SELECT conv_id, x.o AS turn, CASE WHEN len(seen) = 0 THEN '(No prior annotations)' ELSE concat_ws(chr(10), '[Recent Dialogues]', array_to_string(said, chr(10)),
+  CASE WHEN p.turn IS NOT NULL THEN chr(10) || '[Exchange rhythm - last ' || len(frame) || ' rounds]' || chr(10) || '  Alternating: ' || a || ' ↔ ' || b || chr(10)
+    || '  Current expects: ' || p.turn || ' (opposite of previous speaker)' || chr(10) || '  NEXT EXPECTED: ' || p.turn END,
+  CASE WHEN anchored AND expected IS NOT NULL THEN chr(10) || '[ANCHOR CONSTRAINT] Last round violated the alternating pattern!' || chr(10) || 'The last ' || len(frame) || ' rounds form '
+    || CASE WHEN len(seen) < 4 THEN '?' WHEN b IS NOT NULL THEN a || ' ↔ ' || b || ' alternation' ELSE 'alternation' END || '.' || chr(10)
+    || 'NEXT SPEAKER MUST BE: ' || expected || ' (strict alternation - do NOT repeat the previous speaker)' || chr(10)
+    || 'RULE: Only override this if the narrative clearly assigns speech to a different character.' END,
+  CASE WHEN alternates THEN chr(10) || 'RAPID EXCHANGE: Last 4 dialogues alternate between two speakers.' || chr(10)
+    || 'RULE: Narrative attribution (#1) before alternation (#3). Read 3-5 lines before target.' END) END AS memory
+FROM x JOIN p ON p.k = x.conv_id AND p.o = x.o""")
+def memory_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("narrative", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return memory.full_text(rows, "conv_id", "turn", "role", "text", "narrative").select("conv_id", "turn", "memory")
+
+
 @query(f"""WITH {_CHARACTERS}, o AS (SELECT alias, arg_min(name, ord) AS owner FROM (SELECT name, ord, unnest(aliases) AS alias FROM ch) GROUP BY alias),
 n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NATION_' || c_nationkey WHEN 1 THEN 'nation_' || c_nationkey WHEN 2 THEN 'n' || (c_nationkey % 9) ELSE c_name END AS name FROM customer)
 SELECT c_custkey, n.name, coalesce(ch.name, o.owner, n.name) AS resolved FROM n LEFT JOIN ch ON ch.name = n.name LEFT JOIN o ON o.alias = n.name""")
@@ -418,3 +437,14 @@ def round_control(spark, sf_dir):
     status = F.when(F.col("event_id") % 2 == 0, "verified").otherwise("candidate")
     said = F.when(F.col("event_id") % 3 == 0, "who").when(F.col("event_id") % 3 == 1, "").otherwise("赫萝")
     return rows.select("event_id", F.round(fn.progress(F.col("value"), F.nullif(F.col("user_id"), F.lit(0)), F.lit(1000)), 6).alias("left_s"), risk.take_identity(F.col("event_type"), status, F.lit("found")).alias("speaker"), risk.usable(said).alias("usable"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'env' || user_id WHEN 1 THEN 'py' || user_id WHEN 2 THEN 'json' || user_id ELSE '' END AS setting FROM events""")
+def settings_precedence(spark, sf_dir):
+    """A setting from the environment, else from a source text, else from JSON with comments; the last fourth has broken JSON only."""
+    case, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    commented = F.concat(F.lit('  // {"one": {"key": "old"}}\n{"one":\n//\n {"key": "json'), user, F.lit('"}}\n// end'))
+    found = readers.commented_json(F.when(case < 3, commented).otherwise(F.left(commented, F.lit(40))), "one struct<key string>")
+    source = F.when(case == 1, F.concat(F.lit("import os\nAPI_KEY = 'py"), user, F.lit("'\n"))).otherwise(F.lit("API_KEY = None"))
+    first = fn.first_filled(F.when(case == 0, F.concat(F.lit("env"), user)), readers.assigned(source, "API_KEY"), found["one"]["key"])
+    return table(spark, sf_dir, "events").select("event_id", first.alias("setting"))

@@ -159,3 +159,15 @@ def statistics_sink(spark, sf_dir):
 def curation_batches(spark, sf_dir):
     """Count-based tumbling batches: every 500 rounds."""
     return table(spark, sf_dir, "events").groupBy("user_id", F.expr("event_id div 500").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT count(*) AS rounds, CAST(sum(event_id % 3) AS BIGINT) AS tool_calls, CAST(sum(user_id) AS BIGINT) AS tokens,
+  count(*) FILTER (event_id % 4 = 0) AS reviewed, count(*) FILTER (event_id % 8 = 0) AS corrected FROM events""")
+def run_counters(spark, sf_dir):
+    case, user = F.col("event_id"), F.col("user_id").cast("string")
+    calls = F.concat(F.lit('"tool_calls": ['), F.array_join(F.array_repeat(F.lit('{"function": "a"}'), (case % 3).cast("int")), ", "), F.lit("]"))
+    agents = F.concat(F.lit('"agents": {"Labeler": {"total_tokens": '), user, F.lit('}, "Verifier": {"total_tokens": 11}}'))
+    review = F.when(case % 4 == 0, F.lit(', "risk_review": {"verdict": "agree"}')).otherwise("")
+    result = F.concat(F.lit(', "result": {"speaker": "x", "corrected": '), (case % 8 == 0).cast("string"), F.lit("}}"))
+    text = F.concat(F.lit('{"round": 1, '), agents, F.lit(", "), calls, review, result)
+    return runlog.run_counters(table(spark, sf_dir, "events").select(F.from_json(text, readers.LOG_SCHEMA).alias("x")).select("x.*"))

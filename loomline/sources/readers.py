@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ANSWER_MARK, SPAN, strip
+from ..functions.text import ANSWER_MARK, SPAN, quoted, strip
 
 #: Rounds of a run, one JSON object a line. Tool calls of both log versions fit.
 LOG_SCHEMA = """
@@ -97,3 +97,14 @@ def settings(rows: DataFrame, line: str = "line", known: tuple[str, ...] = ()) -
     parts = F.split(F.col(line), "=", 2)
     found = rows.where(F.col(line).contains("=")).select(strip(parts[0]).alias("name"), strip(parts[1]).alias("value"))
     return found.where(F.col("name").isin(*known)) if known else found
+
+
+def commented_json(text: Column, schema: str) -> Column:
+    """The value of a JSON text in which lines that begin with // are comments; null fields if it is no such text. A // inside a line stays."""
+    kept = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: ~strip(x).startswith("//"))
+    return F.from_json(F.array_join(kept, "\n"), schema)
+
+
+def assigned(text: Column, name: str) -> Column:
+    """What the first NAME = "value" of a source text gives a name; null without one. With text.first_filled() settings take the first source that has them."""
+    return F.nullif(F.regexp_extract(text, quoted(name) + r"""\s*=\s*["']([^"']+)["']""", 1), F.lit(""))

@@ -269,3 +269,43 @@ def test_any_failure_of_a_provider_leads_to_the_next():
     chain = annotate.ProviderChain([annotate.Provider("Bad", "m1", broken), good], clock=lambda: 100.0, wait=lambda s: None)
     assert chain.call([{"role": "user", "content": "x"}])[0] == "Good" and chain.check([]) == ["Good"]
     assert [p.label for p in chain.select("good")] == ["Good"] and [p.label for p in chain.select("m")] == ["Bad", "Good"]
+
+
+def test_calls_that_are_wanted_written_as_text_or_missing():
+    asked, now = [], [100.0]
+    wants = [{"role": "user", "content": "Call read_novel_lines first."}]
+    tools = [annotate.tool_schema("read_novel_lines")]
+    silent = annotate.Provider("silent", "m1", lambda m, t, *forced: asked.append(forced) or {"content": "I would rather not"}, forces=True)
+    writes = annotate.Provider("writes", "m2", lambda m, t: {"content": "read_novel_lines(12, 5)"})
+    chain = annotate.ProviderChain([silent, writes], clock=lambda: now[0], wait=lambda s: None)
+    label, reply = chain.call(wants, tools)
+    assert label == "writes" and reply["tool_calls"] == [{"function": "read_novel_lines", "arguments": {"start": 12, "count": 5}}] and reply["coerced"]
+    assert asked == [("read_novel_lines",)] and silent.resting_until == 0
+    assert chain.call([{"role": "user", "content": "who?"}], tools)[0] == "silent"
+    with pytest.raises(annotate.ModelError, match="silent: no tool call"):
+        annotate.ProviderChain([silent], clock=lambda: now[0], wait=lambda s: None).call(wants, tools)
+    search = [annotate.tool_schema("search_novel")]
+    assert annotate.call_in_text("search_novel('12', 3) read_novel_lines(1, 2)", search) == [{"function": "search_novel", "arguments": {"keyword": "12", "context_lines": 3}}]
+    assert annotate.call_in_text("search_novel(\"x\")", search)[0]["arguments"] == {"keyword": "x"} and annotate.call_in_text("", search) == []
+
+
+def test_tool_schemas_and_tool_check():
+    schema = annotate.tool_schema("find_all_references")["function"]["parameters"]
+    assert schema["required"] == ["name"] and schema["properties"] == {"name": {"type": "string"}, "max_results": {"type": "integer"}}
+    assert annotate.tool_schema("other") == {"type": "function", "function": {"name": "other"}}
+    call = {"tool_calls": [{"function": "read_novel_lines", "arguments": {}}]}
+    able = annotate.Provider("able", "m1", lambda m, t: call if t else {"content": "OK"})
+    unable = annotate.Provider("unable", "m2", lambda m, t: {"content": "read_novel_lines(1, 1)"})
+    chain = annotate.ProviderChain([able, unable], clock=lambda: 100.0, wait=lambda s: None)
+    assert chain.check([]) == ["able", "unable"] and chain.check([], [{"role": "user", "content": "x"}]) == ["able"] and unable.resting_until == 400
+
+
+def test_commented_json_and_observed_counters(spark):
+    rows = spark.createDataFrame([("// a\n{\"u\": \"http://x\"}",), ("{",), (None,)], "t string")
+    assert [r.u for r in rows.select(readers.commented_json(F.col("t"), "u string").alias("v")).select("v.u").collect()] == ["http://x", None, None]
+    log = spark.createDataFrame([], readers.LOG_SCHEMA)
+    assert runlog.run_counters(log).collect()[0].asDict() == {"rounds": 0, "tool_calls": 0, "tokens": 0, "reviewed": 0, "corrected": 0}
+    one = spark.sql("SELECT 1 AS x").select(F.from_json(F.lit('{"round": 1, "agents": {"Labeler": {"total_tokens": 3}}}'), readers.LOG_SCHEMA).alias("l")).select("l.*")
+    rows, seen = runlog.observed(one)
+    rows.collect()
+    assert seen.get == {"rounds": 1, "tool_calls": 0, "tokens": 3, "reviewed": 0, "corrected": 0}
