@@ -125,8 +125,25 @@ def batch(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+#: What tasks of a worker that follow each other share; one thing at a time.
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """The worker's make() for this key, made again when another key or a WordHashes has taken its place."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 class WordHashes(dict):
-    """Word -> 64-bit hash, cached; starts anew when it is full."""
+    """Word -> 64-bit hash, cached; starts anew when it is full. A task that has one needs the worker's memory: what other operators' tasks kept there goes."""
+
+    def __init__(self):
+        super().__init__()
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
-from .common import CACHE_ENTRIES, batch, buckets, key_columns, mixed, scoped, written
+from .common import CACHE_ENTRIES, batch, buckets, kept, key_columns, mixed, scoped, written
 
 LIMIT = 4096
 DIMENSIONS, BITS = 4, 8
@@ -188,16 +188,9 @@ class WordEncoder:
             self.words.update([(x, self._whole(x.decode())) for x in pieces])
 
 
-_encoders: dict[bytes, WordEncoder] = {}
-
-
 def word_encoder(data: bytes) -> WordEncoder:
     """The worker's encoder for a vocabulary file: tasks that follow each other in a worker share its caches, whose size is bounded. One vocabulary at a time."""
-    key = xxhash.xxh3_128_digest(data)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(data)
-    return _encoders[key]
+    return kept(("word encoder", xxhash.xxh3_128_digest(data)), lambda: WordEncoder(data))
 
 
 def directions(ids: int) -> np.ndarray:
