@@ -8,7 +8,7 @@ Boxes. The index is over the finest groups, one per shingle hash: a box holds th
 from rare to frequent, and a set enters only the boxes of its first
 n - ceil(t n) + 1 groups: if two sets share none of these, the summed minima over the rest stay below the bound. In a box, the member at place p of its order can link with
 sets of at most reach = (4 n - 7 p) / 3 shingles, as the minima over the groups from here on must suffice; two members may link only if each is within the other's reach. Members
-that reach nobody leave. A box of two is their pair; boxes of the same members are one. Pairs that are left are bounded by the summed minima of their counts in COARSE or more groups, and those that pass are verified on the sets themselves, made anew
+that reach nobody leave. So does a box whose members all have the same group before it in their orders (told by 40 bits of its hash): that group's box has them with no less reach. A box of two is their pair; boxes of the same members are one. Pairs that are left are bounded by the summed minima of their counts in COARSE or more groups, and those that pass are verified on the sets themselves, made anew
 from the texts. README has figures on a tree over coarse groups alone, which would open nearly all of its nodes.
 
 The order of groups is the same for all sets; any gives the same result. What stands out among counts of all documents in LEVELS coarse groups comes last; the others are ordered by how often
@@ -192,10 +192,14 @@ def _levels(slices: DataFrame):
 
 
 ENTRIES = "bucket int, data binary"
-#: Bytes of an entry: the hash's low 40 bits, the set's name and size, the place in its order (65,535 stands for all later ones: a member is then given more reach than it has), whether the box is spread.
+#: Bytes of an entry: the hash's low 40 bits, those of the hash before it in the set's order, the set's size, the place in its order (65,535 stands for all later ones: a member is then given more reach
+#: than it has), whether the box is spread, the set's name.
 HASH, SIZE, PLACE = 5, 4, 2
 
 
+_LOW = np.uint64((1 << 8 * HASH) - 1)
+
+
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The low bytes of each value, all first bytes before all second ones: mostly equal bytes come together and compress."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -225,19 +229,20 @@ class _Entries:
         owner = np.repeat(np.arange(len(lengths)), lengths)
         places = np.minimum(np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths), 65535).astype(np.uint64)
         hashes, levels = np.concatenate(self.hashes), np.concatenate(self.levels)
+        before = np.where(places > np.uint64(0), np.roll(hashes, 1), np.uint64(0)) & _LOW
         sizes, sids = np.array(self.sizes, np.uint64), np.frombuffer(b"".join(self.sids), np.uint8).reshape(-1, NAME)
         self.__init__()
         salts = np.uint64(1) << np.maximum(levels.astype(np.int64) - hot, 0).astype(np.uint64)
         salt = sids[owner, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
         bucket = (((hashes >> np.uint64(48)) + salt % salts) % np.uint64(n_buckets)).astype(np.int64)
-        low = hashes & np.uint64((1 << 8 * HASH) - 1)
+        low = hashes & _LOW
         order = np.lexsort((low, bucket))
-        bucket, owner, low, places, spread = bucket[order], owner[order], low[order], places[order], (salts > np.uint64(1))[order]
+        bucket, owner, low, before, places, spread = bucket[order], owner[order], low[order], before[order], places[order], (salts > np.uint64(1))[order]
         begins, _ = spans(bucket)
         data = []
         for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)]):
             who = owner[i:j]
-            data.append(b"".join([struct.pack("<I", j - i), _planes(low[i:j], HASH), _planes(sizes[who], SIZE), _planes(places[i:j], PLACE), spread[i:j].tobytes(), sids[who].tobytes()]))
+            data.append(b"".join([struct.pack("<I", j - i), _planes(low[i:j], HASH), _planes(before[i:j], HASH), _planes(sizes[who], SIZE), _planes(places[i:j], PLACE), spread[i:j].tobytes(), sids[who].tobytes()]))
         return batch(ENTRIES, bucket=bucket[begins].astype(np.int32), data=data)
 
 
@@ -275,28 +280,27 @@ def _entries(source: DataFrame, levels, n_buckets: int, hot: int) -> DataFrame:
     return source.select("text").mapInArrow(run, ENTRIES)
 
 
-#: Kind 0: a set's best partner in a bucket. Kind 1: a member of a box of three or more that reaches another member. Kind 2: the pair that a box of two holds.
-FOUND = "kind int, gid long, a binary, b binary, n long, reach long"
+#: Kind 1: a member of a box of three or more that reaches another member. Kind 2: the pair that a box of two holds. b is a partner of a in this box, and other is the reach of b; null if none was found.
+FOUND = "kind int, gid long, a binary, b binary, n long, reach long, other long"
 
 
 def _boxes(table: pa.Table) -> pa.Table:
-    """Of one bucket: one partner for each set, and the members of its boxes that may link with another one. Of a box that is spread over buckets all members stay, as their
-    partners may be elsewhere."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """Of one bucket: the members of its boxes that may link with another one, each with a partner if one is found. Of a box that is spread over buckets all members stay, as their
+    partners may be elsewhere. A box whose members all come from one other box is left out, so sets that go on alike are found where they begin to, not in every bucket."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for value in table.column("data"):
         data = value.as_py()
         (m,), at = struct.unpack_from("<I", data), 4
-        for part, width in zip(parts, (HASH, SIZE, PLACE)):
+        for part, width in zip(parts, (HASH, HASH, SIZE, PLACE)):
             part.append(_from_planes(data, m, width, at))
             at += width * m
-        parts[3].append(np.frombuffer(data, bool, m, at))
-        parts[4].append(np.frombuffer(data, np.uint8, NAME * m, at + m).reshape(-1, NAME))
-    low, size, place, spread, sids = map(np.concatenate, parts)
+        parts[4].append(np.frombuffer(data, bool, m, at))
+        parts[5].append(np.frombuffer(data, np.uint8, NAME * m, at + m).reshape(-1, NAME))
+    low, before, size, place, spread, sids = map(np.concatenate, parts)
     bucket = table.column("bucket")[0].as_py()
     box = low.astype(np.int64) << 1 | spread
     order = np.argsort(box, kind="stable")
-    begins, run = spans(box[order])
-    order = order[(np.bincount(run) > 1)[run] | spread[order]]
+    order = order[_needed_boxes(box[order], before[order], place[order])]
     # Equal sets of several tasks are one.
     names, rank = np.unique(np.ascontiguousarray(sids[order]).view(f"V{NAME}").ravel(), return_inverse=True)
     box, n, place = box[order], size[order].astype(np.int64), place[order].astype(np.int64)
@@ -305,36 +309,43 @@ def _boxes(table: pa.Table) -> pa.Table:
     once = np.ones(len(box), bool)
     once[1:] = (box[1:] != box[:-1]) | (rank[1:] != rank[:-1])
     box, n, place, rank = box[once], n[once], place[once], rank[once]
-    i, partner, alive = _partners(box, n, reach(n, place))
-    best = np.lexsort((rank[partner], -reach(n, place)[partner], rank[i]))
-    i, partner = i[best], partner[best]
-    firsts, _ = spans(rank[i])
-    i, partner = i[firsts], partner[firsts]
-    best, chosen, furthest = rank[i], rank[partner], reach(n, place)[partner]
+    far = reach(n, place)
+    i, partner, alive = _partners(box, n, far)
+    chosen, other = np.full(len(box), -1, np.int64), np.full(len(box), -1, np.int64)
+    chosen[i], other[i] = rank[partner], far[partner]
     kept = np.flatnonzero(alive | (box & 1 == 1))
-    box, n, rank, far = box[kept], n[kept], rank[kept], reach(n, place)[kept]
+    box, n, rank, far, chosen, other = (x[kept] for x in (box, n, rank, far, chosen, other))
     begins, run = spans(box)
     sizes = np.bincount(run, minlength=len(begins))
     two = begins[(sizes == 2) & (box[begins] & 1 == 0)]
-    pairs = np.unique(np.minimum(rank[two], rank[two + 1]).astype(np.int64) * len(names) + np.maximum(rank[two], rank[two + 1]))
+    swap = rank[two] > rank[two + 1]
+    one, two = np.where(swap, two + 1, two), np.where(swap, two, two + 1)
+    # What each reaches, where they do reach each other.
+    fits = (chosen[one] >= 0) | (chosen[two] >= 0)
+    pairs, which = np.unique(rank[one].astype(np.int64) * len(names) + rank[two], return_inverse=True)
+    of_one, of_two = np.full(len(pairs), -1, np.int64), np.full(len(pairs), -1, np.int64)
+    np.maximum.at(of_one, which[fits], far[one][fits])
+    np.maximum.at(of_two, which[fits], far[two][fits])
     many = ((sizes > 2) | (box[begins] & 1 == 1))[run]
-    box, n, rank, far = box[many], n[many], rank[many], far[many]
+    box, n, rank, far, chosen, other = (x[many] for x in (box, n, rank, far, chosen, other))
     # Of the boxes with the same members one stays, where each has its furthest reach. Spread boxes stay as they are.
     begins, run = spans(box)
     sums = np.add.reduceat(mixed(rank.astype(np.uint64) + np.uint64(1)), begins) if len(box) else np.zeros(0, np.uint64)
     spread = box[begins] & 1 == 1
     gid = np.where(spread, -(box[begins] >> 1) - 1, bucket << 8 * HASH | (sums & np.uint64((1 << 8 * HASH) - 1)).astype(np.int64))[run]
+    order = np.lexsort((-other, rank, gid))
+    chosen, other = chosen[order], other[order]
     order = np.lexsort((-far, rank, gid))
     gid, n, rank, far = gid[order], n[order], rank[order], far[order]
     once = np.ones(len(gid), bool)
     once[1:] = (gid[1:] != gid[:-1]) | (rank[1:] != rank[:-1])
-    gid, n, rank, far = gid[once], n[once], rank[once], far[once]
+    gid, n, rank, far, chosen, other = (x[once] for x in (gid, n, rank, far, chosen, other))
     raw = names.tobytes()
-    pick = lambda at: [raw[NAME * k : NAME * k + NAME] for k in at.tolist()]
-    none = lambda k: [None] * k
-    first, members, second = len(best), len(gid), len(pairs)
-    columns = {"kind": [0] * first + [1] * members + [2] * second, "gid": none(first) + gid.tolist() + none(second), "n": none(first) + n.tolist() + none(second)}
-    columns |= {"a": pick(best) + pick(rank) + pick(pairs // max(1, len(names))), "b": pick(chosen) + none(members) + pick(pairs % max(1, len(names))), "reach": furthest.tolist() + far.tolist() + none(second)}
+    pick = lambda at: [raw[NAME * k : NAME * k + NAME] if k >= 0 else None for k in at.tolist()]
+    count = max(1, len(names))
+    known = np.concatenate([other, of_two])
+    columns = {"kind": [1] * len(gid) + [2] * len(pairs), "gid": gid.tolist() + [None] * len(pairs), "n": n.tolist() + [None] * len(pairs)}
+    columns |= {"a": pick(np.concatenate([rank, pairs // count])), "b": pick(np.concatenate([chosen, pairs % count])), "reach": np.concatenate([far, of_one]), "other": pa.array(known, mask=known < 0)}
     return pa.Table.from_batches([batch(FOUND, **columns)])
 
 
@@ -364,6 +375,16 @@ def _partners(box: np.ndarray, n: np.ndarray, far: np.ndarray) -> tuple[np.ndarr
     return np.flatnonzero(found), partner[found], alive
 
 
+def _needed_boxes(box: np.ndarray, before: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries (ordered by box) are in a box that the join needs: a spread one, or one of several entries that do not all have the same group before it in their sets' orders. If they do, that group's
+    box has all of them one place earlier, where their reach is no less; and so on, down to a box that stays."""
+    begins, run = spans(box)
+    if not len(box):
+        return np.zeros(0, bool)
+    alike = (np.minimum.reduceat(before, begins) == np.maximum.reduceat(before, begins)) & (np.minimum.reduceat(place, begins) > 0)
+    return ((np.bincount(run) > 1) & ~alike | (box[begins] & 1 == 1))[run]
+
+
 PAIRS = "a binary, b binary"
 
 
@@ -583,7 +604,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int
     found = written(_entries(source, levels, n_buckets, hot).groupBy("bucket").applyInArrow(_boxes, FOUND), "found", "kind")
 
     released(docs.sparkSession)
-    proposed = found.where("kind = 0").groupBy("a").agg(F.max(F.struct("reach", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    partners = found.where("other is not null")
+    partners = partners.select("a", "b", "other").unionByName(partners.where("kind = 2").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("reach").alias("other")))
+    proposed = partners.groupBy("a").agg(F.max(F.struct("other", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     proposed = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
     links = _verified(_bounded(proposed, points), points, source)
     labels = components(links)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,6 +586,53 @@ def test_partners_within_reach():
         assert {i for i in range(len(box)) if any(fits(i, j) for j in range(len(box)))} <= set(np.flatnonzero(alive))
 
 
+def found_in_boxes(sets, n_buckets):
+    """What all buckets find; sets: (name, size, hashes in the sets' order)."""
+    held = jaccard_join._Entries()
+    for name, size, hashes in sets:
+        held.add(name, size, np.array(hashes, np.uint64), np.zeros(len(hashes), np.uint8))
+    dealt = pa.Table.from_batches([held.dealt(n_buckets, jaccard_join.HOT_LEVEL)])
+    return [row for k in range(dealt.num_rows) for row in jaccard_join._boxes(dealt.slice(k, 1)).to_pylist()]
+
+
+def test_sets_that_go_on_alike_are_found_where_they_begin_to():
+    rng = np.random.default_rng(13)
+    shared = rng.integers(1, 1 << 63, 100, np.uint64) * np.uint64(2)
+    own = rng.integers(1, 1 << 63, 5, np.uint64) * np.uint64(2)
+    for members in (2, 5):
+        sets = [(bytes([k]) * jaccard_join.NAME, 700, [own[k], *shared]) for k in range(members)]
+        for n_buckets in (1, 16, 256):
+            rows = found_in_boxes(sets, n_buckets)
+            assert len(rows) == (1 if members == 2 else members) and {r["kind"] for r in rows} == {2 if members == 2 else 1}
+            assert all(r["reach"] == jaccard_join.reach(700, 1) == r["other"] and r["a"] != r["b"] for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_boxes_hold_every_pair_within_reach(seed):
+    r = random.Random(seed)
+    universe = [r.getrandbits(64) for _ in range(40)]
+    sets = []
+    for k in range(25):
+        base = r.choice(sets)[2] if sets and r.random() < 0.7 else []
+        order = sorted({x for x in base if r.random() < 0.9} | set(r.sample(universe, r.randint(1, 5))), key=universe.index)[:12]
+        sets.append((bytes([k]) * jaccard_join.NAME, r.randint(40, 60), order))
+    want = set()
+    for i, (a, m, x) in enumerate(sets):
+        for b, n, y in sets[:i]:
+            if (both := set(x) & set(y)) and (g := min(both, key=universe.index)) is not None and n <= jaccard_join.reach(m, x.index(g)) and m <= jaccard_join.reach(n, y.index(g)):
+                want.add((b, a))
+    rows = found_in_boxes(sets, 7)
+    together = {(x["a"], x["b"]) for x in rows if x["kind"] == 2}
+    size = {a: n for a, n, _ in sets}
+    boxes = {}
+    for x in rows:
+        if x["kind"] == 1:
+            boxes.setdefault(x["gid"], []).append((x["a"], x["reach"]))
+    for box in boxes.values():
+        together |= {(a, b) for a, far in box for b, back in box if a < b and size[b] <= far and size[a] <= back}
+    assert want and want <= together
+
+
 def test_points_bound_the_overlap():
     rng = np.random.default_rng(12)
     for n, m in ((1, 1), (100, 120), (2000, 2600), (2040, 2060), (9000, 7000)):
